@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing
+from . import decontaminate, langid, packing, secrets, store, token_counts, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,8 +21,40 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = langid.remainder(F.col("doc_id"), 4) == 2
+    samples = langid.sample(docs.where(~held_out))
+    found = langid.identify(docs, samples)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "bits_per_char")
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocab = token_counts.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), vocab)
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(decontaminate.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = store.new_path(spark, "warc")
+    warc.write(warc.resolve(_table(spark, sf_dir, "pages")), path, compression="gzip")
+    return warc.read(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_language_id": op2_language_id,
+    "op3_token_counts": op3_token_counts,
+    "op8_decontamination": op8_decontamination,
+    "op9_warc": op9_warc,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {}
