@@ -1,8 +1,10 @@
-"""Connected components of links, by large-star and small-star steps on DataFrames.
+"""Connected components of links.
 
-Each step is one shuffle by node and halves, or better, the depth of what is left.  A node with very many
-links has them dealt to salted groups first: the smallest neighbour is a plain aggregation, which
-Spark pre-aggregates, and is joined back.
+Every partition first keeps no more links than its nodes need.  While all of them together are
+few (``ONE_TASK`` links, a bounded size that is checked), one task finishes; beyond that, large-star and
+small-star steps on DataFrames do, each a shuffle by node.  There the smallest neighbour of a
+node is an aggregation that Spark pre-aggregates; it is stored and joined back, so that Spark can
+split the rows of a node with very many links.
 """
 
 from __future__ import annotations
@@ -14,11 +16,13 @@ from pyspark.sql import functions as F
 
 from . import store
 
+ONE_TASK = 2_000_000
+
 
 def forest(pairs: np.ndarray) -> np.ndarray:
-    """Links of the same components with the smallest member of each as the first of every pair."""
+    """Links of the same components, (smallest member, other member)."""
     if not len(pairs):
-        return pairs.reshape(0, 2)
+        return np.zeros((0, 2), np.int64)
     ids, flat = np.unique(pairs, return_inverse=True)
     a, b = flat.reshape(-1, 2).T
     root = np.arange(len(ids))
@@ -27,7 +31,8 @@ def forest(pairs: np.ndarray) -> np.ndarray:
         new = root.copy()
         np.minimum.at(new, root[a], low)
         np.minimum.at(new, root[b], low)
-        new = new[new]
+        while not np.array_equal(new, new[new]):
+            new = new[new]
         if np.array_equal(new, root):
             break
         root = new
@@ -35,35 +40,34 @@ def forest(pairs: np.ndarray) -> np.ndarray:
     return np.stack([ids[root[other]], ids[other]], axis=1)
 
 
-def _local(links: DataFrame) -> DataFrame:
-    """In every partition, no more links than its nodes need."""
-
-    def reduced(batches):
-        kept = np.zeros((0, 2), np.int64)
-        for pdf in batches:
-            kept = forest(np.concatenate((kept, pdf[["a", "b"]].to_numpy(np.int64))))
-        yield pd.DataFrame({"a": kept[:, 0], "b": kept[:, 1]})
-
-    return links.mapInPandas(reduced, "a long, b long")
+def _reduced(batches):
+    kept, held, size = np.zeros((0, 2), np.int64), [], 0
+    for pdf in batches:
+        held.append(pdf[["a", "b"]].to_numpy(np.int64))
+        size += len(pdf)
+        if size > 500_000:
+            kept, held, size = forest(np.concatenate([kept, *held])), [], 0
+    kept = forest(np.concatenate([kept, *held]))
+    yield pd.DataFrame({"a": kept[:, 0], "b": kept[:, 1]})
 
 
-def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """``links`` (a, b: long, no nulls) as (id, component): every node that has a link, and the smallest node it reaches."""
-    now = store.materialize(_local(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b")), "links")
+def components(links: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
+    """``links`` (a, b: long, no nulls) as (id, component): every node with a link, and the smallest it reaches."""
+    now = store.materialize(links.select("a", "b").where("a <> b").mapInPandas(_reduced, "a long, b long"), "links")
+    size = now.count()
+    if size <= one_task:
+        now = store.materialize(now.coalesce(1).mapInPandas(_reduced, "a long, b long"), "forest")
+        size = 0
     before = None
-    for _ in range(most_rounds):
-        # large-star: larger neighbours of a node go to the smallest among it and its neighbours
-        both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select("m", "b").where("m <> b")
-        # small-star: a node's smaller neighbours, and itself, go to the smallest of them
-        small_least = large.groupBy("b").agg(F.min("m").alias("s"))
-        joined = large.join(small_least, "b")
-        small = joined.where("m <> s").select(F.col("s").alias("a"), F.col("m").alias("b")).union(small_least.select(F.col("s").alias("a"), "b")).distinct()
-        now = store.materialize(small, "stars")
-        # settled when every node has one link, to a node that is nobody's larger end
+    while size:
+        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = store.materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+        large = store.materialize(both.join(least, "a").where("b > a").select("m", "b"), "large")
+        least = store.materialize(large.groupBy("b").agg(F.min("m").alias("s")), "least")
+        small = large.join(least, "b").where("m <> s").select(F.col("s").alias("a"), F.col("m").alias("b")).union(least.select(F.col("s").alias("a"), "b"))
+        now = store.materialize(small.distinct(), "stars")
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break
         before = state
-    return now.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("component")).union(now.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct())
+    return now.select(F.col("b").alias("id"), F.col("a").alias("component")).union(now.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct())
