@@ -90,7 +90,8 @@ _CACHE: dict = {}
 
 
 def _windows(shipped, n: int) -> Windows:
-    key = (shipped._path if hasattr(shipped, "_path") else id(shipped), n)
+    """The windows of a broadcast block, built once in each worker."""
+    key = (hash(tuple(shipped.value)), n)
     if key not in _CACHE:
         _CACHE.clear()
         _CACHE[key] = Windows(shipped.value, n)
@@ -138,33 +139,32 @@ def clean(docs: DataFrame, benchmark: DataFrame, n: int = 10, whole: bool = True
     All columns stay.  With spans cut, what is cut goes from the first hit word to the last,
     and texts without hits stay as they are.
     """
-    for k, shipped in enumerate(blocks := list(_blocks(benchmark, n, item_col, item_text_col))):
+    blocks = list(_blocks(benchmark, n, item_col, item_text_col))
+    for k, shipped in enumerate(blocks):
 
-        def scan(batches, shipped=shipped):
-            windows = _windows(shipped, n)
-            for pdf in batches:
-                for begin in range(0, len(pdf), 1000):
-                    part = pdf.iloc[begin : begin + 1000]
-                    texts = [b"" if t is None else t.encode() for t in part[text_col]]
-                    rows = windows.scan(texts)
-                    if whole:
-                        yield part[[not r[1] for r in rows]]
-                        continue
-                    kept = []
-                    for old, raw, (_, _, _, places) in zip(part[text_col], texts, rows, strict=True):
-                        at, left = 0, []
-                        for a, b in places:
-                            left.append(raw[at:a])
-                            at = b
-                        kept.append(b"".join([*left, raw[at:]]).decode() if places else old)
-                    yield part.assign(**{text_col: kept})
-
-        docs = docs.mapInPandas(scan, docs.schema)
+        def scan(texts, shipped=shipped):
+            return _windows(shipped, n).scan([b"" if t is None else t.encode() for t in texts])
+
+        def clear(texts, scan=scan) -> list[bool]:
+            return [not spans for _, spans, _, _ in scan(texts)]
+
+        def cut(texts, scan=scan) -> list[str | None]:
+            return [_without(old, places) if places else old for old, (_, _, _, places) in zip(texts, scan(texts), strict=True)]
+
+        docs = words.keep_where(docs, text_col, clear) if whole else words.replace_text(docs, text_col, cut)
         if k + 1 < len(blocks):
             docs = store.materialize(docs, "cleaned")
     return docs
 
 
+def _without(text: str, places: list[tuple[int, int]]) -> str:
+    raw, at, left = text.encode(), 0, []
+    for a, b in places:
+        left.append(raw[at:a])
+        at = b
+    return b"".join([*left, raw[at:]]).decode()
+
+
 def digest(found: DataFrame) -> DataFrame:
     """Counts and digests of what ``find`` returned."""
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])

@@ -211,11 +211,7 @@ def keep_identified(docs: DataFrame, samples: list[tuple[str, str]], text_col: s
     """``docs`` without the documents in which no language can be told: null text, or text without a letter."""
     shipped = docs.sparkSession.sparkContext.broadcast(samples)
 
-    def kept(batches):
-        for pdf in batches:
-            for begin in range(0, len(pdf), 1000):
-                part = pdf.iloc[begin : begin + 1000]
-                labels, _, _ = _parser(shipped.value).predict(list(part[text_col]))
-                yield part[[label != "und" for label in labels]]
-
-    return docs.mapInPandas(kept, docs.schema)
+    def letters(texts: list[str | None]) -> list[bool]:
+        return [label != "und" for label in _parser(shipped.value).predict(texts)[0]]
+
+    return words.keep_where(docs, text_col, letters)

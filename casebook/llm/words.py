@@ -109,3 +109,33 @@ def chunks(batches, size: int = 3_000_000, text: str = "text"):
             total = int(at[-1])
     if held:
         yield held[0] if len(held) == 1 else pd.concat(held)
+
+
+def keep_where(docs, text_col: str, judge, rows: int = 1000):
+    """The rows of ``docs``, unchanged, for whose texts ``judge`` (a list of texts to a list of booleans) says true."""
+
+    def kept(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for begin in range(0, batch.num_rows, rows):
+                part = batch.slice(begin, rows)
+                yield part.filter(pa.array(judge(part.column(text_col).to_pylist()), pa.bool_()))
+
+    return docs.mapInArrow(kept, docs.schema)
+
+
+def replace_text(docs, text_col: str, change, rows: int = 1000):
+    """``docs`` with ``change`` (a list of texts to a list of texts) applied to its texts; nothing else changes."""
+
+    def changed(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            place = batch.schema.get_field_index(text_col)
+            for begin in range(0, batch.num_rows, rows):
+                part = batch.slice(begin, rows)
+                column = pa.array(change(part.column(place).to_pylist()), batch.schema.field(place).type)
+                yield part.set_column(place, batch.schema.field(place), column)
+
+    return docs.mapInArrow(changed, docs.schema)
