@@ -111,7 +111,7 @@ def parse(df: DataFrame, payload: str, version: str = schemas.DEFAULT, record: s
     out = df.withColumns({"_raw": raw, "_row": F.monotonically_increasing_id()})
     loose = F.col("_raw")
     wrong = F.transform(_failures(loose, schema, F.lit("")), lambda p: F.concat(F.lit("Schema mismatch: "), F.substring(p, 2, 1000)))
-    checks = [F.when(F.col(payload).isNull() | loose.isNull() | (F.col("_row") < 0), F.lit("Invalid JSON"))]
+    checks = [F.when(F.col(payload).isNull() | ~F.trim(payload).startswith("{") | loose.isNull() | (F.col("_row") < 0), F.lit("Invalid JSON"))]
     checks.append(F.when(F.coalesce(loose["schema_version"], F.lit(version)) != version, F.concat(F.lit("Schema mismatch: schema_version is "), loose["schema_version"])))
     if "confidence" in schema.names:
         confidence = loose["confidence"].try_cast("double")
