@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embed_dedup, langid, lm_scoring, minhash, packing, secrets, store, substring, token_counts, warc
+from . import decontaminate, embed_dedup, langid, lm_scoring, minhash, oracles, packing, secrets, store, substring, token_counts, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -77,4 +77,4 @@ QUERIES: dict[str, Query] = {
     "op10_secret_scan": op10_secret_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = dict(oracles.ORACLE_SQL)

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from casebook.llm import components, decontaminate, embed_dedup, langid, lm_scoring, minhash, packing, registry, secrets, store, substring, token_counts, warc, words
+from tests.compare import difference
 from tests.llm import brute
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -411,3 +412,12 @@ def test_pipeline_stages(spark, tmp_path):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
     assert {r["doc_id"] for r in packed.collect()} == set(kept)
     assert corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().count() == len(kept)
+
+
+# --- queries against their SQL ---------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
+def test_query_against_sql(spark, name):
+    sf_dir = "/root/testdata/sf0.001"
+    assert difference(registry.QUERIES[name](spark, sf_dir), registry.ORACLE_SQL[name], sf_dir) == ""
