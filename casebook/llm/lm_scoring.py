@@ -13,7 +13,8 @@ covers every training text:
    noise are taken exactly.  Batched matrix products over all contexts then give normalised log-probabilities.
 
 A token's log-probability is its symbol's after the one before it (an end before the first), and for a class, its
-share of the class by counts plus one, in which all unseen words together count as one.
+share of the class by counts less a discount; what the discounts leave is the share of unseen words, which together are one event,
+as in the base.  A class's discount is n1 / (n1 + 2 n2), n1 and n2 its words seen once and twice.
 
 Words are counted by 64-bit hashes.
 
@@ -110,15 +111,16 @@ def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
     np.add.at(total, where, np.concatenate([_unpack(t, np.int64) for t in pdf["train"]]))
     form = np.concatenate([_unpack(f, np.uint8) for f in pdf["form"]])[first]
     answers = np.split(total[where], np.cumsum(size)[:-1])
-    rows = [(b, k, _pack(a), None, None, None, None, None) for b, k, a in zip(pdf["block"], pdf["bucket"], answers, strict=True)]
+    rows = [(b, k, _pack(a), None, None, None, *[None] * 4) for b, k, a in zip(pdf["block"], pdf["bucket"], answers, strict=True)]
     known = np.flatnonzero(total > 0)
     top = known[np.argsort(-total[known], kind="stable")[:SYMBOLS]]
-    by_class = [np.bincount(form[known], w, CLASSES).astype(np.int64).tolist() for w in (total[known], np.ones(len(known)))]
+    by_class = [np.bincount(form[known], w, CLASSES).astype(np.int64).tolist() for w in (total[known], np.ones(len(known)), total[known] == 1, total[known] == 2)]
     rows.append((None, int(pdf["bucket"].iloc[0]), None, len(known), int(total.sum()), [{"n": int(total[t]), "h": int(distinct[t].astype(np.int64)), "form": int(form[t])} for t in top], *by_class))
-    return pd.DataFrame(rows, columns=["block", "bucket", "counts", "distinct", "tokens", "top", "class_tokens", "class_words"]).astype({"block": "Int64", "distinct": "Int64", "tokens": "Int64"})
+    return pd.DataFrame(rows, columns=["block", "bucket", "counts", "distinct", "tokens", "top", *_CLASS_SUMS]).astype({"block": "Int64", "distinct": "Int64", "tokens": "Int64"})
 
 
-_SUM_SCHEMA = "block long, bucket long, counts binary, distinct long, tokens long, top array<struct<n:long,h:long,form:int>>, class_tokens array<long>, class_words array<long>"
+_CLASS_SUMS = ("class_tokens", "class_words", "class_once", "class_twice")
+_SUM_SCHEMA = "block long, bucket long, counts binary, distinct long, tokens long, top array<struct<n:long,h:long,form:int>>" + "".join(f", {c} array<long>" for c in _CLASS_SUMS)
 
 
 class Symbols:
@@ -216,14 +218,19 @@ def score(docs: DataFrame, held_out: Column | None = None, id_col: str = "doc_id
     distinct, tokens = int(whole[0] or 0), int(whole[1] or 0)
     most = SYMBOLS - CLASSES - 1
     top = [(r["h"], r["n"], r["form"]) for r in totals.select(F.explode("top").alias("t")).select("t.*").orderBy(F.desc("n"), "h").limit(most).collect()]
-    classes = totals.agg(*(F.sum(F.get(c, F.lit(k))).alias(f"{c}{k}") for c in ("class_tokens", "class_words") for k in range(CLASSES))).first()
-    mass = np.array([x or 0 for x in classes], np.int64).reshape(2, CLASSES)
+    classes = totals.agg(*(F.sum(F.get(c, F.lit(k))).alias(f"{c}{k}") for c in _CLASS_SUMS for k in range(CLASSES))).first()
+    mass = np.array([x or 0 for x in classes], np.int64).reshape(4, CLASSES)
     end = int(_END.astype(np.int64))
-    for h, n, form in [*top]:
-        mass[:, form] -= (n, 1)
-    if tokens and end not in {h for h, _, _ in top}:  # the end is counted in form 0 but is no member of it
-        mass[:, 0] -= (docs.where(~held).count(), 1)
-    in_class = np.maximum(mass.sum(axis=0), 0) + 1
+    # symbols of their own are no members of a class; nor is the end, which was counted in form 0
+    own = [(n, form) for _, n, form in top]
+    if tokens and end not in {h for h, _, _ in top}:
+        own.append((docs.where(~held).count(), 0))
+    for n, form in own:
+        mass[:, form] -= (n, 1, n == 1, n == 2)
+    in_class, words_, once, twice = np.maximum(mass, 0).astype(float)
+    discount = np.where(once > 0, once / np.maximum(once + 2 * twice, 1), 0.5)
+    discount = np.clip(discount, 0.05, 0.95)
+    unseen = np.where(in_class > 0, np.log10(np.maximum(discount * words_, 1e-300)) - np.log10(np.maximum(in_class, 1)), 0.0)
     symbols = Symbols([(h, n) for h, n, _ in top])
     n, rows = symbols.size, 64
     texts = blocks.where("bucket is null").select("block", "vocab", "form", "which", "docs")
@@ -245,7 +252,8 @@ def score(docs: DataFrame, held_out: Column | None = None, id_col: str = "doc_id
             ids, missing, out_of, size = _unpack(r.docs, np.int64).reshape(4, -1)
             first = np.cumsum(size) - size
             symbol = symbols.of(vocab, form)
-            inside = np.where(symbol > len(symbols.hash), np.log10(answer + 1.0) - np.log10(in_class[form]), 0.0)
+            share = np.log10(np.maximum(answer - discount[form], 0.01)) - np.log10(np.maximum(in_class[form], 1))
+            inside = np.where(symbol > len(symbols.hash), np.where(answer > 0, share, unseen[form]), 0.0)
             token = symbol[which]
             value = table[np.concatenate(([0], token[:-1])), token] + inside[which]
             base = np.log10(answer + 1.0) + unit
