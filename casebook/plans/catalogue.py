@@ -583,7 +583,7 @@ def chunk_windows(spark, d):
 @query("SELECT arg_min(page_id, page_id) AS page_id, url FROM pages WHERE url IS NOT NULL GROUP BY url")
 def url_first_section(spark, d):
     """S13."""
-    return readers.first_by(table(spark, d, "pages"), "url", "page_id").select("page_id", "url")
+    return readers.first_by(table(spark, d, "pages").select("page_id", "url"), "url", "page_id")
 
 
 @query(f"WITH {_SIMILAR} SELECT query_id, entry_id, similarity FROM k WHERE rn <= 2")

@@ -162,9 +162,9 @@ def prompt_template(folder: str, version: str) -> str:
 
 
 def first_by(df: DataFrame, key: str, *order: str) -> DataFrame:
-    """The first row of each key that is not null."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return df.where(F.col(key).isNotNull()).withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
+    """The first row of each key that is not null, by an aggregation that reduces before it shuffles."""
+    whole = F.struct(*(F.col(f"`{c}`") for c in df.columns))
+    return df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_picked")).agg(F.min_by(whole, F.struct(*order)).alias("_row")).select("_row.*")
 
 
 def sections(df: DataFrame, text: str) -> DataFrame:
