@@ -51,9 +51,13 @@ def _reduced(batches):
     yield pd.DataFrame({"a": kept[:, 0], "b": kept[:, 1]})
 
 
-def components(links: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
-    """``links`` (a, b: long, no nulls) as (id, component): every node with a link, and the smallest it reaches."""
-    now = store.materialize(links.select("a", "b").where("a <> b").mapInPandas(_reduced, "a long, b long"), "links")
+def components(links: DataFrame, one_task: int = ONE_TASK, reduced: bool = False) -> DataFrame:
+    """``links`` (a, b: long, no nulls) as (id, component): every node with a link, and the smallest it reaches.
+
+    ``reduced`` says that partitions hold forests already; another worker beside the one that made them is spared.
+    """
+    links = links.select("a", "b").where("a <> b")
+    now = store.materialize(links if reduced else links.mapInPandas(_reduced, "a long, b long"), "links")
     size = now.count()
     if size <= one_task:
         now = store.materialize(now.coalesce(1).mapInPandas(_reduced, "a long, b long"), "forest")

@@ -86,16 +86,9 @@ def _blocks(benchmark: DataFrame, n: int, id_col: str, text_col: str):
         yield benchmark.sparkSession.sparkContext.broadcast([tuple(r) for r in rows])
 
 
-_CACHE: dict = {}
-
-
 def _windows(shipped, n: int) -> Windows:
     """The windows of a broadcast block, built once in each worker."""
-    key = (hash(tuple(shipped.value)), n)
-    if key not in _CACHE:
-        _CACHE.clear()
-        _CACHE[key] = Windows(shipped.value, n)
-    return _CACHE[key]
+    return words.kept(("windows", hash(tuple(shipped.value)), n), lambda: Windows(shipped.value, n))
 
 
 def find(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:

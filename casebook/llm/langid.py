@@ -182,15 +182,8 @@ class Parser:
         return labels, np.where(none, 0.0, score), lead / np.maximum(size, 1)
 
 
-_PARSERS: dict[int, Parser] = {}
-
-
 def _parser(samples) -> Parser:
-    key = hash(tuple(samples))
-    if key not in _PARSERS:
-        _PARSERS.clear()
-        _PARSERS[key] = Parser(samples)
-    return _PARSERS[key]
+    return words.kept(("parser", hash(tuple(samples))), lambda: Parser(samples))
 
 
 def identify(docs: DataFrame, samples: list[tuple[str, str]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

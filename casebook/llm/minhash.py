@@ -101,6 +101,8 @@ def _runs(batches, column: str):
         held = pdf.iloc[last:]
     if held is not None and len(held):
         yield held
+    del held
+    words.release()
 
 
 def _units(rows: DataFrame, key: str, most: int) -> DataFrame:
@@ -224,7 +226,7 @@ def link(docs: DataFrame, percent: int = 80, size: int = 5, id_col: str = "doc_i
     spread = store.partitions(spark)
     met = shared.join(classes.select("id", "sketch"), "id").select("unit", "id", "side", "sketch")
     met = met.repartition(spread, "unit").sortWithinPartitions("unit")
-    coarse = components.components(met.mapInPandas(lambda b: _similar_sketches(b, limit), "a long, b long"))
+    coarse = components.components(met.mapInPandas(lambda b: _similar_sketches(b, limit), "a long, b long"), reduced=True)
     coarse = store.materialize(coarse, "coarse")
     # full sets of what is in a cluster
     members = plain.join(coarse, F.col("doc_id") == F.col("id")).select("id", F.col("component").alias("key"), "text")
@@ -238,7 +240,7 @@ def link(docs: DataFrame, percent: int = 80, size: int = 5, id_col: str = "doc_i
     links = units.mapInPandas(lambda b: _similar_sets(b, percent), "a long, b long")
     # rows that repeat an id with another set are linked through their id
     joined = known.join(lead.where("n > 1").select("same", "id"), "same").where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
-    found = store.materialize(components.components(links.union(joined)), "components")
+    found = store.materialize(components.components(links.union(joined), reduced=True), "components")
     out = signs.join(found, F.col("doc_id") == F.col("id"), "left").withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 

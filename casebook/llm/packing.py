@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 
 from . import store, words
 
-CACHE_UNITS = 2_000_000
+CACHE_UNITS = 600_000
 #: Text that is encoded at a time; more finds more repeats and takes more memory.
-BATCH_BYTES = 10_000_000
+BATCH_BYTES = 3_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 #: The white space of Unicode beyond ASCII.
 _WIDE_SPACES = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
@@ -164,17 +164,6 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[int, Encoder] = {}
-
-
-def _encoder(tokenizer_json: str) -> Encoder:
-    key = hash(tokenizer_json)
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(tokenizer_json)
-    return _ENCODERS[key]
-
-
 def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of every text: doc_id, piece, start, length, ids_crc32 and, if asked for, ids.
 
@@ -188,7 +177,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id:
     def pieces(batches):
         for pdf in words.chunks(batches, BATCH_BYTES):
             rows = []
-            for doc, found in zip(pdf["doc_id"], _encoder(shipped.value).encode(list(pdf["text"])), strict=True):
+            for doc, found in zip(pdf["doc_id"], words.kept(("encoder", hash(shipped.value)), lambda: Encoder(shipped.value)).encode(list(pdf["text"])), strict=True):
                 ids = np.concatenate((found, end)).tobytes()
                 n, at, k = len(ids) // 4, 0, 0
                 stop = n % capacity or min(n, capacity)

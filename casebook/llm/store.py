@@ -32,7 +32,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", 32 << 20).parquet(path)  # a writer holds one block in memory
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -118,9 +118,6 @@ class Counter:
         return total[first[1:]] - total[first[:-1]]
 
 
-_COUNTERS: dict[int, Counter] = {}
-
-
 def count_tokens(docs: DataFrame, vocab: Vocabulary, unknown: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and n_tokens of every text."""
     shipped = docs.sparkSession.sparkContext.broadcast(vocab)  # a vocabulary file, a few MB at most
@@ -128,11 +125,8 @@ def count_tokens(docs: DataFrame, vocab: Vocabulary, unknown: int = 0, id_col: s
     kind = kept.schema["doc_id"].dataType.simpleString()
 
     def counted(batches):
-        key = hash(tuple(shipped.value))
-        if key not in _COUNTERS:
-            _COUNTERS.clear()
-            _COUNTERS[key] = Counter(shipped.value, unknown)
+        counter = words.kept(("counter", hash(tuple(shipped.value)), unknown), lambda: Counter(shipped.value, unknown))
         for pdf in words.chunks(batches, 10_000_000):
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "n_tokens": _COUNTERS[key].count(list(pdf["text"]))})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "n_tokens": counter.count(list(pdf["text"]))})
 
     return kept.mapInPandas(counted, f"doc_id {kind}, n_tokens long")

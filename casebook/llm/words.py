@@ -6,6 +6,7 @@ with probability about 2**-64.
 
 from __future__ import annotations
 
+import gc
 from dataclasses import dataclass
 
 import numpy as np
@@ -87,28 +88,57 @@ def rolling(h: np.ndarray, n: int, multiplier: int) -> np.ndarray:
     return mix(out)
 
 
+def release() -> None:
+    """Give freed memory back to the system, where the C library can: workers outlive their tasks and would keep it."""
+    import ctypes
+
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
+_KEPT: dict = {}
+
+
+def kept(key, build):
+    """What ``build`` makes, kept in this worker until another key is asked for: one model at a time takes memory."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        release()
+        _KEPT[key] = build()
+        release()
+    return _KEPT[key]
+
+
 def chunks(batches, size: int = 3_000_000, text: str = "text"):
     """Frames of about ``size`` bytes of text each, out of an iterator of frames.
 
     Column ``text`` becomes ``bytes`` (null: empty).  A longer text is a frame of its own.
     """
     held, total = [], 0
-    for pdf in batches:
-        pdf = pdf.assign(**{text: [b"" if t is None else t.encode() for t in pdf[text]]})
-        at = np.cumsum([len(t) for t in pdf[text]], dtype=np.int64) + total
-        begin = 0
-        while begin < len(pdf):
-            stop = max(begin + (not held), int(np.searchsorted(at, size, "right")))
-            if stop >= len(pdf):
-                break
-            held.append(pdf.iloc[begin:stop])
-            yield held[0] if len(held) == 1 else pd.concat(held)
-            at, held, begin = at - at[stop - 1], [], stop
-        if begin < len(pdf):
-            held.append(pdf.iloc[begin:])
-            total = int(at[-1])
+    for whole in batches:
+        for begin in range(0, len(whole), 256):  # so that few texts are held twice
+            pdf = whole.iloc[begin : begin + 256]
+            pdf = pdf.assign(**{text: [b"" if t is None else t.encode() for t in pdf[text]]})
+            at = np.cumsum([len(t) for t in pdf[text]], dtype=np.int64)
+            first = 0
+            while first < len(pdf):
+                done = int(at[first - 1]) if first else 0
+                stop = int(np.searchsorted(at, size - total + done, "right"))
+                if stop == first and not held:
+                    stop += 1
+                held.append(pdf.iloc[first:stop])
+                total += (int(at[stop - 1]) if stop else 0) - done
+                first = stop
+                if first < len(pdf) or total >= size:
+                    yield held[0] if len(held) == 1 else pd.concat(held)
+                    held, total = [], 0
     if held:
         yield held[0] if len(held) == 1 else pd.concat(held)
+    del held
+    release()
 
 
 def keep_where(docs, text_col: str, judge, rows: int = 1000):
@@ -121,6 +151,7 @@ def keep_where(docs, text_col: str, judge, rows: int = 1000):
             for begin in range(0, batch.num_rows, rows):
                 part = batch.slice(begin, rows)
                 yield part.filter(pa.array(judge(part.column(text_col).to_pylist()), pa.bool_()))
+        release()
 
     return docs.mapInArrow(kept, docs.schema)
 
@@ -137,5 +168,6 @@ def replace_text(docs, text_col: str, change, rows: int = 1000):
                 part = batch.slice(begin, rows)
                 column = pa.array(change(part.column(place).to_pylist()), batch.schema.field(place).type)
                 yield part.set_column(place, batch.schema.field(place), column)
+        release()
 
     return docs.mapInArrow(changed, docs.schema)
