@@ -12,6 +12,10 @@ the batch's smallest document go at once, so a passage in a third of all rows
 reaches its bucket once for each batch.  What a bucket and a batch found goes back to the documents by
 ranges of a hash of their id.
 
+Runs that are minimisers of very many windows are told from a sample of documents and rank behind
+all others, so that windows around a frequent run spread over many buckets.  The sample decides
+on nothing but this order.
+
 Windows are compared as sequences of 64-bit word hashes.
 
 Cases: null text has no words; a document with fewer than ``n`` words loses nothing; windows repeated within
@@ -30,10 +34,13 @@ from pyspark.sql import functions as F
 
 from . import store, words
 
-RUN = 3
+RUN = 2
+#: One document in this many tells the frequent minimisers.
+SAMPLED = 64
 BATCH_BYTES = 3_000_000
 _M1, _M2 = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 _PLACE = np.uint64((1 << 24) - 1)
+_LATE = np.uint64(1 << 63)
 
 
 def _same(found: np.ndarray, i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
@@ -54,6 +61,34 @@ def _sliding_min(x: np.ndarray, n: int) -> np.ndarray:
     return x
 
 
+def _minimisers(found: words.Words, at: np.ndarray, n: int, late: np.ndarray) -> np.ndarray:
+    """The least run of each window: 1 bit whether it ranks late, 39 bits of hash, 24 bits of place."""
+    key = words.rolling(found.hash, RUN, _M2) >> np.uint64(25)
+    packed = (key << np.uint64(24)) | np.arange(len(key), dtype=np.uint64)
+    if len(late):
+        packed[late[np.minimum(np.searchsorted(late, key), len(late) - 1)] == key] |= _LATE
+    return _sliding_min(packed, n - RUN + 1)[at]
+
+
+def _frequent(plain: DataFrame, n: int, buckets: int) -> np.ndarray:
+    """Runs that would be minimisers of more than an eighth of a bucket's mean share of windows; their number is bounded by that."""
+
+    def counted(batches):
+        for pdf in words.chunks(batches, BATCH_BYTES):
+            found = words.split(list(pdf["text"]))
+            doc = found.doc
+            at = np.flatnonzero(doc[: len(doc) - n + 1] == doc[n - 1 :]) if len(doc) >= n else np.zeros(0, np.int64)
+            least = (_minimisers(found, at, n, np.zeros(0, np.uint64)) & ~_LATE) >> np.uint64(24) if len(at) else np.zeros(0, np.uint64)
+            run, times = np.unique(least, return_counts=True)
+            often = times * 8 * buckets > times.sum()
+            yield pd.DataFrame({"run": np.append(run[often].astype(np.int64), -1), "n": np.append(times[often], times.sum())})
+
+    sample = plain.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0).select("text")
+    sums = sample.mapInPandas(counted, "run long, n long").groupBy("run").agg(F.sum("n").alias("n")).orderBy(F.desc("n")).limit(8 * buckets + 1).collect()
+    total = max((r["n"] for r in sums if r["run"] == -1), default=0)
+    return np.array(sorted(r["run"] for r in sums if r["run"] >= 0 and r["n"] * 8 * buckets > total), np.uint64)
+
+
 def _groups(key: np.ndarray, hashes: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     """For each window (in order of document), the first equal one in that order."""
     order = np.argsort(key, kind="stable")
@@ -99,7 +134,7 @@ class _Flags:
             yield int(group[o[0]]), _pack(np.stack([doc[o], text[o], start[o]]))
 
 
-def _travel(pdf: pd.DataFrame, n: int, buckets: int, flags: _Flags):
+def _travel(pdf: pd.DataFrame, n: int, buckets: int, flags: _Flags, late: np.ndarray):
     """Rows (bucket, group, packed, runs) of a batch of documents: its super-k-mers and what it settled itself."""
     import zstandard
 
@@ -122,8 +157,7 @@ def _travel(pdf: pd.DataFrame, n: int, buckets: int, flags: _Flags):
     at = at[~gone]
     if not len(at):
         return
-    runs = words.rolling(h, RUN, _M2)
-    least = _sliding_min((runs & ~_PLACE) | np.arange(len(runs), dtype=np.uint64), n - RUN + 1)[at]
+    least = _minimisers(found, at, n, late)
     new = np.ones(len(at), bool)
     new[1:] = (least[1:] != least[:-1]) | (np.diff(at) != 1) | (doc[at][1:] != doc[at][:-1])
     first = np.flatnonzero(new)
@@ -166,11 +200,15 @@ def _meet(pdf: pd.DataFrame, n: int, flags: _Flags):
         at, own = at[order], own[:, order]
         gone = own[0] != own[0][_groups(words.rolling(h, n, _M1)[at], h, at, n)]
         out += flags.rows(own[0][gone], own[1][gone], own[2][gone])
+    del hashes, places, owners
+    words.release()
     return pd.DataFrame(out, columns=["group", "flags"])
 
 
 def _kept(left: pd.DataFrame, right: pd.DataFrame, n: int, with_text: bool):
     """Documents of one group without the words that windows found elsewhere cover."""
+    import zstandard
+
     starts: dict[tuple[int, int], np.ndarray] = {}
     if len(right):
         doc, text, start = np.concatenate([_unpack(f, np.int64).reshape(3, -1) for f in right["flags"]], axis=1)
@@ -180,8 +218,9 @@ def _kept(left: pd.DataFrame, right: pd.DataFrame, n: int, with_text: bool):
         for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(doc)], strict=True):
             starts[int(doc[a]), int(text[a])] = start[a:b]
     rows = []
-    for doc, key, text in zip(left["doc_id"], left["_text"], left["text"], strict=True):
-        found = b"".split() if text is None else text.encode().split()
+    unpack = zstandard.ZstdDecompressor()
+    for doc, key, packed in zip(left["doc_id"], left["_text"], left["packed"], strict=True):
+        found = [] if packed is None else unpack.decompress(packed).split()
         total = len(found)
         s = None if doc is None or doc != doc else starts.get((int(doc), int(key)))
         if s is not None:
@@ -202,9 +241,11 @@ def deduplicate(docs: DataFrame, n: int = 13, with_text: bool = True, id_col: st
     buckets, flags = 3 * spread, _Flags(2 * spread)
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("_text", F.xxhash64("text"))
 
+    late = _frequent(plain.where("doc_id is not null"), n, buckets)
+
     def travel(batches):
         for pdf in words.chunks(batches, BATCH_BYTES):
-            rows = list(_travel(pdf, n, buckets, flags))
+            rows = list(_travel(pdf, n, buckets, flags, late))
             yield pd.DataFrame(rows, columns=["bucket", "group", "packed", "runs"]).astype({"group": "Int64"})
 
     def meet(pdf):
@@ -218,10 +259,14 @@ def deduplicate(docs: DataFrame, n: int = 13, with_text: bool = True, id_col: st
     groups = flags.groups
 
     def place(batches):
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=3)
         for pdf in batches:
             ids = pdf["doc_id"].fillna(0).to_numpy(np.int64).astype(np.uint64)
-            yield pdf.assign(group=(words.mix(ids) % np.uint64(groups)).astype(np.int64))
+            packed = [None if t is None else pack.compress(t.encode()) for t in pdf["text"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "packed": packed, "_text": pdf["_text"], "group": (words.mix(ids) % np.uint64(groups)).astype(np.int64)})
 
-    dealt = plain.mapInPandas(place, "doc_id long, text string, _text long, group long")
+    dealt = plain.mapInPandas(place, "doc_id long, packed binary, _text long, group long")
     out = dealt.groupBy("group").cogroup(met.groupBy("group")).applyInPandas(kept, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     return out if with_text else out.drop("kept_text")
