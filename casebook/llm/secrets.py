@@ -10,7 +10,7 @@ Postings are grouped by trigram and block of documents, so that the most common
 postings are as many bounded groups as there are blocks.
 
 Cases: null text counts as empty and has no spans; repeated ids share candidates, yet each
-row is verified on its own text; null ids are kept; other columns are ignored by ``scan`` and pass ``redact``.
+row is verified on its own text; rows with a null id are in no posting, and candidates of every rule; other columns are ignored by ``scan`` and pass ``redact``.
 """
 
 from __future__ import annotations
@@ -116,11 +116,11 @@ def trigram_query(pattern: str) -> list[frozenset[str]]:
 
 
 def candidates(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and ``kinds``, the places of those rules with mandatory trigrams whose query its postings satisfy."""
+    """doc_id (not null) and ``kinds``, the places of those rules with mandatory trigrams whose query its postings satisfy."""
     queries = {k: q for k, r in enumerate(rules) if (q := trigram_query(r.pattern))}
     grams = sorted({g for q in queries.values() for s in q for g in s})
     blocks = max(1, -(-docs.count() // BLOCK_DOCS))
-    lowered = docs.select(F.col(id_col).alias("doc_id"), F.lower(F.col(text_col).cast("string")).alias("low"))
+    lowered = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.lower(F.col(text_col).cast("string")).alias("low"))
     held = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(g)), F.lit(k)) for k, g in enumerate(grams))))
     block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block")
     postings = lowered.select("doc_id", block, F.explode(held).alias("gram")).groupBy("block", "gram").agg(F.collect_set("doc_id").alias("docs"))
@@ -178,8 +178,11 @@ def _with_spans(docs: DataFrame, rules, id_col: str, text_col: str, spans: str)
     free = [_free(docs, n) for n in ("span_doc", "span_kinds", "span_text", *(f"{p}_{k}" for k in range(len(rules)) for p in ("hits", "gaps")))]
     doc, kinds, text, pairs = *free[:3], list(zip(free[3::2], free[4::2], strict=True))
     found = candidates(docs, rules, id_col, text_col).select(F.col("doc_id").alias(doc), F.col("kinds").alias(kinds))
-    joined = docs.join(found, F.col(id_col).eqNullSafe(F.col(doc)), "left")
-    out = joined.withColumn(text, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    joined = docs.where(F.col(id_col).isNotNull()).join(found, F.col(id_col) == F.col(doc), "left")
+    # rows with a null id are asked for every rule; they don't take part in the join, where all of them would be one key
+    every = F.array(*(F.lit(k) for k in range(len(rules)))).cast("array<int>")
+    nameless = docs.where(F.col(id_col).isNull()).withColumns({doc: F.lit(None).cast(found.schema[doc].dataType), kinds: every})
+    out = joined.union(nameless).withColumn(text, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     strings = F.array().cast("array<string>")
     hits, gaps, each = {}, {}, []
     for k, (rule, (hit, gap)) in enumerate(zip(rules, pairs, strict=True)):
