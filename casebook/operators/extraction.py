@@ -1,6 +1,7 @@
-"""Model calls over prompts, with good records and broken ones apart.
+"""Model calls over prompts, with good records and broken ones apart.
 
-A backend turns prompts into answers, a decoder tells it what shape an answer must have.  Both are made by name.  Backends are
+A backend turns prompts into answers, a decoder tells it what shape an answer must have.  Only the HTTP backend applies a
+schema, at its endpoint; constrained decoding in the worker (U8, U9) is not built, and asking for it is an error.  Both are made by name.  Backends are
 built once in each worker; a failing prompt costs that record only.
 """
 
@@ -75,6 +76,8 @@ class Local(Backend):
     temperature: float = 0.0
 
     def generate(self, prompt: str, schema: dict | None = None) -> str:
+        if schema:
+            raise NotImplementedError("the local backend cannot decode by a schema")
         if not hasattr(self, "_pipe"):
             try:
                 from transformers import pipeline
@@ -96,8 +99,8 @@ class Unavailable(Backend):
 
 
 BACKENDS = {"echo": Echo, "replay": Replay, "http": Http, "vllm": Http, "local": Local, "hf": Local, "sglang": lambda **o: Unavailable("sglang"), "ollama": lambda **o: Unavailable("ollama")}
-#: Which decoders a backend serves; all but "none" ask for the record's JSON schema.
-DECODERS = {"none": None, "schema": None, "outlines": None, "guidance": ("local", "hf")}
+#: The backends that apply a decoder; all but "none" ask for the record's JSON schema.  No backend applies "guidance".
+DECODERS = {"none": None, "schema": ("http", "vllm"), "outlines": ("http", "vllm"), "guidance": ()}
 
 
 def backend(name: str, **options) -> Backend:
@@ -114,8 +117,8 @@ def decoder(name: str, backend_name: str, version: str, vocabulary: list[str] |
     if key not in DECODERS:
         raise ValueError(f"unknown decoder {name!r}; known: {', '.join(sorted(DECODERS))}")
     only = DECODERS[key]
-    if only and backend_name.strip().lower() not in only:
-        raise ValueError(f"decoder {key} needs one of the backends {', '.join(only)}")
+    if only is not None and backend_name.strip().lower() not in only:
+        raise ValueError(f"decoder {key} needs one of the backends {', '.join(only) or '(none is built)'}")
     return None if key == "none" else schemas.json_schema(schemas.get(version), version, vocabulary)
 
 
