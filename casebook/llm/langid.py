@@ -201,10 +201,13 @@ def identify(docs: DataFrame, samples: list[tuple[str, str]], id_col: str = "doc
 
 
 def keep_identified(docs: DataFrame, samples: list[tuple[str, str]], text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents in which no language can be told: null text, or text without a letter."""
+    """``docs`` without the documents in which no language can be told: null text, or text without a letter; no others, with or without labels."""
     shipped = docs.sparkSession.sparkContext.broadcast(samples)
 
     def letters(texts: list[str | None]) -> list[bool]:
-        return [label != "und" for label in _parser(shipped.value).predict(texts)[0]]
+        parser = _parser(shipped.value)
+        if not parser.labels:  # nothing to predict by, but a letter can be told
+            return [bool(n) for n in parser.costs([t or "" for t in texts])[1]]
+        return [label != "und" for label in parser.predict(texts)[0]]
 
     return words.keep_where(docs, text_col, letters)
