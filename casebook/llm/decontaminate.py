@@ -8,7 +8,8 @@ each hit is verified on its words.
 What is broadcast has a bound: items are dealt to blocks of at most about ``BLOCK_BYTES`` of text, and documents are
 scanned once for each block, from a stored table.  One block is the usual case.
 
-Cases: null text has no words; null item ids or texts are ignored; an item with an id seen
+Cases: null text has no words; null item texts are ignored, and so are null item ids unless ``nameless`` asks for
+their windows, which then hit under a null item, one for all of them, as in the query's SQL; an item with an id seen
 before adds to it; an empty benchmark hits nothing; repeated documents are judged row by row;
 other columns pass through ``clean`` unchanged.
 """
@@ -31,8 +32,8 @@ FOUND = "n_words long, spans array<struct<start:int,end:int>>, items array<strin
 class Windows:
     """The windows of a block of items."""
 
-    def __init__(self, items: list[tuple[str, str]], n: int):
-        self.items: dict[bytes, set[str]] = {}
+    def __init__(self, items: list[tuple[str | None, str]], n: int):
+        self.items: dict[bytes, set[str | None]] = {}
         for item, text in items:
             found = text.encode().translate(_FOLD).split()
             size = min(n, len(found))
@@ -76,9 +77,9 @@ class Windows:
         return out
 
 
-def _blocks(benchmark: DataFrame, n: int, id_col: str, text_col: str):
+def _blocks(benchmark: DataFrame, n: int, id_col: str, text_col: str, nameless: bool = False):
     """Broadcasts of the items, each of bounded size."""
-    items = benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).na.drop()
+    items = benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).na.drop(subset=["text"] if nameless else ["id", "text"])
     size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     count = max(1, -(-size // BLOCK_BYTES))
     for k in range(count):
@@ -91,11 +92,11 @@ def _windows(shipped, n: int) -> Windows:
     return words.kept(("windows", hash(tuple(shipped.value)), n), lambda: Windows(shipped.value, n))
 
 
-def find(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_words, spans (word ranges hit, merged) and items, sorted as strings."""
+def find(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", nameless: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_words, spans (word ranges hit, merged) and items, sorted as strings, a null one last."""
     out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = out.schema["doc_id"].dataType.simpleString()
-    blocks = list(_blocks(benchmark, n, item_col, item_text_col))
+    blocks = list(_blocks(benchmark, n, item_col, item_text_col, nameless))
     for k, shipped in enumerate(blocks):
         keep = k + 1 < len(blocks)
 
@@ -105,7 +106,7 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_
                 rows = windows.scan(list(pdf["text"]))
                 if "spans" in pdf:
                     rows = [(n_words, _merged([*spans, *((s["start"], s["end"]) for s in before)]), items | set(had), None) for (n_words, spans, items, _), before, had in zip(rows, pdf["spans"], pdf["items"], strict=True)]
-                done = pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "n_words": [r[0] for r in rows], "spans": [[{"start": a, "end": b} for a, b in r[1]] for r in rows], "items": [sorted(r[2]) for r in rows]})
+                done = pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "n_words": [r[0] for r in rows], "spans": [[{"start": a, "end": b} for a, b in r[1]] for r in rows], "items": [sorted(r[2], key=lambda i: (i is None, i or "")) for r in rows]})
                 if keep:
                     done["text"] = [t.decode() for t in pdf["text"]]
                 yield done
