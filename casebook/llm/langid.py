@@ -5,6 +5,10 @@ phrases that occur in a language's text; the language that needs the fewest phra
 character at the logarithm of its text's length a phrase, wins.  Texts are parsed
 whole, in segments that start at the root, many segments and all languages at a time.
 
+The most frequent letters of all samples have a class each.  Where there are more letters than classes, each of the rarer
+ones is spelled by a leading class and one or more following ones, so that no two letters of the samples are taken for each other.
+Letters in no sample are one class, which matches nowhere.
+
 A model is fitted on a bounded sample of labelled rows: at most ``SAMPLE_DOCS`` documents and
 ``SAMPLE_CHARS`` characters of each of the ``MAX_LANGUAGES`` most frequent labels, in the order of a hash of the row's id.
 
@@ -29,6 +33,9 @@ SEGMENT = 512
 SOFTNESS = 4.0
 _CLASSES = 64
 _PAD = _CLASSES - 1
+_UNSEEN = _CLASSES - 2
+#: Classes that begin and that continue a spelled letter; they lie below _UNSEEN.
+_LEADS, _TAILS = 8, 12
 _FLAG = 30
 
 
@@ -95,20 +102,32 @@ class Parser:
 
     def __init__(self, samples: list[tuple[str, str]]):
         self.labels = [lang for lang, _ in samples]
-        letters = np.zeros(0x110000, np.uint8)
+        letters = np.zeros(0x110000, np.int32)
         seen = pd.Series(list("".join(t for _, t in samples).lower())).value_counts(sort=True)
-        own = [c for c in seen.index if c.isalpha()][: _CLASSES - 5]
+        own = [c for c in seen.index if c.isalpha()]
+        rare = own[_UNSEEN - 1 - _LEADS - _TAILS :] if len(own) > _UNSEEN - 1 else []
+        own = own[: len(own) - len(rare)]
         for c in range(0x110000):
             if 0xD800 <= c < 0xE000:
                 continue
             if chr(c).isalpha():
-                letters[c] = _CLASSES - 4 + c % 3
+                letters[c] = _UNSEEN
         for k, c in enumerate(sorted(own)):
             letters[ord(c)] = k + 1
+        tails = 1
+        while _LEADS * _TAILS**tails < len(rare):
+            tails += 1
+        rank = np.arange(len(rare))
+        places = [rank // _TAILS**k % _TAILS + _UNSEEN - _TAILS for k in range(tails)]
+        #: The classes of each spelled letter, by its number less _CLASSES.
+        self.spelled = np.stack([rank // _TAILS**tails + _UNSEEN - _TAILS - _LEADS, *reversed(places)], axis=1).astype(np.int32)
+        for k, c in enumerate(rare):
+            letters[ord(c)] = _CLASSES + k
         self.letters = letters
         tables, counts, roots, bits, at = [], [], [], [], 0
         for _, text in samples:
-            sequence = self.classes(text)[0]
+            plain = self.classes(text)[0]
+            sequence = self.spell(plain)
             step, count = _automaton(sequence)
             table = np.full((len(step), _CLASSES), -1, np.int64)
             for s, to in enumerate(step):
@@ -122,25 +141,37 @@ class Parser:
             tables.append(table.astype(np.int32))
             counts.append(count)
             roots.append(at * _CLASSES)
-            bits.append(np.log2(len(sequence) + 2))
+            bits.append(np.log2(len(plain) + 2))
             at += len(step)
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
         self.often = np.concatenate(counts) if counts else np.zeros(0, np.int64)
         self.roots, self.bits = np.array(roots, np.int32), np.array(bits)
 
     def classes(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Letter classes of a text, with each run of other characters as one 0, and where line breaks fell."""
+        """Letters of a text by class (rarer ones: _CLASSES or more), with each run of other characters as one 0, and where line breaks fell."""
         points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), "<u4")
         found = self.letters[points]
         keep = np.ones(len(found), bool)
         keep[1:] = (found[1:] != 0) | (found[:-1] != 0)
         return found[keep], np.cumsum(keep)[np.flatnonzero(points == 10)] if len(points) else np.zeros(0, np.int64)
 
+    def spell(self, classes: np.ndarray) -> np.ndarray:
+        """The classes that the tables know: those of a text with its rarer letters spelled."""
+        rare = classes >= _CLASSES
+        if not rare.any():
+            return classes
+        size = np.where(rare, self.spelled.shape[1], 1)
+        out = np.repeat(classes, size)
+        first = (np.cumsum(size) - size)[rare]
+        out[first[:, None] + np.arange(self.spelled.shape[1])] = self.spelled[classes[rare] - _CLASSES]
+        return out
+
     def costs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Bits that each text takes under each label, and how many classes it has (0: no letter)."""
         parts = [self.classes(t)[0] for t in texts]
         size = np.array([len(p) if p.any() else 0 for p in parts], np.int64)
-        pieces = -(-size // SEGMENT)
+        parts = [self.spell(p) for p in parts]
+        pieces = np.array([-(-len(p) // SEGMENT) if n else 0 for p, n in zip(parts, size, strict=True)], np.int64)
         doc = np.repeat(np.arange(len(texts)), pieces)
         total = np.zeros((len(self.labels), len(texts)))
         if not len(doc) or not len(self.labels):
