@@ -62,12 +62,21 @@ def _sliding_min(x: np.ndarray, n: int) -> np.ndarray:
 
 
 def _minimisers(found: words.Words, at: np.ndarray, n: int, late: np.ndarray) -> np.ndarray:
-    """The least run of each window: 1 bit whether it ranks late, 39 bits of hash, 24 bits of place."""
+    """The least run of each window: 1 bit whether it ranks late, 39 bits of hash, 24 bits of place.
+
+    Places count from the start of a stretch of windows; stretches overlap by ``n`` - 1 words, so that places never reach the hash.
+    """
     key = words.rolling(found.hash, RUN, _M2) >> np.uint64(25)
-    packed = (key << np.uint64(24)) | np.arange(len(key), dtype=np.uint64)
+    packed = key << np.uint64(24)
     if len(late):
         packed[late[np.minimum(np.searchsorted(late, key), len(late) - 1)] == key] |= _LATE
-    return _sliding_min(packed, n - RUN + 1)[at]
+    span = n - RUN + 1
+    stretch = int(_PLACE) + 2 - span  # windows whose runs have places up to _PLACE
+    out = []
+    for a in range(0, max(1, len(packed) - span + 1), stretch):
+        part = packed[a : a + stretch + span - 1]
+        out.append(_sliding_min(part | np.arange(len(part), dtype=np.uint64), span))
+    return np.concatenate(out)[at]
 
 
 def _frequent(plain: DataFrame, n: int, buckets: int) -> np.ndarray:
