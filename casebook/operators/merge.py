@@ -17,7 +17,8 @@ def positional(sheet: DataFrame, records: DataFrame, case: str, row: str, contai
     the case, from 1, and ``inserted`` tells new rows.
     """
     place = F.row_number().over(Window.partitionBy(case).orderBy(row))
-    own = sheet.withColumn("ordinal", F.when(F.col(case).isNotNull(), place).otherwise(F.lit(1)))
+    # rows without a case are apart, or all of them would be one case
+    own = sheet.where(F.col(case).isNotNull()).withColumn("ordinal", place).union(sheet.where(F.col(case).isNull()).withColumn("ordinal", F.lit(1)))
     case_fields = case_fields or {}
     per_case = records.select(F.col(case).alias("_case"), *(F.col(v).alias(f"_case_{k}") for k, v in case_fields.items()))
     each = records.select(F.col(case).alias("_key"), F.posexplode(containers).alias("_pos", "_c")).select("_key", (F.col("_pos") + 1).alias("_ordinal"), *(F.col(f"_c.{f}").alias(f"_{f}") for f in fields))
@@ -39,8 +40,14 @@ def sheet_order(case: str, row: str) -> list[Column]:
 
 
 def first_occurrence(df: DataFrame, key: str, row: str, flag: str = "is_first") -> DataFrame:
-    """Whether a row is its key's first; true for a null key only where it is the first null."""
-    return df.withColumn(flag, F.row_number().over(Window.partitionBy(key).orderBy(row)) == 1)
+    """Whether a row, of which ``row`` is the number, is its key's first; true for a null key only where it is the first null.
+
+    First rows are found by an aggregation, so that a key with very many rows is reduced before it is shuffled, and joined back.
+    """
+    first = df.groupBy(F.col(key).alias("_key")).agg(F.min(row).alias("_first"))
+    known = df.where(F.col(key).isNotNull()).join(first.where("_key is not null"), F.col(key) == F.col("_key"))
+    nulls = df.where(F.col(key).isNull()).join(F.broadcast(first.where("_key is null")))  # one row
+    return known.select(*df.columns, (F.col(row) == F.col("_first")).alias(flag)).union(nulls.select(*df.columns, F.col(row) == F.col("_first")))
 
 
 def match_markers(df: DataFrame, triples: list[tuple[str, str, str]]) -> DataFrame:
