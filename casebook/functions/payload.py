@@ -86,16 +86,18 @@ def _coerced(value: Column, kind: T.DataType) -> Column:
     return number
 
 
-def _failures(value: Column, kind: T.DataType, path: Column) -> Column:
+def _failures(value: Column, typed: Column, kind: T.DataType, path: Column) -> Column:
     """Paths of scalars that have text but no value of their kind."""
     none = F.array().cast("array<string>")
     if isinstance(kind, T.ArrayType):
-        each = F.transform(F.coalesce(value, F.array().cast(_loose(kind))), lambda x, k: _failures(x, kind.elementType, F.concat(path, F.lit("["), k.cast("string"), F.lit("]"))))
+        each = F.transform(F.coalesce(value, F.array().cast(_loose(kind))), lambda x, k: _failures(x, F.get(typed, k), kind.elementType, F.concat(path, F.lit("["), k.cast("string"), F.lit("]"))))
         return F.flatten(each)
     if isinstance(kind, T.StructType):
-        parts = [_failures(value[f.name], f.dataType, F.concat(path, F.lit(f".{f.name}"))) for f in kind.fields]
-        return reduce(lambda a, b: F.concat(a, b), parts)
-    wrong = value.isNotNull() & ~F.lower(F.trim(value)).isin("nan", '"nan"') & _coerced(value, kind).isNull()
+        parts = [_failures(value[f.name], typed[f.name], f.dataType, F.concat(path, F.lit(f".{f.name}"))) for f in kind.fields if not isinstance(f.dataType, T.StringType)]
+        return reduce(lambda a, b: F.concat(a, b), parts, none)
+    if isinstance(kind, T.StringType):
+        return none  # any text is one
+    wrong = value.isNotNull() & typed.isNull() & ~F.lower(F.trim(value)).isin("nan", '"nan"')
     return F.when(wrong, F.array(path)).otherwise(none)
 
 
@@ -110,7 +112,8 @@ def parse(df: DataFrame, payload: str, version: str = schemas.DEFAULT, record: s
     # The row's number is not deterministic, so no filter on the outcome moves below the parse and repeats it.
     out = df.withColumns({"_raw": raw, "_row": F.monotonically_increasing_id()})
     loose = F.col("_raw")
-    wrong = F.transform(_failures(loose, schema, F.lit("")), lambda p: F.concat(F.lit("Schema mismatch: "), F.substring(p, 2, 1000)))
+    out = out.withColumn("_typed", _coerced(loose, schema))
+    wrong = F.transform(_failures(loose, F.col("_typed"), schema, F.lit("")), lambda p: F.concat(F.lit("Schema mismatch: "), F.substring(p, 2, 1000)))
     checks = [F.when(F.col(payload).isNull() | ~F.trim(payload).startswith("{") | loose.isNull() | (F.col("_row") < 0), F.lit("Invalid JSON"))]
     checks.append(F.when(F.coalesce(loose["schema_version"], F.lit(version)) != version, F.concat(F.lit("Schema mismatch: schema_version is "), loose["schema_version"])))
     if "confidence" in schema.names:
@@ -119,8 +122,8 @@ def parse(df: DataFrame, payload: str, version: str = schemas.DEFAULT, record: s
     if "differential_diagnoses" in schema.names:
         checks.append(F.when(F.size(loose["differential_diagnoses"]) > schemas.MOST_DIFFERENTIALS, F.lit("Schema mismatch: differential_diagnoses")))
     out = out.withColumn(errors, F.array_compact(F.concat(F.array(*checks), F.coalesce(wrong, F.array().cast("array<string>")))))
-    typed = _coerced(loose, schema).withField("schema_version", F.lit(version))
-    return out.withColumn(record, F.when(F.size(errors) == 0, typed)).drop("_raw", "_row")
+    typed = F.col("_typed").withField("schema_version", F.lit(version))
+    return out.withColumn(record, F.when(F.size(errors) == 0, typed)).drop("_raw", "_row", "_typed")
 
 
 def constrained_values(record: Column, schema: T.StructType) -> Column:

@@ -61,8 +61,12 @@ def alphanumeric(text: Column, compatibility: bool = True) -> Column:
 
 
 def match_key(value: Column) -> Column:
-    """Trimmed lower-case text, null where blank; booleans and numbers by their text."""
-    return F.nullif(F.lower(F.regexp_replace(value.cast("string"), r"(?U)^\s+|\s+$", "")), F.lit(""))
+    """Trimmed text with its case folded, null where blank; booleans and numbers by their text.
+
+    Lower case of upper case makes one of letters that differ in case only, and spells out sharp s and ligatures; the final sigma is the other one.
+    """
+    trimmed = F.regexp_replace(value.cast("string"), r"(?U)^\s+|\s+$", "")
+    return F.nullif(F.lower(F.translate(F.upper(trimmed), "Σ", "σ")), F.lit(""))
 
 
 def same_key(a: Column, b: Column) -> Column:
