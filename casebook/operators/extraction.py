@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 import urllib.request
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -172,13 +172,48 @@ def validate(answered: DataFrame, version: str = schemas.DEFAULT, vocabulary: li
     return out.withColumn("record", F.when(F.size("errors") == 0, record)).drop("_payload_error", "_parse_errors")
 
 
+def outcomes(validated: DataFrame) -> DataFrame:
+    """``outcome`` of every report, good or broken, with its error, in one pass."""
+    broken = F.size("errors") > 0
+    return validated.select("report_index", F.when(broken, "broken").otherwise("good").alias("outcome"), F.when(broken, F.array_join("errors", "; ")).alias("error"))
+
+
+def stored(validated: DataFrame, path: str) -> DataFrame:
+    """``validated`` written as Parquet and read back, so that no model answers twice whatever is made of it."""
+    validated.write.mode("overwrite").parquet(path)
+    return validated.sparkSession.read.schema(validated.schema).parquet(path)
+
+
 def split(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Good records, and broken ones as (report_index, error, raw_output), generation failures among them."""
+    """Good records, and broken ones as (report_index, error, raw_output), generation failures among them.
+
+    Both are filters of ``validated``, which should be a stored table: else each repeats the parse, and the model's work.
+    """
     good = validated.where(F.size("errors") == 0)
     broken = validated.where(F.size("errors") > 0).select("report_index", F.array_join("errors", "; ").alias("error"), F.col("raw").alias("raw_output"))
     return good, broken
 
 
+Handler = Callable[[DataFrame], None]
+
+
+def run(reports: DataFrame, template: str, model: Backend, path: str, version: str = schemas.DEFAULT, vocabulary: list[str] | None = None, on_success: Handler | None = None, on_error: Handler | None = None) -> tuple[DataFrame, DataFrame]:
+    """Reports to records, by way of a table stored under ``path``; handlers get the good records and the broken ones.
+
+    A handler is called once with all rows it is for, and not at all where there are none.  A run without any good record is an error, after the handlers.
+    """
+    done = stored(validate(generate(prompts(reports, template), model), version, vocabulary), path)
+    good, broken = split(done)
+    counts = tally(done)
+    row = counts.first()
+    if on_success and row["n_good"]:
+        on_success(good)
+    if on_error and row["n_broken"]:
+        on_error(broken)
+    require_success(counts)
+    return good, broken
+
+
 def tally(validated: DataFrame) -> DataFrame:
     """Counts of good and broken records."""
     return validated.agg(F.count_if(F.size("errors") == 0).alias("n_good"), F.count_if(F.size("errors") > 0).alias("n_broken"))

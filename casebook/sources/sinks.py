@@ -26,6 +26,23 @@ def records(good: DataFrame, folder: str, mode: str = "append", with_prompts: bo
         good.select("report_index", "prompt").write.mode(mode).parquet(f"{folder}/prompts")
 
 
+def case_files(good: DataFrame, folder: str, case: str = "case_id", mode: str = "overwrite") -> None:
+    """K2, K3: of each case one text file with its record as indented JSON, nulls kept, and one with its prompt, where there is one.
+
+    They lie in ``cases/<case>=<id>`` and ``prompts/<case>=<id>``; rows without a case are under their report's index.
+    """
+    key = F.coalesce(F.col("record")[case].cast("string"), F.concat(F.lit("report_"), F.col("report_index").cast("string")))
+    pretty = F.to_json("record", {"pretty": "true", "ignoreNullFields": "false"})
+    good.select(key.alias(case), pretty.alias("value")).repartition(case).write.mode(mode).partitionBy(case).text(f"{folder}/cases")
+    if "prompt" in good.columns:
+        good.select(key.alias(case), F.col("prompt").alias("value")).repartition(case).write.mode(mode).partitionBy(case).option("lineSep", "\n").text(f"{folder}/prompts")
+
+
+def summary_json(df: DataFrame, folder: str) -> None:
+    """K6 in whatever store the folder is: a one-row frame as a JSON object, nulls kept."""
+    df.limit(1).coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(folder)
+
+
 def broken(rows: DataFrame, folder: str, mode: str = "append") -> None:
     """K4: broken records."""
     rows.write.mode(mode).option("ignoreNullFields", False).json(f"{folder}/broken")
