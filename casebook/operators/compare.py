@@ -21,6 +21,12 @@ def runs(metrics: list[tuple[str, DataFrame]], names: list[str]) -> DataFrame:
     return reduce(DataFrame.union, made)
 
 
+def melted(wide: DataFrame, names: list[str]) -> DataFrame:
+    """L12 for runs that are rows of one frame: (run, metric, value); a metric that the frame lacks is null."""
+    pairs = F.array(*(F.struct(F.lit(n).alias("metric"), (F.col(n) if n in wide.columns else F.lit(None)).cast("double").alias("value")) for n in names))
+    return wide.select("run", F.explode(pairs).alias("p")).select("run", "p.metric", "p.value")
+
+
 def matrix(long: DataFrame, names: list[str], rename: dict[str, str] | None = None, run_names: dict[str, str] | None = None) -> DataFrame:
     """Runs by metrics, renamed for display."""
     wide = long.groupBy("run").pivot("metric", names).agg(F.first("value"))
@@ -107,7 +113,20 @@ def table(wide: DataFrame, digits: int = 4) -> DataFrame:
     return wide.select("run", *(F.when(F.col(c).isNotNull(), F.format_string(f"%.{digits}f", F.col(c).cast("double"))).otherwise("").alias(c) for c in wide.columns if c != "run"))
 
 
-FIGURES = {"table": table, "paired": paired, "error_stack": error_stack, "group_matrix": group_matrix}
+def curves(sweep: DataFrame) -> DataFrame:
+    """Accuracy and coverage over the threshold, a row for each series and threshold."""
+    names = [c for c in sweep.columns if c == "coverage" or c.endswith("_accuracy")]
+    pairs = F.array(*(F.struct(F.lit(n).alias("series"), F.col(n).alias("value")) for n in names))
+    return sweep.select("threshold", F.explode(pairs).alias("p")).select("threshold", "p.series", "p.value").where("value is not null")
+
+
+def tradeoff(sweep: DataFrame) -> DataFrame:
+    """Each accuracy over coverage, a row for each series and threshold with anything above it."""
+    pairs = F.array(*(F.struct(F.lit(n).alias("series"), F.col(n).alias("value")) for n in sweep.columns if n.endswith("_accuracy")))
+    return sweep.select("coverage", F.explode(pairs).alias("p")).select("coverage", "p.series", "p.value").where("value is not null")
+
+
+FIGURES = {"curves": curves, "tradeoff": tradeoff, "table": table, "paired": paired, "error_stack": error_stack, "group_matrix": group_matrix}
 
 
 def figure(kind: str, df: DataFrame, **options) -> DataFrame:

@@ -60,9 +60,16 @@ def retrieve(queries: DataFrame, dictionary: DataFrame, k: int = RETRIEVAL_K, di
         with np.errstate(invalid="ignore", divide="ignore"):
             sim = np.round((q @ e.T) / (nq[:, None] * ne), digits)
         sim = np.where(np.isfinite(sim), sim, -2.0)
-        take = np.argsort(-sim, axis=1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(len(left)), take.shape[1])
-        flat = take.ravel()
+        if k < sim.shape[1]:  # what ties with the k-th best is ordered with it, so that ties go by entry
+            least = -np.partition(-sim, k - 1, axis=1)[:, k - 1]
+            rows, flat = np.nonzero(sim >= least[:, None])
+            order = np.lexsort((flat, -sim[rows, flat], rows))
+            rows, flat = rows[order], flat[order]
+            first = np.searchsorted(rows, np.arange(len(sim)))
+            keep = np.arange(len(rows)) - first[rows] < k
+            rows, flat = rows[keep], flat[keep]
+        else:
+            rows, flat = np.repeat(np.arange(len(sim)), sim.shape[1]), np.tile(np.arange(sim.shape[1]), len(sim))
         out = pd.DataFrame({"query_id": left["query_id"].to_numpy()[rows], "entry_id": right["entry_id"].to_numpy()[flat], "code": right["code"].to_numpy()[flat], "similarity": sim[rows, flat]})
         return out[out["similarity"] > -2.0]
 
@@ -71,9 +78,13 @@ def retrieve(queries: DataFrame, dictionary: DataFrame, k: int = RETRIEVAL_K, di
     return found.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
 
 
-def best_by_code(candidates: DataFrame, first_synonym: bool = False) -> DataFrame:
-    """The second half of A10: of each query and code, the most similar entry; or, without a prefilter, the first one."""
-    by = ["entry_id"] if first_synonym else [F.desc("similarity"), "entry_id"]
+def best_by_code(candidates: DataFrame, first_synonym: bool | Column = False) -> DataFrame:
+    """The second half of A10: of each query and code, the most similar entry; or, without a prefilter, the first one.
+
+    ``first_synonym`` may be a condition on a query's rows, so that both ways share one retrieval.
+    """
+    flag = first_synonym if isinstance(first_synonym, Column) else F.lit(first_synonym)
+    by = [F.when(~flag, -F.col("similarity")), "entry_id"]
     rank = F.row_number().over(Window.partitionBy("query_id", "code").orderBy(*by))
     return candidates.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
@@ -102,14 +113,18 @@ def rerank(candidates: DataFrame, text: str, synonyms: str, scorer: Scorer = lex
     return candidates.withColumn(score, run(F.col(text), F.array_join(synonyms, " ; ")))
 
 
+def lacking(text: Column, other: Column) -> Column:
+    """The distinct lower-case words of a text that another one lacks."""
+    return F.array_except(F.split(F.lower(text), " "), F.split(F.lower(other), " "))
+
+
 def adjusted(score: Column, text: Column, synonyms: Column) -> Column:
     """The score, more for each synonym that the text contains, less if the longest one has many words it lacks."""
     low = F.lower(text)
     names = F.transform(synonyms, lambda s: F.lower(s))
     within = F.size(F.filter(names, lambda s: F.contains(low, s)))
     longest = F.element_at(F.array_sort(F.transform(names, lambda s: F.struct(F.length(s).alias("n"), s.alias("s")))), -1)["s"]
-    lacking = F.size(F.array_except(F.split(longest, " "), F.split(low, " ")))
-    return score + within * F.lit(PHRASE_BONUS) - F.when(lacking >= MISSING_WORDS, F.lit(MISSING_PENALTY)).otherwise(F.lit(0.0))
+    return score + within * F.lit(PHRASE_BONUS) - F.when(F.size(lacking(longest, text)) >= MISSING_WORDS, F.lit(MISSING_PENALTY)).otherwise(F.lit(0.0))
 
 
 def top(candidates: DataFrame, query: str = "query_id", score: str = "score", n: int = TOP_N, accept: float | None = None) -> DataFrame:

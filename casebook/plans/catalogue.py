@@ -38,7 +38,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # --- linking -----------------------------------------------------------------------------
 
-GROUPS = (1, 2, 3)
+GROUPS = (1, 2, 3, 4)
 K = (1, 3, 5)
 
 _SIMILAR = """
@@ -53,11 +53,11 @@ t AS (SELECT query_id, gt_code, code, similarity,
 top AS (SELECT * FROM t WHERE rank <= 5)"""
 
 _HIERARCHY = """
-h AS (SELECT n_nationkey::BIGINT AS code, n_name AS group_1, 'R' || n_regionkey AS group_2, r_name AS group_3
+h AS (SELECT n_nationkey::BIGINT AS code, n_name AS group_1, 'R' || n_regionkey AS group_2, r_name AS group_3, CASE WHEN n_regionkey < 3 THEN 'low' END AS group_4
       FROM nation JOIN region ON n_regionkey = r_regionkey)"""
 
 _REPORT = f"""{_SIMILAR},{_HIERARCHY},
-p AS (SELECT top.*, h.group_1, h.group_2, h.group_3 FROM top LEFT JOIN h USING (code)),
+p AS (SELECT top.*, h.group_1, h.group_2, h.group_3, h.group_4 FROM top LEFT JOIN h USING (code)),
 r AS (SELECT p.query_id AS case_id, any_value(p.gt_code)::BIGINT AS gt_code,
       max(CASE WHEN rank = 1 THEN p.code END) AS pred_code, max(CASE WHEN rank = 1 THEN similarity END) AS pred_score,
       {", ".join(f"coalesce(bool_or(p.code = p.gt_code AND rank <= {k}), false) AS top{k}_correct" for k in K)},
@@ -68,7 +68,7 @@ r AS (SELECT p.query_id AS case_id, any_value(p.gt_code)::BIGINT AS gt_code,
 
 def _hierarchy(spark: SparkSession, d: str) -> DataFrame:
     n, r = table(spark, d, "nation"), table(spark, d, "region")
-    return n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_nationkey").cast("long").alias("code"), F.col("n_name").alias("group_1"), F.concat(F.lit("R"), "n_regionkey").alias("group_2"), F.col("r_name").alias("group_3"), F.col("n_nationkey").alias("row_num"))
+    return n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_nationkey").cast("long").alias("code"), F.col("n_name").alias("group_1"), F.concat(F.lit("R"), "n_regionkey").alias("group_2"), F.col("r_name").alias("group_3"), F.when(F.col("n_regionkey") < 3, "low").alias("group_4"), F.col("n_nationkey").alias("row_num"))
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
@@ -86,16 +86,20 @@ def _by(key: str, *order: Column):
     return Window.partitionBy(key).orderBy(*order)
 
 
-def _tops(spark: SparkSession, d: str, first_synonym: bool = False) -> DataFrame:
-    return link.top(link.best_by_code(_candidates(spark, d), first_synonym), score="similarity")
+def _tops(spark: SparkSession, d: str) -> DataFrame:
+    return link.top(link.best_by_code(_candidates(spark, d)), score="similarity")
 
 
-def _report(spark: SparkSession, d: str, first_synonym: bool = False) -> DataFrame:
+def _report(spark: SparkSession, d: str) -> DataFrame:
+    truth = table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("case_id"), F.col("label").cast("long").alias("gt_code"))
+    return _evaluated(spark, d, _tops(spark, d), truth)
+
+
+def _evaluated(spark: SparkSession, d: str, tops: DataFrame, truth: DataFrame) -> DataFrame:
     levels = _hierarchy(spark, d)
-    tops = dictionary.lookup(_tops(spark, d, first_synonym), F.col("code"), levels, F.col("code"), {f"group_{g}": f"group_{g}" for g in GROUPS})
+    tops = dictionary.lookup(tops, F.col("code"), levels, F.col("code"), {f"group_{g}": f"group_{g}" for g in GROUPS})
     predictions = link.ranked(tops, score="similarity").select(F.col("query_id").alias("case_id"), F.lit(1).alias("row_num"), "ranked")
-    truth = table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("case_id"), F.lit(1).alias("row_num"), F.col("label").cast("long").alias("gt_code"))
-    truth = dictionary.lookup(truth, F.col("gt_code"), levels, F.col("code"), {f"gt_group_{g}": f"group_{g}" for g in GROUPS})
+    truth = dictionary.lookup(truth.withColumn("row_num", F.lit(1)), F.col("gt_code"), levels, F.col("code"), {f"gt_group_{g}": f"group_{g}" for g in GROUPS})
     return report.report_level(truth, predictions, GROUPS, K).drop("pred_name")
 
 
@@ -153,7 +157,7 @@ def link_group_mapping(spark, d):
 
 @query("SELECT p_brand AS code, array_to_string(list_sort(list(DISTINCT trim(p_name))), '|') AS synonyms, count(DISTINCT trim(p_name)) AS n FROM part WHERE trim(p_name) <> '' GROUP BY 1")
 def dict_synonyms(spark, d):
-    """A11, S3."""
+    """A11."""
     s = dictionary.synonyms(table(spark, d, "part"), "p_brand", "p_name")
     return s.select("code", F.array_join("synonyms", "|").alias("synonyms"), F.size("synonyms").cast("long").alias("n"))
 
@@ -170,6 +174,26 @@ def link_distinct_texts(spark, d):
     return long.join(distinct, "text").groupBy("text").agg(F.count("*").alias("n_slots"), F.count_distinct("key").alias("n_keys"))
 
 
+@query("""WITH w AS (SELECT p_partkey, list_distinct(string_split(lower(p_name || ' ' || p_type), ' ')) AS a, list_distinct(list_filter(string_split(replace(lower(p_type || ' ; ' || p_brand), ';', ' '), ' '), lambda x: x <> '')) AS b FROM part)
+SELECT p_partkey AS query_id, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) AS score FROM w""")
+def link_rerank(spark, d):
+    """The built-in reranker."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("query_id"), F.concat_ws(" ", "p_name", "p_type").alias("text"), F.array("p_type", "p_brand").alias("synonyms"))
+    return link.rerank(p, "text", "synonyms").select("query_id", F.round("score", 6).alias("score"))
+
+
+@query("SELECT DISTINCT trim(p_type) AS term FROM part WHERE trim(p_type) <> ''")
+def dict_terms(spark, d):
+    """S3."""
+    return dictionary.terms(table(spark, d, "part"), "p_type")
+
+
+@query("SELECT list_sort(list_distinct(list_filter(string_split(lower(p_name), ' '), lambda x: NOT list_contains(string_split(lower(p_type), ' '), x)))) AS lacking, p_partkey FROM part")
+def words_lacking(spark, d):
+    """Words of one text that another lacks."""
+    return table(spark, d, "part").select(F.array_sort(link.lacking(F.col("p_name"), F.col("p_type"))).alias("lacking"), "p_partkey")
+
+
 # --- evaluation ----------------------------------------------------------------------------
 
 _ACC = ", ".join([*(f"avg(top{k}_correct::INT) AS primary_top{k}_accuracy" for k in K), *(f"avg(top{k}_group_{g}_correct::INT) AS group_{g}_top{k}_accuracy" for g in GROUPS for k in K)])
@@ -319,14 +343,54 @@ def label_blocks(spark, d):
     return out.select("major", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"), "n_labels")
 
 
+@query(f"WITH {_DOCS}, t AS (SELECT *, lang = 'en' AS ok, source = 'src0' AS own, gt_quality AND n_chars > 500 AS held FROM f) "
+       "SELECT lang AS run, count(*) AS n_cases, avg(ok::INT) AS primary_top1_accuracy, "
+       + ", ".join(f"avg((gt_{x} = pred_{x})::INT) AS {x}_accuracy, {_mcc_sql(f'gt_{x}', f'pred_{x}')} AS {x}_mcc" for x in ("quality", "toxic"))
+       + ", avg(CASE WHEN held THEN own::INT END) AS container_top1_accuracy, avg((lang <> 'de')::INT) AS group_1_top1_accuracy, avg(CASE WHEN lang <> 'de' THEN ok::INT END) AS top1_given_group_1 FROM t GROUP BY 1")
+def eval_bundle_flags(spark, d):
+    """A3 and A4 with flags, their correlations, the container part and a group."""
+    f = _flags(spark, d)
+    wide = f.withColumns({"top1_correct": F.col("lang") == "en", "top1_group_1_correct": F.col("lang") != "de", "container_top1_correct": F.when(F.col("gt_quality") & (F.col("n_chars") > 500), F.col("source") == "src0"), **{f"{x}_correct": F.col(f"gt_{x}") == F.col(f"pred_{x}") for x in ("quality", "toxic")}})
+    out = wide.groupBy(F.col("lang").alias("run")).agg(F.count("*").alias("n_cases"), *metrics.columns((1,), (1,), ("quality", "toxic"), "container_"), *metrics.given_group((1,)))
+    return out.withColumns({f"{x}_mcc": F.round(f"{x}_mcc", 9) for x in ("quality", "toxic")})
+
+
+@query(f"WITH {_REPORT}, ranks AS (SELECT query_id AS case_id, list(code ORDER BY rank) AS codes FROM top GROUP BY 1) "
+       f"SELECT case_id, gt_code % 5 AS gt_container_code, {', '.join(f'list_contains(codes[1:{k}], gt_code % 5) AS top{k}_correct' for k in K)}, top1_group_1_correct FROM r JOIN ranks USING (case_id) WHERE pred_score IS NOT NULL AND gt_code % 3 <> 0")
+def eval_container_level(spark, d):
+    """Containers with a truth, against the ranks of their record."""
+    ranked = link.ranked(_tops(spark, d), score="similarity").select(F.col("query_id").alias("case_id"), F.col("ranked").alias("container_ranked"))
+    frame = _report(spark, d).join(ranked, "case_id").withColumn("gt_container_code", F.when(F.col("gt_code") % 3 != 0, F.col("gt_code") % 5))
+    out = report.container_level(report.scored(frame))
+    return out.select("case_id", "gt_container_code", *(f"top{k}_correct" for k in K), "top1_group_1_correct")
+
+
+@query(f"WITH {_SWEEP}, l AS (SELECT round(threshold, 9) AS threshold, unnest(['coverage', 'top1_accuracy', 'top3_accuracy']) AS series, unnest([coverage, top1_accuracy, top3_accuracy]) AS value FROM w) SELECT * FROM l WHERE value IS NOT NULL")
+def figure_curves(spark, d):
+    """P1 data."""
+    return compare.figure("curves", _sweep(spark, d)).withColumn("threshold", F.round("threshold", 9))
+
+
+@query(f"WITH {_SWEEP}, l AS (SELECT coverage, unnest(['top1_accuracy', 'top3_accuracy']) AS series, unnest([top1_accuracy, top3_accuracy]) AS value FROM w) SELECT * FROM l WHERE value IS NOT NULL")
+def figure_tradeoff(spark, d):
+    """P2 data."""
+    return compare.figure("tradeoff", _sweep(spark, d))
+
+
 # --- comparison of runs ----------------------------------------------------------------------
 
 _SIMPLE = ("primary_top1_accuracy", "primary_top3_accuracy", "group_3_top1_accuracy")
 
 
 def _two_runs(spark: SparkSession, d: str) -> DataFrame:
-    frames = [(name, metrics.summary(_report(spark, d, first), GROUPS, top_k=K)) for name, first in (("base-om", False), ("first-cd", True))]
-    return compare.runs(frames, [*_SIMPLE, "absent"])
+    """Two runs over one retrieval: queries of the second, which prefers first synonyms, have odd keys."""
+    both = _candidates(spark, d).withColumn("_run", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("query_id", F.col("query_id") * 2 + F.col("_run"))
+    tops = link.top(link.best_by_code(both, F.col("query_id") % 2 == 1), score="similarity")
+    truth = table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.explode(F.array(F.col("vec_id") * 2, F.col("vec_id") * 2 + 1)).alias("case_id"), F.col("label").cast("long").alias("gt_code"))
+    name = F.when(F.col("case_id") % 2 == 0, "base-om").otherwise("first-cd")
+    bundle = metrics.columns(GROUPS, K)
+    wide = _evaluated(spark, d, tops, truth).groupBy(name.alias("run")).agg(*bundle)
+    return compare.melted(wide, [*_SIMPLE, "absent"])
 
 
 _FIRST = _REPORT.replace("PARTITION BY query_id, code ORDER BY similarity DESC, entry_id", "PARTITION BY query_id, code ORDER BY entry_id")
@@ -487,7 +551,7 @@ CASE WHEN event_id % 5 <> 4 AND event_id % 7 <> 0 THEN event_id END AS case_id,
 CASE WHEN event_id % 5 <> 4 AND event_id % 7 <> 0 THEN event_type END AS container_diagnosis FROM events""")
 def json_validate(spark, d):
     """Versions, lax types, NaN."""
-    out = payload.parse(_extracted(spark, d).withColumn("payload", F.replace("raw", F.lit("NaN"), F.lit("null"))), "payload")
+    out = payload.parse(_extracted(spark, d), "raw")
     r = F.col("record")
     return out.select("event_id", (F.size("errors") == 0).alias("ok"), F.size("errors").cast("long").alias("n_errors"), r["case_id"].alias("case_id"), r["is_definitive"].alias("is_definitive"), F.get(r["containers"], 0)["diagnosis"].alias("container_diagnosis"))
 
@@ -496,14 +560,13 @@ def json_validate(spark, d):
 def dead_letter(spark, d):
     """Good records and broken ones of one pass."""
     done = extraction.validate(_extracted(spark, d), vocabulary=["click", "view"])
-    good, broken = extraction.split(done)
-    return good.select(F.lit("good").alias("outcome")).union(broken.select(F.lit("broken"))).groupBy("outcome").agg(F.count("*").alias("n"))
+    return extraction.outcomes(done).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT event_id, 'primary_diagnosis' AS path, event_type AS term FROM events WHERE event_type NOT IN ('click', 'view') AND event_id % 5 <> 4 AND event_id % 7 <> 0""")
 def vocab_violations(spark, d):
     """J2, J3 with an anti-join."""
-    out = payload.parse(_extracted(spark, d).withColumn("payload", F.replace("raw", F.lit("NaN"), F.lit("null"))), "payload").where("record is not null")
+    out = payload.parse(_extracted(spark, d), "raw").where("record is not null")
     out = out.withColumn("values", payload.constrained_values(F.col("record"), schemas.get("v5")))
     known = spark.range(1).select(F.explode(F.array(F.lit("click"), F.lit(" view "))).alias("term"))
     return payload.violations(out.select("event_id", "values"), "values", known).select("event_id", "path", F.col("outside").alias("term"))
@@ -531,8 +594,8 @@ def prompt_fill(spark, d):
 
 @query("SELECT p_partkey, trim(regexp_replace(lower(p_name || ' ' || p_type), '[^a-z0-9]+', ' ', 'g')) AS words FROM part")
 def text_alnum(spark, d):
-    """T2."""
-    return table(spark, d, "part").select("p_partkey", text.alphanumeric(F.concat_ws(" ", "p_name", "p_type"), False).alias("words"))
+    """T2; these names have compatibility forms of their own only."""
+    return table(spark, d, "part").select("p_partkey", text.alphanumeric(F.concat_ws(" ", "p_name", "p_type")).alias("words"))
 
 
 @query()
@@ -555,12 +618,15 @@ def case_id_normalize(spark, d):
     return table(spark, d, "orders").select("o_orderkey", text.case_id(F.concat(F.lit(" 00"), o)).alias("padded"), text.case_id(F.concat(o, F.lit(".0"))).alias("decimal"), text.case_id(F.concat(F.lit("x"), o)).alias("mixed"))
 
 
-@query("SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+')) AS n_email FROM documents")
+@query("SELECT doc_id, " + ", ".join(f"coalesce(len(regexp_extract_all(text, '{p}')), 0) AS n_{g.lower()}" for g, p, _ in spans.PATTERNS) + " FROM documents")
 def phi_counts(spark, d):
-    """D2 with one pattern, as a count."""
-    docs = table(spark, d, "documents")
-    found = spans.detect(docs.select("doc_id", "text"), "text", spans.regex_detector(spans.PATTERNS[:1]))
-    return found.select("doc_id", F.size("found").cast("long").alias("n_email"))
+    """D2, as counts of each group."""
+    found = spans.detect(table(spark, d, "documents").select("doc_id", "text"), "text")
+
+    def own(group: str):
+        return lambda s: s["entity_group"] == group
+
+    return found.select("doc_id", *(F.size(F.filter("found", own(g))).cast("long").alias(f"n_{g.lower()}") for g, _, _ in spans.PATTERNS))
 
 
 @query()
