@@ -51,27 +51,34 @@ def _reduced(batches):
     yield pd.DataFrame({"a": kept[:, 0], "b": kept[:, 1]})
 
 
-def components(links: DataFrame, one_task: int = ONE_TASK, reduced: bool = False) -> DataFrame:
-    """``links`` (a, b: long, no nulls) as (id, component): every node with a link, and the smallest it reaches.
+def components(links: DataFrame, one_task: int = ONE_TASK, reduced: bool = False, into: store.Scratch | None = None) -> DataFrame:
+    """``links`` (a, b: long, no nulls) as a stored table (id, component): every node with a link, and the smallest it reaches.
 
     ``reduced`` says that partitions hold forests already; another worker beside the one that made them is spared.
+    The table is one of ``into`` where that is given.
     """
+    scratch = store.Scratch(links.sparkSession, "components")
     links = links.select("a", "b").where("a <> b")
-    now = store.materialize(links if reduced else links.mapInPandas(_reduced, "a long, b long"), "links")
+    now = scratch.store(links if reduced else links.mapInPandas(_reduced, "a long, b long"), "links")
     size = now.count()
     if size <= one_task:
-        now = store.materialize(now.coalesce(1).mapInPandas(_reduced, "a long, b long"), "forest")
+        now = scratch.store(now.coalesce(1).mapInPandas(_reduced, "a long, b long"), "forest")
         size = 0
     before = None
     while size:
+        step = store.Scratch(links.sparkSession, "star")
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = store.materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
-        large = store.materialize(both.join(least, "a").where("b > a").select("m", "b"), "large")
-        least = store.materialize(large.groupBy("b").agg(F.min("m").alias("s")), "least")
+        least = step.store(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+        large = step.store(both.join(least, "a").where("b > a").select("m", "b"), "large")
+        least = step.store(large.groupBy("b").agg(F.min("m").alias("s")), "least")
         small = large.join(least, "b").where("m <> s").select(F.col("s").alias("a"), F.col("m").alias("b")).union(least.select(F.col("s").alias("a"), "b"))
-        now = store.materialize(small.distinct(), "stars")
+        now = scratch.store(small.distinct(), "stars")
+        step.clear()
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break
         before = state
-    return now.select(F.col("b").alias("id"), F.col("a").alias("component")).union(now.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct())
+    nodes = now.select(F.col("b").alias("id"), F.col("a").alias("component")).union(now.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct())
+    out = into.store(nodes, "components") if into else store.materialize(nodes, "components")
+    scratch.clear()
+    return out

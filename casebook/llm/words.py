@@ -112,51 +112,89 @@ def kept(key, build):
     return _KEPT[key]
 
 
+#: What a row counts for beside its text, so that frames of empty texts are bounded too.
+ROW_BYTES = 64
+
+
+def _cuts(batch, text: str, size: int, first: int = 0):
+    """Ranges of rows of an Arrow batch with at most ``size`` bytes, the first one at most ``first``; a longer text is one of its own."""
+    import pyarrow.compute as pc
+
+    column = batch.column(batch.schema.get_field_index(text))
+    at = np.concatenate(([0], np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + ROW_BYTES)))
+    begin, room = 0, first
+    while begin < batch.num_rows:
+        end = int(np.searchsorted(at, at[begin] + room, "right")) - 1
+        if end > begin or room == size:
+            end = max(end, begin + 1)
+            yield begin, end - begin, int(at[end] - at[begin])
+            begin = end
+        room = size
+
+
 def chunks(batches, size: int = 3_000_000, text: str = "text"):
-    """Frames of about ``size`` bytes of text each, out of an iterator of frames.
+    """Frames of about ``size`` bytes of text each, out of an iterator of Arrow batches.
 
-    Column ``text`` becomes ``bytes`` (null: empty).  A longer text is a frame of its own.
+    Column ``text`` becomes ``bytes`` (null: empty), and whole numbers keep their value beside nulls.  A longer text is a frame of its own.
     """
+    import pyarrow as pa
+
+    whole = {pa.int64(): pd.Int64Dtype(), pa.int32(): pd.Int32Dtype(), pa.int16(): pd.Int16Dtype(), pa.int8(): pd.Int8Dtype()}
     held, total = [], 0
-    for whole in batches:
-        for begin in range(0, len(whole), 256):  # so that few texts are held twice
-            pdf = whole.iloc[begin : begin + 256]
-            pdf = pdf.assign(**{text: [b"" if t is None else t.encode() for t in pdf[text]]})
-            at = np.cumsum([len(t) for t in pdf[text]], dtype=np.int64)
-            first = 0
-            while first < len(pdf):
-                done = int(at[first - 1]) if first else 0
-                stop = int(np.searchsorted(at, size - total + done, "right"))
-                if stop == first and not held:
-                    stop += 1
-                held.append(pdf.iloc[first:stop])
-                total += (int(at[stop - 1]) if stop else 0) - done
-                first = stop
-                if first < len(pdf) or total >= size:
-                    yield held[0] if len(held) == 1 else pd.concat(held)
-                    held, total = [], 0
+    for batch in batches:
+        for begin, count, found in _cuts(batch, text, size, size - total):
+            part = batch.slice(begin, count)
+            place = part.schema.get_field_index(text)
+            if total and total + found > size:
+                yield held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
+                held, total = [], 0
+            frame = part.drop_columns([text]).to_pandas(types_mapper=whole.get)
+            held.append(frame.assign(**{text: [t or b"" for t in part.column(place).cast(pa.binary()).to_pylist()]}))
+            total += found
+            if total >= size:
+                yield held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
+                held, total = [], 0
     if held:
-        yield held[0] if len(held) == 1 else pd.concat(held)
+        yield held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
     del held
     release()
 
 
-def keep_where(docs, text_col: str, judge, rows: int = 1000):
+def mapped(df, made, schema: str):
+    """``df`` mapped by ``made``, from an iterator of Arrow batches to frames with the columns of ``schema``.
+
+    Nothing passes through frames on the way in, where a whole number beside a null would become an inexact one.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    target = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for frame in made(batches):
+            yield pa.RecordBatch.from_pandas(frame, schema=target, preserve_index=False)
+
+    return df.mapInArrow(run, schema)
+
+
+def keep_where(docs, text_col: str, judge, size: int = 3_000_000):
     """The rows of ``docs``, unchanged, for whose texts ``judge`` (a list of texts to a list of booleans) says true."""
 
     def kept(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for begin in range(0, batch.num_rows, rows):
-                part = batch.slice(begin, rows)
+            for begin, count, _ in _cuts(batch, text_col, size, size):
+                part = batch.slice(begin, count)
                 yield part.filter(pa.array(judge(part.column(text_col).to_pylist()), pa.bool_()))
         release()
 
     return docs.mapInArrow(kept, docs.schema)
 
 
-def replace_text(docs, text_col: str, change, rows: int = 1000):
+def replace_text(docs, text_col: str, change, size: int = 3_000_000):
     """``docs`` with ``change`` (a list of texts to a list of texts) applied to its texts; nothing else changes."""
 
     def changed(batches):
@@ -164,8 +202,8 @@ def replace_text(docs, text_col: str, change, rows: int = 1000):
 
         for batch in batches:
             place = batch.schema.get_field_index(text_col)
-            for begin in range(0, batch.num_rows, rows):
-                part = batch.slice(begin, rows)
+            for begin, count, _ in _cuts(batch, text_col, size, size):
+                part = batch.slice(begin, count)
                 column = pa.array(change(part.column(place).to_pylist()), batch.schema.field(place).type)
                 yield part.set_column(place, batch.schema.field(place), column)
         release()
