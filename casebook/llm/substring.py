@@ -10,7 +10,7 @@ its windows and finds the smallest document of each.
 Before anything travels, windows that repeat within a batch are settled there: those outside
 the batch's smallest document go at once, so a passage in a third of all rows
 reaches its bucket once for each batch.  What a bucket and a batch found goes back to the documents by
-ranges of a hash of their id.
+groups of a hash of their id.  Buckets and groups are as many as the bytes of all texts ask for, a task each.
 
 Runs that are minimisers of very many windows are told from a sample of documents and rank behind
 all others, so that windows around a frequent run spread over many buckets.  The sample decides
@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 from . import store, words
 
 RUN = 2
+#: Bytes of text of which a bucket has the windows, and of a group of documents; a window's words travel about three times.
+PART_BYTES = 8 << 20
 #: One document in this many tells the frequent minimisers.
 SAMPLED = 64
 BATCH_BYTES = 3_000_000
@@ -93,7 +95,7 @@ def _frequent(plain: DataFrame, n: int, buckets: int) -> np.ndarray:
             yield pd.DataFrame({"run": np.append(run[often].astype(np.int64), -1), "n": np.append(times[often], times.sum())})
 
     sample = plain.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0).select("text")
-    sums = sample.mapInPandas(counted, "run long, n long").groupBy("run").agg(F.sum("n").alias("n")).orderBy(F.desc("n")).limit(8 * buckets + 1).collect()
+    sums = words.mapped(sample, counted, "run long, n long").groupBy("run").agg(F.sum("n").alias("n")).orderBy(F.desc("n")).limit(8 * buckets + 1).collect()
     total = max((r["n"] for r in sums if r["run"] == -1), default=0)
     return np.array(sorted(r["run"] for r in sums if r["run"] >= 0 and r["n"] * 8 * buckets > total), np.uint64)
 
@@ -228,17 +230,17 @@ def _kept(left: pd.DataFrame, right: pd.DataFrame, n: int, with_text: bool):
             starts[int(doc[a]), int(text[a])] = start[a:b]
     rows = []
     unpack = zstandard.ZstdDecompressor()
-    for doc, key, packed in zip(left["doc_id"], left["_text"], left["packed"], strict=True):
-        found = [] if packed is None else unpack.decompress(packed).split()
+    for doc, known, key, packed in zip(left["doc_id"], left["known"], left["_text"], left["packed"], strict=True):
+        found = unpack.decompress(packed).split()
         total = len(found)
-        s = None if doc is None or doc != doc else starts.get((int(doc), int(key)))
+        s = starts.get((int(doc), int(key))) if known else None
         if s is not None:
             cover = np.zeros(total + 1, np.int32)
             np.add.at(cover, s, 1)
             np.add.at(cover, s + n, -1)
             found = [w for w, c in zip(found, np.cumsum(cover[:-1]).tolist(), strict=True) if not c]
         kept = b" ".join(found)
-        rows.append((doc, total, total - len(found), hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None))
+        rows.append((int(doc) if known else pd.NA, total, total - len(found), hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None))
     return pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"]).astype({"doc_id": "Int64"})
 
 
@@ -246,11 +248,12 @@ def deduplicate(docs: DataFrame, n: int = 13, with_text: bool = True, id_col: st
     """doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text: kept words joined by one space."""
     if n < RUN:
         raise ValueError(f"a window needs {RUN} words or more")
-    spread = store.partitions(docs.sparkSession)
-    buckets, flags = 3 * spread, _Flags(2 * spread)
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("_text", F.xxhash64("text"))
+    plain = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("doc_id"), F.col(id_col).isNotNull().alias("known"), F.col(text_col).cast("string").alias("text")).withColumn("_text", F.xxhash64("text"))
 
-    late = _frequent(plain.where("doc_id is not null"), n, buckets)
+    # buckets and groups of bounded size, each a task's
+    deal = max(store.partitions(docs.sparkSession), store.parts(store.text_bytes(plain, "text"), PART_BYTES))
+    buckets, flags = deal, _Flags(deal)
+    late = _frequent(plain.where("known"), n, buckets)
 
     def travel(batches):
         for pdf in words.chunks(batches, BATCH_BYTES):
@@ -263,19 +266,18 @@ def deduplicate(docs: DataFrame, n: int = 13, with_text: bool = True, id_col: st
     def kept(left, right):
         return _kept(left, right, n, with_text)
 
-    travelled = plain.where("doc_id is not null").mapInPandas(travel, "bucket long, group long, packed binary, runs binary")
-    met = travelled.groupBy("bucket").applyInPandas(meet, "group long, flags binary")
+    travelled = words.mapped(plain.where("known"), travel, "bucket int, group int, packed binary, runs binary")
+    met = travelled.repartitionById(buckets, "bucket").groupBy("bucket").applyInPandas(meet, "group int, flags binary")
     groups = flags.groups
 
     def place(batches):
         import zstandard
 
         pack = zstandard.ZstdCompressor(level=3)
-        for pdf in batches:
-            ids = pdf["doc_id"].fillna(0).to_numpy(np.int64).astype(np.uint64)
-            packed = [None if t is None else pack.compress(t.encode()) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "packed": packed, "_text": pdf["_text"], "group": (words.mix(ids) % np.uint64(groups)).astype(np.int64)})
+        for pdf in words.chunks(batches, BATCH_BYTES):
+            ids = pdf["doc_id"].where(pdf["known"], pdf["_text"]).to_numpy(np.int64).astype(np.uint64)  # null ids are dealt by text
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "known": pdf["known"], "packed": [pack.compress(t) for t in pdf["text"]], "_text": pdf["_text"], "group": (words.mix(ids) % np.uint64(groups)).astype(np.int64)})
 
-    dealt = plain.mapInPandas(place, "doc_id long, packed binary, _text long, group long")
-    out = dealt.groupBy("group").cogroup(met.groupBy("group")).applyInPandas(kept, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    dealt = words.mapped(plain, place, "doc_id long, known boolean, packed binary, _text long, group int").repartitionById(groups, "group")
+    out = dealt.groupBy("group").cogroup(met.repartitionById(groups, "group").groupBy("group")).applyInPandas(kept, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     return out if with_text else out.drop("kept_text")
