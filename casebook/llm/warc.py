@@ -1,19 +1,20 @@
 """WARC archives with revisit records for repeated payloads.
 
-``resolve`` shuffles headers only: payload digests are counted with partial aggregation, and the digests
-that repeat are joined back, so a page that nobody repeats moves nowhere with its payload
-unless the repeated digests themselves outgrow a broadcast, which Spark decides on their size.
+``resolve`` shuffles headers only: page ids and digests are stored, the digests that repeat are found by an aggregation that
+reduces before it shuffles, and these, with their smallest page, are joined back to the pages.  They are broadcast while they are few
+(``FEW_DIGESTS``, a checked number), so that no payload moves; beyond that, Spark joins by digest and splits the rows of one that is in very many pages.
 ``write`` writes one archive per part file through Spark's own writer, so that any
-store will do; ``read`` parses whole archives as binary files.
+store will do; ``read`` parses whole archives as binary files, and resolves every revisit through the record that it names.
 
 An archive is a sequence of WARC/1.1 records.  With ``compression="gzip"`` each archive is
-one gzip member.
+one gzip member, which has to be read from its start.  Archives hold about ``ARCHIVE_BYTES`` of payload at most: long payloads go
+to archives of their own, of fewer records.
 
 Cases: null html is an empty payload; a null url is written empty; line breaks in urls are
 dropped.  Of records with equal payloads the smallest page_id is the response; rows that repeat
 that page_id are responses too.  Null page_ids are revisits of any other page with their
 payload, and responses if there is none.  Payloads below ``least`` bytes are always
-responses.  Empty tables give empty archives.
+responses.  Empty tables give empty archives; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,10 +28,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import store
+
 _END = "\r\n\r\n"
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload string"
-#: Rows of an archive: part files stay small enough to be read whole.
-ARCHIVE_ROWS = 1500
+_PARSED = "record_id string, refers_id string, known boolean, " + RECORD.replace("refers_to long, ", "")
+#: Rows of an archive, and bytes of its payloads: part files stay small enough to be read whole.
+ARCHIVE_ROWS, ARCHIVE_BYTES = 1500, 128 << 20
+#: Payloads beyond this many bytes go to archives of fewer records.
+LONG = ARCHIVE_BYTES // ARCHIVE_ROWS
+#: Repeated digests that are broadcast, some 60 bytes each.
+FEW_DIGESTS = 500_000
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -45,8 +53,10 @@ def resolve(pages: DataFrame, least: int = 0, id_col: str = "page_id", url_col:
     payload = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     records = pages.select(F.col(id_col).cast("long").alias("page_id"), F.regexp_replace(F.coalesce(F.col(url_col).cast("string"), F.lit("")), r"[\r\n]", "").alias("url"), payload.alias("payload"))
     records = records.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": base32_sha1(F.col("payload"))})
-    headers = records.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.count("*").alias("_n"), F.min("page_id").alias("_first"))
-    joined = records.join(headers.where("_n > 1").drop("_n"), "payload_digest", "left")
+    counts = records.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.count("*").alias("_n"), F.min("page_id").alias("_first"))
+    repeated = store.materialize(counts.where("_n > 1").select(F.col("payload_digest").alias("_digest"), "_first"), "repeated")
+    few = repeated.count() <= FEW_DIGESTS
+    joined = records.join(F.broadcast(repeated) if few else repeated, F.col("payload_digest") == F.col("_digest"), "left")
     revisit = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first")) & (F.col("payload_bytes") >= least)
     return joined.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("_first")).alias("refers_to"))
 
@@ -70,12 +80,18 @@ def write(records: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", com
         line("WARC-Target-URI", F.col("url")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
         maybe("X-Page-ID", F.col("page_id").cast("string")),
-        line("X-Payload-Length", F.col("payload_bytes").cast("string")),
-        F.when(revisit, F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), maybe("WARC-Refers-To", _uuid(F.col("refers_to"), F.col("payload_digest"))), maybe("X-Refers-To-Page-ID", F.col("refers_to").cast("string")))).otherwise(F.lit("Content-Type: text/html\r\n")),
+        F.when(revisit, F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", _uuid(F.col("refers_to"), F.col("payload_digest"))))).otherwise(F.lit("Content-Type: text/html\r\n")),
         F.concat(F.lit("Content-Length: "), F.when(revisit, F.lit("0")).otherwise(F.col("payload_bytes").cast("string"))),
     )
     record = F.concat(head, F.lit(_END), F.when(revisit, F.lit("")).otherwise(F.col("payload")))
-    records.select(record.alias("value")).write.option("lineSep", _END).option("compression", compression).option("maxRecordsPerFile", archive_rows).text(path)
+    def written(part: DataFrame, each: int) -> None:
+        part.select(record.alias("value")).write.mode("append").option("lineSep", _END).option("compression", compression).option("maxRecordsPerFile", each).text(path)
+
+    # sizes are those of the pages, so that these conditions reach the scan
+    written(records.where(F.col("payload_bytes") <= LONG), archive_rows)
+    long = records.where(F.col("payload_bytes") > LONG)
+    if longest := long.agg(F.max("payload_bytes")).first()[0]:
+        written(long, min(archive_rows, max(1, ARCHIVE_BYTES // longest)))
 
 
 def parse(content: bytes):
@@ -97,7 +113,8 @@ def parse(content: bytes):
 def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """Records of all archives under ``path``.
 
-    Digests of responses are computed from the payload that was read; one that differs from its header is an error.
+    Digests of responses are computed from the payload that was read; one that differs from its header is an error.  A revisit has
+    the page and the size of the response whose record it refers to; one that finds none is an error.
     """
 
     def records(batches):
@@ -106,15 +123,27 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
             for content in pdf["content"]:
                 for head, payload in parse(content):
                     said, kind = head["warc-payload-digest"].removeprefix("sha1:"), head["warc-type"]
-                    size = int(head["x-payload-length"])
                     if kind == "response":
-                        size, found = len(payload), b32encode(hashlib.sha1(payload).digest()).decode()
+                        found = b32encode(hashlib.sha1(payload).digest()).decode()
                         if said != found:
                             raise ValueError(f"payload of {head['warc-record-id']} has digest {found}, not {said}")
-                    page, refers = head.get("x-page-id"), head.get("x-refers-to-page-id")
-                    rows.append((page and int(page), head["warc-target-uri"], kind, refers and int(refers), size, said, payload.decode() if payloads and kind == "response" else None))
-            yield pd.DataFrame(rows, columns=re.findall(r"(\w+) \w+(?:,|$)", RECORD)).astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "int64"})
+                    page = head.get("x-page-id")
+                    rows.append((head["warc-record-id"], head.get("warc-refers-to"), page is not None, int(page or 0), head["warc-target-uri"], kind, len(payload), said, payload.decode() if payloads and kind == "response" else None))
+            yield pd.DataFrame(rows, columns=re.findall(r"(\w+) \w+(?:,|$)", _PARSED))
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path)
-    out = files.select("content").mapInPandas(records, RECORD)
-    return out if payloads else out.drop("payload")
+    found = files.select("content").mapInPandas(records, _PARSED)
+    found = found if payloads else found.drop("payload")
+    # archives are parsed once: what revisits need of responses is a stored table of headers
+    found = store.materialize(found, "records")
+    own = F.when(F.col("known"), F.col("page_id"))
+    revisits = found.where("record_type = 'revisit'")
+    named = found.where("record_type = 'response'").select(F.col("record_id").alias("_id"), F.col("page_id").alias("_page"), F.col("payload_bytes").alias("_size"), F.col("payload_digest").alias("_digest"))
+    named = named.join(revisits.select(F.col("refers_id").alias("_id")).distinct(), "_id", "left_semi").dropDuplicates(["_id"])
+    wrong = F.raise_error(F.concat(F.lit("revisit of an unknown record: "), F.coalesce("refers_id", F.lit("none"))))
+    good = F.col("_digest") == F.col("payload_digest")
+    columns = [c.split()[0] for c in RECORD.split(", ")]
+    out = revisits.join(named, F.col("refers_id") == F.col("_id"), "left").withColumns({"refers_to": F.when(good, F.col("_page")).otherwise(wrong.cast("long")), "payload_bytes": F.col("_size")})
+    plain = found.where("record_type <> 'revisit'").withColumn("refers_to", F.lit(None).cast("long"))
+    kept = [c for c in columns if payloads or c != "payload"]
+    return out.withColumn("page_id", own).select(kept).union(plain.withColumn("page_id", own).select(kept))
