@@ -7,7 +7,8 @@ without mandatory trigrams has every document as a candidate.  ``scan`` verifies
 the regexes.
 
 Postings are grouped by trigram and block of documents, so that the most common trigram's
-postings are as many bounded groups as there are blocks.
+postings are as many bounded groups as there are blocks.  What they give, ids with their rules, is stored; while it is
+small (``FEW_CANDIDATES``, a checked number) it is broadcast and no text moves, beyond that documents are joined to it by id.
 
 Cases: null text counts as empty and has no spans; repeated ids share candidates, yet each
 row is verified on its own text; rows with a null id are in no posting, and candidates of every rule; other columns are ignored by ``scan`` and pass ``redact``.
@@ -23,7 +24,11 @@ from re import _parser as sre_parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import store
+
 BLOCK_DOCS = 4096
+#: Documents with candidate rules that are broadcast, some 100 bytes each.
+FEW_CANDIDATES = 400_000
 
 
 @dataclass(frozen=True)
@@ -175,14 +180,18 @@ def _walked(hits: Column, gaps: Column, rule: Rule, order: int) -> Column:
 
 def _with_spans(docs: DataFrame, rules, id_col: str, text_col: str, spans: str) -> DataFrame:
     """All columns of ``docs`` and ``spans``, the spans by start and kind."""
-    free = [_free(docs, n) for n in ("span_doc", "span_kinds", "span_text", *(f"{p}_{k}" for k in range(len(rules)) for p in ("hits", "gaps")))]
+    free = [store.free_name(docs, n) for n in ("span_doc", "span_kinds", "span_text", *(f"{p}_{k}" for k in range(len(rules)) for p in ("hits", "gaps")))]
     doc, kinds, text, pairs = *free[:3], list(zip(free[3::2], free[4::2], strict=True))
     found = candidates(docs, rules, id_col, text_col).select(F.col("doc_id").alias(doc), F.col("kinds").alias(kinds))
-    joined = docs.where(F.col(id_col).isNotNull()).join(found, F.col(id_col) == F.col(doc), "left")
-    # rows with a null id are asked for every rule; they don't take part in the join, where all of them would be one key
+    found = store.materialize(found, "candidates")
+    # rows with a null id are asked for every rule
     every = F.array(*(F.lit(k) for k in range(len(rules)))).cast("array<int>")
-    nameless = docs.where(F.col(id_col).isNull()).withColumns({doc: F.lit(None).cast(found.schema[doc].dataType), kinds: every})
-    out = joined.union(nameless).withColumn(text, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    if found.count() <= FEW_CANDIDATES:
+        out = docs.join(F.broadcast(found), F.col(id_col) == F.col(doc), "left").withColumn(kinds, F.when(F.col(id_col).isNull(), every).otherwise(F.col(kinds)))
+    else:  # rows with a null id don't take part in the join, where all of them would be one key
+        out = docs.where(F.col(id_col).isNotNull()).join(found, F.col(id_col) == F.col(doc), "left")
+        out = out.union(docs.where(F.col(id_col).isNull()).withColumns({doc: F.lit(None).cast(found.schema[doc].dataType), kinds: every}))
+    out = out.withColumn(text, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     strings = F.array().cast("array<string>")
     hits, gaps, each = {}, {}, []
     for k, (rule, (hit, gap)) in enumerate(zip(rules, pairs, strict=True)):
@@ -204,7 +213,7 @@ def scan(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "
 
 def redact(docs: DataFrame, rules=RULES, mark: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with every span, overlapping ones together, replaced by ``mark``; nothing else changes."""
-    spans = _free(docs, "spans")
+    spans = store.free_name(docs, "spans")
     marked = _with_spans(docs, rules, id_col, text_col, spans)
     text = F.col(text_col).cast("string")
 
@@ -219,12 +228,6 @@ def redact(docs: DataFrame, rules=RULES, mark: str = "[SECRET]", id_col: str = "
     return marked.withColumn(text_col, F.when(F.size(spans) > 0, whole).otherwise(text)).select(*docs.columns)
 
 
-def _free(df: DataFrame, name: str) -> str:
-    while name.lower() in {c.lower() for c in df.columns}:
-        name = f"_{name}"
-    return name
-
-
 def digest(scanned: DataFrame, rules=RULES) -> DataFrame:
     """Counts of the base kinds and their digest, and all spans as text."""
     base = F.filter("spans", lambda s: s["kind"] < len(BASE))
