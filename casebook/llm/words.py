@@ -92,7 +92,10 @@ def release() -> None:
     """Give freed memory back to the system, where the C library can: workers outlive their tasks and would keep it."""
     import ctypes
 
+    import pyarrow as pa
+
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):
