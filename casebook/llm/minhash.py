@@ -3,20 +3,23 @@
 A document is its set of five-word shingles.  Documents with equal sets are one class.  Of each
 class's ``SAMPLES`` MinHash values, bands of ``ROWS`` make bucket keys, and all are folded into an odd sketch: a bitmap of
 parities, of which the XOR of two has a population count that tells how many
-values differ.  In a bucket, sketches are compared in blocks, inside the task; what leaves it is a spanning forest of the
+values differ.  In a bucket, sketches are compared inside the task; what leaves it is a spanning forest of the
 pairs that may be similar, never all pairs.  Connected, these give coarse clusters that hold
-every similar pair.  In each cluster full sets are compared, again in blocks, and the links found are
+every similar pair.  In each cluster full sets are compared in the same way, and the links found are
 connected to components.
 
-Buckets and clusters larger than ``BLOCK`` are dealt to blocks, and each pair of blocks is a
-task's work of bounded size; so neither a group of copies nor one of near copies ends in one task.
+Buckets and clusters larger than ``BLOCK`` are dealt to blocks, so neither a group of copies nor one of near copies ends in one
+task.  Each block first meets about ``PIVOTS`` rows of its bucket, copied to all of its blocks.  Rows of one group of near copies
+are thereby connected, and pairs among them need no comparison any more.  What lies outside a bucket's largest
+component, however much that is, then meets all blocks, so no pair of rows in different components is left out; a
+group of n near copies costs n rows, not n times its blocks.
 
 A similar pair is missed if it shares no band, with probability 6e-11 at similarity 0.85 and
 1e-7 at 0.8, or if its sketches differ by 5.5 standard deviations more than expected.
 
 Cases: null text, or text without words, has no shingles and is linked with nothing; fewer than
-five words are one shingle; rows that repeat a doc_id are one document if their sets are equal and linked
-through their id otherwise; rows with a null doc_id get null component and are kept; other columns are ignored by ``link`` and pass ``deduplicate``.
+five words are one shingle; rows that repeat a doc_id are one document if their sets are equal, their sets linked
+through their id otherwise, and are kept or go together; rows with a null doc_id get null component and are kept; other columns are ignored by ``link`` and pass ``deduplicate``.
 """
 
 from __future__ import annotations
@@ -25,14 +28,18 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import components, store, words
 
 BANDS, ROWS, BITS = 40, 5, 512
 SAMPLES = BANDS * ROWS
-BLOCK = 1024
+BLOCK, PIVOTS = 256, 8
+#: Members of clusters whose places are broadcast, 32 bytes each.
+FEW_MEMBERS = 1_000_000
+#: Keys of buckets with several rows that are broadcast, 16 bytes each.
+FEW_KEYS = 1_000_000
 _DRAWN = np.random.Generator(np.random.PCG64(8128)).integers(0, 2**32, (2, SAMPLES), dtype=np.uint64).astype(np.uint32)
 _A, _B = _DRAWN[0] | np.uint32(1), _DRAWN[1]
 _U64 = np.uint64
@@ -105,24 +112,53 @@ def _runs(batches, column: str):
     words.release()
 
 
-def _units(rows: DataFrame, key: str, most: int) -> DataFrame:
-    """``rows`` with ``unit`` and ``side``: keys with one row go, and keys with more than ``most`` become pairs of blocks.
+def _links(rows: DataFrame, key: str, column: str, compare, scratch: store.Scratch, values: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) that connect all rows (id, ``key``) of a key that ``compare`` finds similar.
 
-    A unit holds two blocks (sides 0 and 1), or one, of which all pairs are to be compared (side 0 only).
+    What is compared is ``column`` of ``rows``, or of ``values`` (id, ``column``) where that is given.  ``compare`` maps frames of units,
+    sorted by ``unit``, to links: a unit is one list of rows, of which all pairs are compared (side 0 only), or two lists (sides 0 and 1).
     """
-    sizes = rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1")
-    sizes = store.materialize(sizes, "sizes")
-    joined = rows.join(sizes, key)
-    blocks = F.ceil(F.col("_n") / F.lit(most))
-    dealt = joined.withColumn("_blocks", blocks).withColumn("_block", F.pmod(F.xxhash64("id", F.lit(7)), F.col("_blocks")))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("_other")
-    pairs = dealt.select("*", other)
-    low, high = F.least("_block", "_other"), F.greatest("_block", "_other")
-    return pairs.select(*rows.columns, F.xxhash64(key, low, high).alias("unit"), F.when(F.col("_blocks") == 1, 0).when(low == high, 0).when(F.col("_block") == low, 0).otherwise(1).alias("side"))
+    spread, carried = store.partitions(rows.sparkSession), [] if values else [column]
+    sizes = scratch.store(rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1"), "sizes")
+    # keys with several rows are few beside all: while they can be broadcast, no row moves to be counted
+    sized = rows.join(F.broadcast(sizes) if sizes.count() <= FEW_KEYS else sizes, key)
+
+    def found(units: DataFrame) -> DataFrame:
+        met = units.join(values, "id") if values else units
+        return met.select("unit", "id", "side", column).repartition(spread, "unit").sortWithinPartitions("unit").mapInPandas(compare, "a long, b long")
+
+    def unit(df: DataFrame, kind: int, side: int, *parts: str) -> DataFrame:
+        return df.select(F.xxhash64(key, *parts, F.lit(kind)).alias("unit"), "id", F.lit(side).alias("side"), *carried)
+
+    def copies(df: DataFrame, count: str, name: str) -> DataFrame:
+        return df.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1)).alias(name))
+
+    def dealt(column: str, seed: int) -> Column:
+        return F.pmod(F.xxhash64("id", F.lit(seed)), F.col(column))
+
+    small = unit(sized.where(F.col("_n") <= BLOCK), 0, 0)
+    if sizes.where(F.col("_n") > BLOCK).isEmpty():
+        return found(small)
+    large = sized.where(F.col("_n") > BLOCK).withColumn("_blocks", F.ceil(F.col("_n") / F.lit(BLOCK)))
+    large = scratch.store(large.withColumn("_block", dealt("_blocks", 7)), "large")
+    # every block meets the pivots
+    pivots = copies(large.where(dealt("_n", 11) < PIVOTS).drop("_block"), "_blocks", "_block")
+    first = scratch.store(found(small.union(unit(large, 1, 0, "_block")).union(unit(pivots, 1, 1, "_block"))), "first")
+    # what is not in a key's largest component meets everything
+    comps = components.components(first, reduced=True, into=scratch).withColumnRenamed("id", "_node")
+    told = scratch.store(large.join(comps, F.col("id") == F.col("_node"), "left").withColumn("_in", F.coalesce("component", "id")).drop("_node", "component"), "told")
+    each = told.groupBy(F.col(key).alias("_key"), "_in").agg(F.count("*").alias("_size"))
+    main = each.groupBy("_key").agg(F.max_by("_in", F.struct("_size", "_in")).alias("_main"), (F.sum("_size") - F.max("_size")).alias("_rest"))
+    main = scratch.store(main.where("_rest > 0").withColumn("_groups", F.ceil(F.col("_rest") / F.lit(BLOCK))), "main")
+    if main.isEmpty():
+        return first
+    left = told.join(main, F.col(key) == F.col("_key"))
+    rest = copies(left.where("_in <> _main").withColumn("_group", dealt("_groups", 13)).drop("_block"), "_blocks", "_block")
+    return first.union(found(unit(rest, 2, 0, "_group", "_block").union(unit(copies(left, "_groups", "_group"), 2, 1, "_group", "_block"))))
 
 
 def _pairs_of(side: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Rows of a unit to compare: two lists, and whether they are the same."""
+    """Rows of a unit to compare: two lists, and whether they are the same.  An id may be in both."""
     if side.any():
         return np.flatnonzero(side == 0), np.flatnonzero(side), False
     every = np.arange(len(side))
@@ -137,6 +173,7 @@ def _similar_sketches(batches, limit: int):
         first = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1])))
         size = np.diff(np.append(first, len(unit)))
         two = first[size == 2]
+        two = two[(ids[two] != ids[two + 1]) & ((side[two] != side[two + 1]) | (side[two] == 0))]
         near = np.bitwise_count(sketch[two] ^ sketch[two + 1]).sum(axis=1, dtype=np.int64) <= limit
         kept.append(np.stack([ids[two[near]], ids[two[near] + 1]], axis=1))
         for a, n in zip(first[size > 2].tolist(), size[size > 2].tolist(), strict=True):
@@ -186,7 +223,7 @@ def _similar_sets(batches, percent: int):
                     table[owner[i:j], column[i:j] - c] = 1
                     both += table[left] @ (table if same else table[right]).T
             i, j = np.nonzero(100 * both.astype(np.float64) >= percent * (size[a + left][:, None] + size[a + right] - both.astype(np.float64)))
-            keep = left[i] != right[j]
+            keep = ids[a + left[i]] != ids[a + right[j]]
             kept.append(components.forest(np.stack([ids[a + left[i[keep]]], ids[a + right[j[keep]]]], axis=1)))
         pairs = components.forest(np.concatenate(kept)) if kept else np.zeros((0, 2), np.int64)
         yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
@@ -195,7 +232,7 @@ def _similar_sets(batches, percent: int):
 def link(docs: DataFrame, percent: int = 80, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every document; ``percent`` is the least similarity in hundredths."""
     spark = docs.sparkSession
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("source", F.xxhash64("text"))
 
     def signed(batches):
         import hashlib
@@ -206,46 +243,62 @@ def link(docs: DataFrame, percent: int = 80, size: int = 5, id_col: str = "doc_i
             full = [len(s) > 0 for s in sets]
             keys, sketch = band_keys(values), odd_sketch(values)
             yield pd.DataFrame({
-                "doc_id": pdf["doc_id"].to_numpy(),
+                "doc_id": pdf["doc_id"],
+                "source": pdf["source"].to_numpy(),
                 "n_shingles": [len(s) for s in sets],
                 "same": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if f else None for s, f in zip(sets, full, strict=True)],
                 "bands": [k if f else None for k, f in zip(keys, full, strict=True)],
                 "sketch": [s.tobytes() if f else None for s, f in zip(sketch, full, strict=True)],
-            }).astype({"doc_id": "Int64"})
+            })
 
-    signs = store.materialize(plain.mapInPandas(signed, "doc_id long, n_shingles long, same binary, bands array<long>, sketch binary"), "signs")
+    signs = store.materialize(words.mapped(plain, signed, "doc_id long, source long, n_shingles long, same binary, bands array<long>, sketch binary"), "signs")
+    scratch = store.Scratch(spark, "minhash")
     known = signs.where("doc_id is not null and same is not null")
-    # one document for each set
-    lead = store.materialize(known.groupBy("same").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), "lead")
-    classes = known.join(lead.select(F.col("same").alias("_same"), "id"), (F.col("same") == F.col("_same")) & (F.col("doc_id") == F.col("id"))).select("id", "bands", "sketch")
-    classes = store.materialize(classes, "classes")
+    # one node for each set, with a row that has it
+    lead = known.groupBy("same").agg(F.min(F.struct("doc_id", "source")).alias("row"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    lead = scratch.store(lead.select("same", "n", F.col("row.doc_id").alias("least"), F.col("row.source").alias("from"), "bands", "sketch", F.monotonically_increasing_id().alias("node")), "lead")
     # buckets
-    keys = classes.select("id", F.explode("bands").alias("key"))
-    shared = _units(keys, "key", BLOCK)
     limit = most_different(percent / 100)
-    spread = store.partitions(spark)
-    met = shared.join(classes.select("id", "sketch"), "id").select("unit", "id", "side", "sketch")
-    met = met.repartition(spread, "unit").sortWithinPartitions("unit")
-    coarse = components.components(met.mapInPandas(lambda b: _similar_sketches(b, limit), "a long, b long"), reduced=True)
-    coarse = store.materialize(coarse, "coarse")
-    # full sets of what is in a cluster
-    members = plain.join(coarse, F.col("doc_id") == F.col("id")).select("id", F.col("component").alias("key"), "text")
+    keys = lead.select(F.col("node").alias("id"), F.explode("bands").alias("key"))
+    coarse = _links(keys, "key", "sketch", lambda b: _similar_sketches(b, limit), scratch, lead.select(F.col("node").alias("id"), "sketch"))
+    coarse = components.components(coarse, reduced=True, into=scratch)
+    # full sets of what is in a cluster, from one row each
+    asked = coarse.join(lead.select("node", "least", "from"), F.col("id") == F.col("node")).select("id", F.col("component").alias("key"), "least", "from")
+    asked = scratch.store(asked, "asked")
+    if asked.count() <= FEW_MEMBERS:  # then no text moves
+        asked = F.broadcast(asked)
+    members = plain.join(asked, (F.col("doc_id") == F.col("least")) & (F.col("source") == F.col("from"))).groupBy("id", "key").agg(F.first("text").alias("text"))
 
     def sets_of(batches):
         for pdf in words.chunks(batches):
             yield pd.DataFrame({"id": pdf["id"].to_numpy(), "key": pdf["key"].to_numpy(), "shingles": [s.tobytes() for s in shingle_sets(list(pdf["text"]), size)]})
 
-    full = store.materialize(members.mapInPandas(sets_of, "id long, key long, shingles binary"), "sets")
-    units = _units(full, "key", BLOCK).select("unit", "id", "side", "shingles").repartition(spread, "unit").sortWithinPartitions("unit")
-    links = units.mapInPandas(lambda b: _similar_sets(b, percent), "a long, b long")
-    # rows that repeat an id with another set are linked through their id
-    joined = known.join(lead.where("n > 1").select("same", "id"), "same").where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
-    found = store.materialize(components.components(links.union(joined), reduced=True), "components")
-    out = signs.join(found, F.col("doc_id") == F.col("id"), "left").withColumn("component_id", F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    full = scratch.store(words.mapped(members, sets_of, "id long, key long, shingles binary"), "sets")
+    links = scratch.store(_links(full, "key", "shingles", lambda b: _similar_sets(b, percent), scratch), "links")
+    # sets of rows that repeat an id are linked through it
+    twice = scratch.store(known.groupBy("doc_id").agg(F.min("same").alias("one"), F.max("same").alias("other")).where("one <> other").select(F.col("doc_id").alias("_id")), "twice")
+    if not twice.isEmpty():
+        own = known.join(twice, F.col("doc_id") == F.col("_id")).select("_id", "same").join(lead.select("same", "node"), "same").select("_id", "node").distinct()
+        own = scratch.store(own, "own")
+        least = own.groupBy("_id").agg(F.min("node").alias("a"))
+        links = links.union(own.join(least, "_id").where("a <> node").select("a", F.col("node").alias("b")))
+    comps = components.components(links, reduced=True, into=scratch)
+    # the least id of each component; a set without links has that of its own rows
+    named = scratch.store(lead.select("same", "n", "least", "node").join(comps, F.col("node") == F.col("id"), "left").select("same", "n", "least", "component"), "named")
+    told = named.where("component is not null").groupBy("component").agg(F.min("least").alias("_least"))
+    linked = named.join(told, "component").select(F.col("same").alias("_same"), "_least")
+    found = store.materialize(linked.union(named.where("component is null and n > 1").select("same", "least")), "found")
+    scratch.clear()
+    # rows that take no part don't meet as one null key
+    apart = F.col("doc_id").isNull() | F.col("same").isNull()
+    out = signs.where(~apart).join(found, F.col("same") == F.col("_same"), "left").select("doc_id", "n_shingles", F.coalesce("_least", "doc_id").alias("component_id"))
+    out = out.union(signs.where(apart).select("doc_id", "n_shingles", "doc_id"))
+    return out.select("*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def deduplicate(docs: DataFrame, percent: int = 80, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each component left, the one with the smallest id."""
-    gone = link(docs, percent, size, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    name = store.free_name(docs, "_gone")
+    gone = link(docs, percent, size, id_col, text_col).where("not kept").select(F.col("doc_id").alias(name))
+    named = docs.where(F.col(id_col).isNotNull()).join(gone, F.col(id_col) == F.col(name), "left_anti")
+    return named.union(docs.where(F.col(id_col).isNull()))  # rows that stay anyway don't meet as one null key
