@@ -5,10 +5,11 @@ covers every training text:
 
 1. Blocks of documents become arrays of token numbers into the block's own vocabulary, which is
    dealt by ranges of word hash.  Counts are summed for each range, and go back to the blocks as
-   arrays, so no vocabulary is ever in one place.
-2. The most frequent tokens and a fixed number of classes of word forms are ``SYMBOLS`` symbols.  Pairs of
-   neighbouring symbols are counted over all training texts; that table has a fixed size.
-3. On it a log-bilinear model is trained by noise-contrastive estimation: the score of a
+   arrays, so no vocabulary is ever in one place.  Ranges are as many as the bytes of all texts ask for.
+2. The symbols of the model are the most frequent tokens and a fixed number of classes of word forms.  There are ``SYMBOLS`` of them as
+   contexts; as predicted ones, their number grows with the cube root of the distinct words (``predicted_words``).  Pairs of
+   neighbouring symbols are counted over all training texts.
+3. On these counts a log-bilinear model is trained by noise-contrastive estimation: the score of a
    symbol after another is (C r) . q + b, noise are symbols by frequency, and expectations over
    noise are taken exactly.  Batched matrix products over all contexts then give normalised log-probabilities.
 
@@ -33,7 +34,11 @@ from . import store, words
 
 SYMBOLS, CLASSES, WIDTH = 1024, 192, 40
 NOISE, STEPS = 25, 300
-BATCH_BYTES = 6_000_000
+#: Deviation of the components of a vector that a small corpus says little about.
+PRIOR = 0.2
+BATCH_BYTES = 3_000_000
+#: Bytes of text whose words, of all blocks, make a range; and predicted words for each in the cube root of the distinct ones.
+RANGE_BYTES, GROWTH = 16 << 20, 17
 _END = np.uint64(0x1D8E4E27C47D124F)
 _U64 = np.uint64
 
@@ -99,11 +104,12 @@ def _blocks(batches, buckets: int):
 
 
 _BLOCK_COLUMNS = ["block", "bucket", "vocab", "form", "train", "which", "docs"]
-_BLOCK_SCHEMA = "block long, bucket long, vocab binary, form binary, train binary, which binary, docs binary"
+_PAIR_SCHEMA = "part long, keys binary, counts binary"
+_BLOCK_SCHEMA = "block long, bucket int, vocab binary, form binary, train binary, which binary, docs binary"
 
 
-def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Counts of one range of words over all blocks: an answer for each block, and the range's totals."""
+def _summed(pdf: pd.DataFrame, most: int) -> pd.DataFrame:
+    """Counts of one range of words over all blocks: an answer for each block, and the range's totals with its ``most`` frequent words."""
     parts = [_unpack(v, _U64) for v in pdf["vocab"]]
     size = [len(p) for p in parts]
     distinct, first, where = np.unique(np.concatenate(parts), return_index=True, return_inverse=True)
@@ -113,8 +119,10 @@ def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
     answers = np.split(total[where], np.cumsum(size)[:-1])
     rows = [(b, k, _pack(a), None, None, None, *[None] * 4) for b, k, a in zip(pdf["block"], pdf["bucket"], answers, strict=True)]
     known = np.flatnonzero(total > 0)
-    top = known[np.argsort(-total[known], kind="stable")[:SYMBOLS]]
+    top = known[np.argsort(-total[known], kind="stable")[:most]]
     by_class = [np.bincount(form[known], w, CLASSES).astype(np.int64).tolist() for w in (total[known], np.ones(len(known)), total[known] == 1, total[known] == 2)]
+    del parts, where, answers
+    words.release()
     rows.append((None, int(pdf["bucket"].iloc[0]), None, len(known), int(total.sum()), [{"n": int(total[t]), "h": int(distinct[t].astype(np.int64)), "form": int(form[t])} for t in top], *by_class))
     return pd.DataFrame(rows, columns=["block", "bucket", "counts", "distinct", "tokens", "top", *_CLASS_SUMS]).astype({"block": "Int64", "distinct": "Int64", "tokens": "Int64"})
 
@@ -139,34 +147,42 @@ class Symbols:
         return np.where(vocab == _END, 0, out)
 
 
-def _pairs(batches, symbols: Symbols, rows: int):
-    """Counts of neighbouring symbols in training texts, by groups of ``rows`` contexts."""
+def _pairs(batches, contexts: Symbols, symbols: Symbols, rows: int):
+    """Counts of a context and the symbol after it in training texts, those that occur, by groups of ``rows`` contexts."""
     n = symbols.size
-    table = np.zeros(n * n, np.int64)
+    keys, counts = np.zeros((2, 0), np.int64)
     for pdf in batches:
         for vocab, form, which, docs in zip(pdf["vocab"], pdf["form"], pdf["which"], pdf["docs"], strict=True):
-            symbol = symbols.of(_unpack(vocab, _U64), _unpack(form, np.uint8))[_unpack(which, np.int32)]
+            words_, form, which = _unpack(vocab, _U64), _unpack(form, np.uint8), _unpack(which, np.int32)
             _, _, held, size = _unpack(docs, np.int64).reshape(4, -1)
-            before = np.concatenate(([0], symbol[:-1]))  # each text ends with an end, 0, which is the next one's context
-            keep = np.repeat(held == 0, size)
-            table += np.bincount(before[keep] * n + symbol[keep], minlength=n * n)
-    for k in range(0, n, rows):
-        yield pd.DataFrame({"part": [k], "counts": [_pack(table[k * n : (k + rows) * n])]})
+            before = np.concatenate(([0], contexts.of(words_, form)[which[:-1]]))  # each text ends with an end, 0, which is the next one's context
+            pair = (before * n + symbols.of(words_, form)[which])[np.repeat(held == 0, size)]
+            some, times = np.unique(pair, return_counts=True)
+            both, where = np.unique(np.concatenate((keys, some)), return_inverse=True)
+            keys, counts = both, np.bincount(where, np.concatenate((counts, times)), len(both)).astype(np.int64)
+    cut = np.searchsorted(keys, np.arange(0, contexts.size + rows, rows) * n).tolist()
+    words.release()
+    for k, (i, j) in enumerate(zip(cut, cut[1:], strict=False)):
+        if j > i:
+            yield pd.DataFrame({"part": [k], "keys": [_pack(keys[i:j])], "counts": [_pack(counts[i:j])]})
 
 
 def _added(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "counts": [_pack(sum(_unpack(c, np.int64) for c in pdf["counts"]))]})
+    keys = np.concatenate([_unpack(k, np.int64) for k in pdf["keys"]])
+    times = np.concatenate([_unpack(c, np.int64) for c in pdf["counts"]])
+    some, where = np.unique(keys, return_inverse=True)
+    return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "keys": [_pack(some)], "counts": [_pack(np.bincount(where, times, len(some)).astype(np.int64))]})
 
 
 def train(counts: np.ndarray, width: int = WIDTH, noise: int = NOISE, steps: int = STEPS, seed: int = 1) -> dict[str, np.ndarray]:
     """A log-bilinear model of ``counts`` (context, symbol) by noise-contrastive estimation with Adam."""
-    n = len(counts)
+    m, n = counts.shape
     draw = np.random.Generator(np.random.PCG64(seed))
     unigram = ((counts.sum(axis=0) + 0.5) / (counts.sum() + 0.5 * n)).astype(np.float32)
-    p = {"R": draw.normal(0, 0.1, (n, width)).astype(np.float32), "Q": draw.normal(0, 0.1, (n, width)).astype(np.float32), "C": np.eye(width, dtype=np.float32), "b": np.log(unigram)}
+    p = {"R": draw.normal(0, 0.1, (m, width)).astype(np.float32), "Q": draw.normal(0, 0.1, (n, width)).astype(np.float32), "C": np.eye(width, dtype=np.float32), "b": np.log(unigram)}
     total = counts.sum()
     if not total:
-        return p | {"b": np.zeros(n, np.float32), "Q": np.zeros((n, width), np.float32)}
+        return p | {"b": np.zeros(n, np.float32), "Q": np.zeros((n, width), np.float32)}  # uniform
     data = (counts / total).astype(np.float32)
     context = data.sum(axis=1, keepdims=True)
     from_noise = noise * context * unigram
@@ -182,6 +198,8 @@ def train(counts: np.ndarray, width: int = WIDTH, noise: int = NOISE, steps: int
         slope = data - real * (data + from_noise)  # of the objective by each score
         g_made = slope @ p["Q"]
         grad = {"Q": slope.T @ made, "b": slope.sum(axis=0), "C": p["R"].T @ g_made, "R": g_made @ p["C"].T}
+        for k in ("R", "Q"):  # as likely as the prior has it
+            grad[k] -= p[k] / (PRIOR * PRIOR * total)
         rate = 0.05 * min(1.0, 2 * (1 - step / (steps + 1)))
         for k, g in grad.items():
             first[k] += 0.1 * (g - first[k])
@@ -200,24 +218,52 @@ def log_table(model: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate(out)
 
 
+class Scorer:
+    """Normalised log10-probabilities of single pairs: the sum that normalises each context is taken once, over all symbols."""
+
+    def __init__(self, model: dict[str, np.ndarray]):
+        self.made, self.q, self.b = model["R"] @ model["C"], model["Q"], model["b"].astype(np.float64)
+        total = []
+        for k in range(0, len(self.made), 64):
+            each = self.made[k : k + 64] @ self.q.T + model["b"]
+            top = each.max(axis=1, keepdims=True)
+            total.append(top[:, 0] + np.log(np.exp((each - top).astype(np.float64)).sum(axis=1)))
+        self.total = np.concatenate(total)
+
+    def of(self, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        out = np.empty(len(symbol))
+        for k in range(0, len(symbol), 1 << 16):
+            c, t = context[k : k + (1 << 16)], symbol[k : k + (1 << 16)]
+            out[k : k + (1 << 16)] = np.einsum("ij,ij->i", self.made[c], self.q[t]) + self.b[t] - self.total[c]
+        return out / np.log(10)
+
+
+def predicted_words(distinct: int) -> int:
+    """How many words the model predicts as themselves: as many as the contexts have, and more with the cube root of the distinct ones."""
+    return max(SYMBOLS - CLASSES - 1, int(GROWTH * distinct ** (1 / 3)))
+
+
 def score(docs: DataFrame, held_out: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score; rows where ``held_out`` is true are not learnt from."""
     spark = docs.sparkSession
     spread = store.partitions(spark)
     held = F.coalesce(held_out if held_out is not None else F.lit(False), F.lit(False))
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), held.alias("held_out"))
+    size = store.text_bytes(plain, "text")
+    ranges = max(spread, store.parts(size, RANGE_BYTES))
+    most = predicted_words(size // 2 + 1)  # a word takes two bytes or more
 
     def blocked(batches):
-        for row in _blocks(batches, spread):
+        for row in _blocks(batches, ranges):
             yield pd.DataFrame([row], columns=_BLOCK_COLUMNS).astype({"bucket": "Int64"})
 
-    blocks = store.materialize(plain.mapInPandas(blocked, _BLOCK_SCHEMA), "blocks")
-    sums = store.materialize(blocks.where("bucket is not null").select("block", "bucket", "vocab", "form", "train").groupBy("bucket").applyInPandas(_summed, _SUM_SCHEMA), "counts")
+    blocks = store.materialize(words.mapped(plain, blocked, _BLOCK_SCHEMA), "blocks")
+    dealt = blocks.where("bucket is not null").select("block", "bucket", "vocab", "form", "train").repartitionById(ranges, "bucket")
+    sums = store.materialize(dealt.groupBy("bucket").applyInPandas(lambda pdf: _summed(pdf, most), _SUM_SCHEMA), "counts")
     totals = sums.where("block is null")
     whole = totals.agg(F.sum("distinct"), F.sum("tokens")).first()
     distinct, tokens = int(whole[0] or 0), int(whole[1] or 0)
-    most = SYMBOLS - CLASSES - 1
-    top = [(r["h"], r["n"], r["form"]) for r in totals.select(F.explode("top").alias("t")).select("t.*").orderBy(F.desc("n"), "h").limit(most).collect()]
+    top = [(r["h"], r["n"], r["form"]) for r in totals.select(F.explode("top").alias("t")).select("t.*").orderBy(F.desc("n"), "h").limit(predicted_words(distinct)).collect()]
     classes = totals.agg(*(F.sum(F.get(c, F.lit(k))).alias(f"{c}{k}") for c in _CLASS_SUMS for k in range(CLASSES))).first()
     mass = np.array([x or 0 for x in classes], np.int64).reshape(4, CLASSES)
     end = int(_END.astype(np.int64))
@@ -231,20 +277,19 @@ def score(docs: DataFrame, held_out: Column | None = None, id_col: str = "doc_id
     discount = np.where(once > 0, once / np.maximum(once + 2 * twice, 1), 0.5)
     discount = np.clip(discount, 0.05, 0.95)
     unseen = np.where(in_class > 0, np.log10(np.maximum(discount * words_, 1e-300)) - np.log10(np.maximum(in_class, 1)), 0.0)
-    symbols = Symbols([(h, n) for h, n, _ in top])
-    n, rows = symbols.size, 64
+    symbols, contexts = Symbols([(h, n) for h, n, _ in top]), Symbols([(h, n) for h, n, _ in top[: SYMBOLS - CLASSES - 1]])
     texts = blocks.where("bucket is null").select("block", "vocab", "form", "which", "docs")
-    parts = texts.mapInPandas(lambda b: _pairs(b, symbols, rows), "part long, counts binary").groupBy("part").applyInPandas(_added, "part long, counts binary")
-    counts = np.zeros((n, n), np.int64)
-    for r in parts.collect():  # a table of fixed size
-        got = _unpack(r["counts"], np.int64).reshape(-1, n)
-        counts[r["part"] : r["part"] + len(got)] = got
-    model = train(counts)
+    parts = texts.mapInPandas(lambda b: _pairs(b, contexts, symbols, 64), _PAIR_SCHEMA).groupBy("part").applyInPandas(_added, _PAIR_SCHEMA)
+    counts = np.zeros(contexts.size * symbols.size, np.int64)
+    for r in parts.collect():  # a table whose size is that of the model
+        counts[_unpack(r["keys"], np.int64)] = _unpack(r["counts"], np.int64)
+    scorer = Scorer(train(counts.reshape(contexts.size, symbols.size)))
     unit = -np.log10(tokens + distinct + 1)
+    shipped = spark.sparkContext.broadcast((scorer, symbols, contexts))  # grows as the predicted words do
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def scored(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        table = log_table(model)
+        scorer, symbols, contexts = shipped.value
         answer = np.concatenate([_unpack(c, np.int64) for c in right.sort_values("bucket")["counts"]])
         out = []
         for r in left.itertuples():
@@ -254,12 +299,18 @@ def score(docs: DataFrame, held_out: Column | None = None, id_col: str = "doc_id
             symbol = symbols.of(vocab, form)
             share = np.log10(np.maximum(answer - discount[form], 0.01)) - np.log10(np.maximum(in_class[form], 1))
             inside = np.where(symbol > len(symbols.hash), np.where(answer > 0, share, unseen[form]), 0.0)
-            token = symbol[which]
-            value = table[np.concatenate(([0], token[:-1])), token] + inside[which]
+            value = scorer.of(np.concatenate(([0], contexts.of(vocab, form)[which[:-1]])), symbol[which]) + inside[which]
             base = np.log10(answer + 1.0) + unit
             add = np.add.reduceat
             out.append(pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "held_out": out_of == 1, "n_tokens": size, "n_known": add((answer > 0).astype(np.int64)[which], first), "train_tokens": tokens, "base_score": add(base[which], first), "score": add(value, first)}))
             out[-1].loc[missing == 1, "doc_id"] = pd.NA
         return pd.concat(out) if out else pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
 
-    return texts.groupBy("block").cogroup(sums.where("block is not null").select("block", "bucket", "counts").groupBy("block")).applyInPandas(scored, schema)
+    answers = sums.where("block is not null").select("block", "bucket", "counts")
+    # blocks numbered without large gaps are a task each
+    task, place = F.shiftright("block", 32), F.col("block").bitwiseAND(0xFFFFFFFF)
+    shape = texts.agg(F.count("*").alias("blocks"), F.max(task).alias("tasks"), F.max(place).alias("places")).first()
+    each = (shape["places"] or 0) + 1
+    spots = max(1, min(((shape["tasks"] or 0) + 1) * each, 2 * shape["blocks"] + spread))
+    left, right = (df.withColumn("block", (task * each + place).cast("int")).repartitionById(spots, "block").groupBy("block") for df in (texts, answers))
+    return left.cogroup(right).applyInPandas(scored, schema)
