@@ -6,12 +6,12 @@ bitset keyed by free space: bit f is set while a bin with f free places is open,
 fit for n ids is the lowest set bit at or above n.  When no bin fits and the number of open
 bins is at its limit, the fullest one (lowest set bit) closes first.
 
-Pieces are dealt to packers of bounded size by a hash of the document, so more input means
-more packers, and no packer's work grows with it.  Each packer leaves one or two bins partly filled,
-which is about one in two thousand with the default sizes.
+A packer takes the pieces of a partition as a stream, where they lie: nothing is shuffled, and what it
+holds is its open bins and ``LOOKAHEAD`` pieces, which are placed longest first.  Each packer leaves its last
+bins partly filled; partitions with few pieces are read together, so that there are few packers for them.
 
 Cases: null text counts as empty and yields its end id only; an empty table yields no rows;
-repeated rows and ids are packed like any others; other columns are ignored.
+repeated rows and ids, and rows with a null id, are packed like any others; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from . import store, words
 CACHE_UNITS = 600_000
 #: Text that is encoded at a time; more finds more repeats and takes more memory.
 BATCH_BYTES = 3_000_000
+#: Bins that a packer holds open, and pieces that it orders at a time: a look-ahead beyond the open bins closes bins too early.
+OPEN_BINS = LOOKAHEAD = 1024
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 #: The white space of Unicode beyond ASCII.
 _WIDE_SPACES = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
@@ -188,7 +190,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id:
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "ids"]).astype({"doc_id": "Int64"})
 
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = kept.mapInPandas(pieces, PIECES)
+    out = words.mapped(kept, pieces, PIECES)
     return out if with_ids else out.drop("ids")
 
 
@@ -197,7 +199,7 @@ class Packer:
 
     def __init__(self, capacity: int, open_bins: int):
         self.capacity, self.limit = capacity, open_bins
-        self.bits, self.open, self.made = 0, 0, 0
+        self.bits, self.open, self.made, self.closed = 0, 0, 0, 0
         self.bins: list[list[int]] = [[] for _ in range(capacity + 1)]
 
     def _take(self, free: int) -> int:
@@ -216,6 +218,7 @@ class Packer:
         else:
             if self.open >= self.limit:
                 self._take((self.bits & -self.bits).bit_length() - 1)
+                self.closed += 1
             free, bin_ = self.capacity, self.made
             self.made += 1
         left = free - n
@@ -226,31 +229,33 @@ class Packer:
         return bin_, self.capacity - free
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, open_bins: int = 4096, packer_rows: int = 10_000) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 2048, open_bins: int = OPEN_BINS, packer_rows: int = 25_000) -> DataFrame:
     """``pieces`` (doc_id, piece, length, ...) with sequence_id and offset.
 
-    A packer gets about ``packer_rows`` pieces, longest first.  ``pieces`` is counted, so it should
-    be a stored table.
+    A packer gets the pieces of a partition, or of several that together have about ``packer_rows``.  ``pieces`` is counted, so it
+    should be a stored table; what a packer does depends on its rows alone, so a task that runs again gives the same.
     """
-    packers = max(1, -(-pieces.count() // packer_rows))
-    schema = pieces.schema
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable", ignore_index=True)
-        packer = Packer(capacity, open_bins)
-        placed = [packer.place(n) for n in pdf["length"].tolist()]
-        base = int(pdf["_packer"].iloc[0]) << 40
-        out = pdf.drop(columns="_packer")
-        out["sequence_id"] = np.array([b for b, _ in placed], np.int64) + base
-        out["offset"] = np.array([o for _, o in placed], np.int64)
-        return out
+    ahead = min(LOOKAHEAD, open_bins)
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        packer, base = Packer(capacity, open_bins), TaskContext.get().partitionId() << 40
+        for batch in batches:
+            length = batch.column("length").to_numpy(zero_copy_only=False)
+            bins, offsets = np.zeros((2, len(length)), np.int64)
+            for k in range(0, len(length), ahead):
+                order = np.argsort(-length[k : k + ahead], kind="stable") + k
+                placed = [packer.place(n) for n in length[order].tolist()]
+                bins[order], offsets[order] = np.array(placed, np.int64).T
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bins + base), pa.array(offsets)], [*batch.schema.names, "sequence_id", "offset"])
 
-    dealt = pieces.withColumn("_packer", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(packers)))
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return dealt.groupBy("_packer").applyInPandas(run, f"{out}, sequence_id long, offset long")
+    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
+    return pieces.coalesce(store.parts(pieces.count(), packer_rows)).mapInArrow(run, f"{out}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, open_bins: int = 4096, packer_rows: int = 10_000, with_ids: bool = True, **columns: str) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, open_bins: int = OPEN_BINS, packer_rows: int = 25_000, with_ids: bool = True, **columns: str) -> DataFrame:
     """Every text of ``docs`` tokenized, cut and packed; ``with_ids`` keeps the ids themselves."""
     pieces = store.materialize(tokenize(docs, tokenizer_path, capacity, end_id, with_ids, **columns), "pieces")
     return pack(pieces, capacity, open_bins, packer_rows)
