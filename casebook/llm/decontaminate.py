@@ -1,16 +1,18 @@
 """Benchmark decontamination: word windows of benchmark items found in documents.
 
 Texts are lower-cased (A-Z), and words are runs of digits, a-z and characters beyond ASCII.  A
-window is ``n`` consecutive words of an item; an item with fewer is one window.  Windows are
-sent to the executors as a set of hashes with the words themselves; every window of every document is looked up by hash and
-each hit is verified on its words.
+window is ``n`` consecutive words of an item; an item with fewer is one window.  The items' texts are sent to the executors,
+where each worker makes of them a sorted table of window hashes with where each window lies, and a filter of some twenty bits a window.
+Every window of every document is looked up by hash; each hit is verified on all of its words' hashes and, once for each window
+and batch, on the words themselves.
 
 What is broadcast has a bound: items are dealt to blocks of at most about ``BLOCK_BYTES`` of text, and documents are
-scanned once for each block, from a stored table.  One block is the usual case.
+scanned once for each block, from a stored table; a block is collected when its turn comes, and let go afterwards.  One block is
+the usual case.
 
 Cases: null text has no words; null item texts are ignored, and so are null item ids unless ``nameless`` asks for
 their windows, which then hit under a null item, one for all of them, as in the query's SQL; an item with an id seen
-before adds to it; an empty benchmark hits nothing; repeated documents are judged row by row;
+before adds to it, and repeated items count once; an empty benchmark hits nothing; repeated documents are judged row by row;
 other columns pass through ``clean`` unchanged.
 """
 
@@ -23,68 +25,121 @@ from pyspark.sql import functions as F
 
 from . import store, words
 
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _MULTIPLIER = 0xA0761D6478BD642F
 FOUND = "n_words long, spans array<struct<start:int,end:int>>, items array<string>"
 
 
+def _folded(texts: list[bytes]) -> words.Words:
+    return words.split([t.translate(_FOLD) for t in texts])
+
+
+class _Table:
+    """The distinct windows of ``size`` words at places ``at`` of ``found``, each with the items that hold it."""
+
+    def __init__(self, found: words.Words, size: int, at: np.ndarray, item: np.ndarray):
+        hashes = words.rolling(found.hash, size, _MULTIPLIER)[at]
+        order = np.lexsort((item, hashes))
+        hashes, at, item = hashes[order], at[order], item[order]
+        new = np.concatenate(([True], hashes[1:] != hashes[:-1]))
+        first = np.flatnonzero(new)
+        self.size, self.hashes, self.at = size, hashes[first], at[first]
+        keep = new | np.concatenate(([True], item[1:] != item[:-1]))
+        self.item = item[keep]
+        self.begin = np.append(np.flatnonzero(new[keep]), len(self.item))  # of each window's items
+        bits = 1 << max(10, int(len(first) * 16 - 1).bit_length())
+        self.mask, self.bits = np.uint64(bits - 1), np.zeros(bits >> 3, np.uint8)
+        place = self.hashes & self.mask
+        np.bitwise_or.at(self.bits, place >> np.uint64(3), np.left_shift(np.uint8(1), (place & np.uint64(7)).astype(np.uint8)))
+
+    def hits(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``hashes`` are in the table, and where there."""
+        place = hashes & self.mask
+        maybe = np.flatnonzero((self.bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1)
+        where = np.minimum(np.searchsorted(self.hashes, hashes[maybe]), len(self.hashes) - 1)
+        sure = self.hashes[where] == hashes[maybe]
+        return maybe[sure], where[sure]
+
+
 class Windows:
     """The windows of a block of items."""
 
     def __init__(self, items: list[tuple[str | None, str]], n: int):
-        self.items: dict[bytes, set[str | None]] = {}
-        for item, text in items:
-            found = text.encode().translate(_FOLD).split()
-            size = min(n, len(found))
-            for k in range(len(found) - size + 1 if found else 0):
-                self.items.setdefault(b" ".join(found[k : k + size]), set()).add(item)
-        self.bits: dict[int, np.ndarray] = {}
-        by_size: dict[int, list[bytes]] = {}
-        for w in self.items:
-            by_size.setdefault(w.count(b" ") + 1, []).append(w)
-        for size, group in sorted(by_size.items()):
-            hashed = words.split([b" ".join(group)]).hash.reshape(-1, size)
-            self.bits[size] = np.zeros(1 << 22, bool)
-            for row in hashed:
-                self.bits[size][words.rolling(row, size, _MULTIPLIER) & np.uint64((1 << 22) - 1)] = True
+        names = sorted({i for i, _ in items}, key=lambda i: (i is None, i or ""))
+        number = {i: k for k, i in enumerate(names)}
+        self.names = names
+        self.words = _folded([t.encode() for _, t in items])
+        first = self.words.first
+        size = np.minimum(np.diff(first), n)
+        windows = np.where(size > 0, np.diff(first) - size + 1, 0)
+        at = np.repeat(first[:-1], windows) + np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+        item = np.repeat(np.array([number[i] for i, _ in items], np.int64), windows)
+        width = np.repeat(size, windows)
+        self.tables = [_Table(self.words, w, at[width == w], item[width == w]) for w in np.unique(width).tolist()]
+
+    def _verified(self, found: words.Words, at: np.ndarray, table: _Table, where: np.ndarray) -> np.ndarray:
+        """Which hits have the same words."""
+        same, own = np.ones(len(at), bool), table.at[where]
+        for k in range(table.size):
+            same &= found.hash[at + k] == self.words.hash[own + k]
+        some, first = np.unique(where, return_index=True)
+        for w, k in zip(some.tolist(), first.tolist(), strict=True):  # each window once: what else hits it has the same hashes, word by word
+            a, b, last = int(at[k]), int(table.at[w]), table.size - 1
+            if found.raw[found.start[a] : found.end[a + last]].split() != self.words.raw[self.words.start[b] : self.words.end[b + last]].split():
+                same[where == w] = False
+        return same
 
     def scan(self, texts: list[bytes]) -> list[tuple[int, list[tuple[int, int]], set[str], list[tuple[int, int]]]]:
         """For each text: its number of words, the word ranges hit, the items, and the ranges as byte offsets."""
-        found = words.split([t.translate(_FOLD) for t in texts])
+        found = _folded(texts)
         doc, first = found.doc, found.first
-        hits: dict[int, list] = {}
-        for size, bits in self.bits.items():
-            rolled = words.rolling(found.hash, size, _MULTIPLIER)
-            at = np.flatnonzero(bits[rolled & np.uint64((1 << 22) - 1)])
-            at = at[doc[at] == doc[at + size - 1]]
-            for k in at.tolist():
-                window = b" ".join(found.raw[found.start[k] : found.end[k + size - 1]].split())
-                if items := self.items.get(window):
-                    hits.setdefault(int(doc[k]), []).append((k, k + size, items))
+        starts, stops, owners, items = [], [], [], []
+        for table in self.tables:
+            at, where = table.hits(words.rolling(found.hash, table.size, _MULTIPLIER))
+            inside = doc[at] == doc[at + table.size - 1]
+            at, where = at[inside], where[inside]
+            good = self._verified(found, at, table, where)
+            at, where = at[good], where[good]
+            starts.append(at)
+            stops.append(at + table.size)
+            # each document and window once, then their items
+            pair = np.unique(doc[at] * len(table.hashes) + where)
+            d, w = pair // len(table.hashes), pair % len(table.hashes)
+            count = table.begin[w + 1] - table.begin[w]
+            index = np.repeat(table.begin[w] - np.cumsum(count) + count, count) + np.arange(count.sum())
+            owners.append(np.repeat(d, count))
+            items.append(table.item[index])
+        spans: dict[int, list] = {}
+        names: dict[int, set] = {}
+        if starts:
+            at, stop = np.concatenate(starts), np.concatenate(stops)
+            order = np.lexsort((stop, at))
+            for a, b in zip(at[order].tolist(), stop[order].tolist(), strict=True):
+                own = spans.setdefault(int(doc[a]), [])
+                if own and a <= own[-1][1]:
+                    own[-1] = (own[-1][0], max(b, own[-1][1]))
+                else:
+                    own.append((a, b))
+            for d, i in np.unique(np.stack((np.concatenate(owners), np.concatenate(items))), axis=1).T.tolist():
+                names.setdefault(d, set()).add(self.names[i])
         begin = np.concatenate(([1], np.cumsum([len(t) + 1 for t in texts]) + 1))
         out = []
         for d in range(len(texts)):
-            base, spans, items = int(first[d]), [], set()
-            for a, b, more in sorted(hits.get(d, ()), key=lambda x: x[:2]):
-                items |= more
-                if spans and a <= spans[-1][1]:
-                    spans[-1] = (spans[-1][0], max(b, spans[-1][1]))
-                else:
-                    spans.append((a, b))
-            places = [(int(found.start[a] - begin[d]), int(found.end[b - 1] - begin[d])) for a, b in spans]
-            out.append((int(first[d + 1]) - base, [(a - base, b - base) for a, b in spans], items, places))
+            base, own = int(first[d]), spans.get(d, [])
+            places = [(int(found.start[a] - begin[d]), int(found.end[b - 1] - begin[d])) for a, b in own]
+            out.append((int(first[d + 1]) - base, [(a - base, b - base) for a, b in own], names.get(d, set()), places))
         return out
 
 
-def _blocks(benchmark: DataFrame, n: int, id_col: str, text_col: str, nameless: bool = False):
-    """Broadcasts of the items, each of bounded size."""
-    items = benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).na.drop(subset=["text"] if nameless else ["id", "text"])
-    size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    count = max(1, -(-size // BLOCK_BYTES))
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, nameless: bool = False):
+    """Broadcasts of the items, each of bounded size, made one at a time, and whether each is the last."""
+    items = benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).na.drop(subset=["text"] if nameless else ["id", "text"]).distinct()
+    count = store.parts(items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0, BLOCK_BYTES)
+
     for k in range(count):
         rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(count)) == k).collect()  # at most about BLOCK_BYTES
-        yield benchmark.sparkSession.sparkContext.broadcast([tuple(r) for r in rows])
+        yield k + 1 == count, benchmark.sparkSession.sparkContext.broadcast([tuple(r) for r in rows])
 
 
 def _windows(shipped, n: int) -> Windows:
@@ -96,9 +151,8 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_
     """One row per document: doc_id, n_words, spans (word ranges hit, merged) and items, sorted as strings, a null one last."""
     out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = out.schema["doc_id"].dataType.simpleString()
-    blocks = list(_blocks(benchmark, n, item_col, item_text_col, nameless))
-    for k, shipped in enumerate(blocks):
-        keep = k + 1 < len(blocks)
+    for last, shipped in _blocks(benchmark, item_col, item_text_col, nameless):
+        keep = not last
 
         def scan(batches, shipped=shipped, keep=keep):
             windows = _windows(shipped, n)
@@ -106,14 +160,15 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_
                 rows = windows.scan(list(pdf["text"]))
                 if "spans" in pdf:
                     rows = [(n_words, _merged([*spans, *((s["start"], s["end"]) for s in before)]), items | set(had), None) for (n_words, spans, items, _), before, had in zip(rows, pdf["spans"], pdf["items"], strict=True)]
-                done = pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "n_words": [r[0] for r in rows], "spans": [[{"start": a, "end": b} for a, b in r[1]] for r in rows], "items": [sorted(r[2], key=lambda i: (i is None, i or "")) for r in rows]})
+                done = pd.DataFrame({"doc_id": pdf["doc_id"], "n_words": [r[0] for r in rows], "spans": [[{"start": a, "end": b} for a, b in r[1]] for r in rows], "items": [sorted(r[2], key=lambda i: (i is None, i or "")) for r in rows]})
                 if keep:
                     done["text"] = [t.decode() for t in pdf["text"]]
                 yield done
 
-        out = out.mapInPandas(scan, f"doc_id {kind}, {FOUND}" + ", text string" * keep)
+        out = words.mapped(out, scan, f"doc_id {kind}, {FOUND}" + ", text string" * keep)
         if keep:
             out = store.materialize(out, "scanned")
+            shipped.unpersist()
     return out
 
 
@@ -133,8 +188,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, n: int = 10, whole: bool = True
     All columns stay.  With spans cut, what is cut goes from the first hit word to the last,
     and texts without hits stay as they are.
     """
-    blocks = list(_blocks(benchmark, n, item_col, item_text_col))
-    for k, shipped in enumerate(blocks):
+    for last, shipped in _blocks(benchmark, item_col, item_text_col):
 
         def scan(texts, shipped=shipped):
             return _windows(shipped, n).scan([b"" if t is None else t.encode() for t in texts])
@@ -146,8 +200,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, n: int = 10, whole: bool = True
             return [_without(old, places) if places else old for old, (_, _, _, places) in zip(texts, scan(texts), strict=True)]
 
         docs = words.keep_where(docs, text_col, clear) if whole else words.replace_text(docs, text_col, cut)
-        if k + 1 < len(blocks):
+        if not last:
             docs = store.materialize(docs, "cleaned")
+            shipped.unpersist()
     return docs
 
 
