@@ -8,7 +8,7 @@ bins is at its limit, the fullest one (lowest set bit) closes first.
 
 A packer takes the pieces of a partition as a stream, where they lie: nothing is shuffled, and what it
 holds is its open bins and ``LOOKAHEAD`` pieces, which are placed longest first.  Each packer leaves its last
-bins partly filled; partitions with few pieces are read together, so that there are few packers for them.
+bins partly filled, about two in a thousand for a packer of 1,000 pieces.
 
 Cases: null text counts as empty and yields its end id only; an empty table yields no rows;
 repeated rows and ids, and rows with a null id, are packed like any others; other columns are ignored.
@@ -166,32 +166,39 @@ class Encoder:
         return out
 
 
+def _pieces(batches, tokenizer: str, capacity: int, end_id: int, with_ids: bool):
+    """Frames of pieces of the texts of Arrow batches."""
+    end = np.asarray([end_id], "<u4")
+    for pdf in words.chunks(batches, BATCH_BYTES):
+        rows = []
+        encoder = words.kept(("encoder", hash(tokenizer)), lambda: Encoder(tokenizer))
+        for doc, found in zip(pdf["doc_id"], encoder.encode(list(pdf["text"])), strict=True):
+            ids = np.concatenate((found, end)).tobytes()
+            n, at, k = len(ids) // 4, 0, 0
+            stop = n % capacity or min(n, capacity)
+            while at < n:
+                part = ids[4 * at : 4 * stop]
+                rows.append((doc, k, at, stop - at, crc32(part), part if with_ids else None))
+                at, stop, k = stop, stop + capacity, k + 1
+        yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "ids"]).astype({"doc_id": "Int64"})
+
+
+def _mapped(docs: DataFrame, tokenizer_path: str, made, schema: str, with_ids: bool, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` mapped by ``made``, which takes Arrow batches and the tokenizer file's text."""
+    with open(tokenizer_path, encoding="utf-8") as f:
+        shipped = docs.sparkSession.sparkContext.broadcast(f.read())  # a tokenizer file, a few MB at most
+    kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    out = words.mapped(kept, lambda batches: made(batches, shipped.value), schema)
+    return out if with_ids else out.drop("ids")
+
+
 def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of every text: doc_id, piece, start, length, ids_crc32 and, if asked for, ids.
 
     A text's ids are the tokenizer's without added ones, then ``end_id``.  Only a longer one than ``capacity`` is
     cut; its first piece takes what is left over, all others are full.
     """
-    with open(tokenizer_path, encoding="utf-8") as f:
-        shipped = docs.sparkSession.sparkContext.broadcast(f.read())  # a tokenizer file, a few MB at most
-    end = np.asarray([end_id], "<u4")
-
-    def pieces(batches):
-        for pdf in words.chunks(batches, BATCH_BYTES):
-            rows = []
-            for doc, found in zip(pdf["doc_id"], words.kept(("encoder", hash(shipped.value)), lambda: Encoder(shipped.value)).encode(list(pdf["text"])), strict=True):
-                ids = np.concatenate((found, end)).tobytes()
-                n, at, k = len(ids) // 4, 0, 0
-                stop = n % capacity or min(n, capacity)
-                while at < n:
-                    part = ids[4 * at : 4 * stop]
-                    rows.append((doc, k, at, stop - at, crc32(part), part if with_ids else None))
-                    at, stop, k = stop, stop + capacity, k + 1
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "ids"]).astype({"doc_id": "Int64"})
-
-    kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = words.mapped(kept, pieces, PIECES)
-    return out if with_ids else out.drop("ids")
+    return _mapped(docs, tokenizer_path, lambda batches, file: _pieces(batches, file, capacity, end_id, with_ids), PIECES, with_ids, id_col, text_col)
 
 
 class Packer:
@@ -229,33 +236,53 @@ class Packer:
         return bin_, self.capacity - free
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, open_bins: int = OPEN_BINS, packer_rows: int = 25_000) -> DataFrame:
-    """``pieces`` (doc_id, piece, length, ...) with sequence_id and offset.
+def _placed(packer: Packer, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bins and places of pieces in the order of a stream, ``LOOKAHEAD`` at a time with the longest first."""
+    ahead = min(LOOKAHEAD, packer.limit)
+    bins, offsets = np.zeros((2, len(length)), np.int64)
+    for k in range(0, len(length), ahead):
+        order = np.argsort(-length[k : k + ahead], kind="stable") + k
+        bins[order], offsets[order] = np.array([packer.place(n) for n in length[order].tolist()], np.int64).T
+    return bins, offsets
+
+
+def _own_base() -> int:
+    """Where the sequence ids of this partition begin."""
+    from pyspark import TaskContext
+
+    return TaskContext.get().partitionId() << 40
+
 
-    A packer gets the pieces of a partition, or of several that together have about ``packer_rows``.  ``pieces`` is counted, so it
-    should be a stored table; what a packer does depends on its rows alone, so a task that runs again gives the same.
+def pack(pieces: DataFrame, capacity: int = 2048, open_bins: int = OPEN_BINS) -> DataFrame:
+    """``pieces`` (doc_id, piece, length, ...) with sequence_id and offset, by a packer for each partition.
+
+    What a packer does depends on its rows and their order alone.
     """
-    ahead = min(LOOKAHEAD, open_bins)
 
     def run(batches):
         import pyarrow as pa
-        from pyspark import TaskContext
 
-        packer, base = Packer(capacity, open_bins), TaskContext.get().partitionId() << 40
+        packer, base = Packer(capacity, open_bins), _own_base()
         for batch in batches:
-            length = batch.column("length").to_numpy(zero_copy_only=False)
-            bins, offsets = np.zeros((2, len(length)), np.int64)
-            for k in range(0, len(length), ahead):
-                order = np.argsort(-length[k : k + ahead], kind="stable") + k
-                placed = [packer.place(n) for n in length[order].tolist()]
-                bins[order], offsets[order] = np.array(placed, np.int64).T
+            bins, offsets = _placed(packer, batch.column("length").to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bins + base), pa.array(offsets)], [*batch.schema.names, "sequence_id", "offset"])
 
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return pieces.coalesce(store.parts(pieces.count(), packer_rows)).mapInArrow(run, f"{out}, sequence_id long, offset long")
+    return pieces.mapInArrow(run, f"{out}, sequence_id long, offset long")
+
+
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, open_bins: int = OPEN_BINS, packer_rows: int = 1000, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every text of ``docs`` tokenized, cut and packed in one pass; ``with_ids`` keeps the ids themselves.
+
+    Nothing is stored or shuffled between; partitions of few documents are read together until a packer has ``packer_rows``, for
+    which ``docs`` is counted, so it should be a stored table.
+    """
 
+    def run(batches, file: str):
+        packer, base = Packer(capacity, open_bins), _own_base()
+        for frame in _pieces(batches, file, capacity, end_id, with_ids):
+            bins, offsets = _placed(packer, frame["length"].to_numpy())
+            yield frame.assign(sequence_id=bins + base, offset=offsets)
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, open_bins: int = OPEN_BINS, packer_rows: int = 25_000, with_ids: bool = True, **columns: str) -> DataFrame:
-    """Every text of ``docs`` tokenized, cut and packed; ``with_ids`` keeps the ids themselves."""
-    pieces = store.materialize(tokenize(docs, tokenizer_path, capacity, end_id, with_ids, **columns), "pieces")
-    return pack(pieces, capacity, open_bins, packer_rows)
+    near = docs.coalesce(store.parts(docs.count(), packer_rows))
+    return _mapped(near, tokenizer_path, run, f"{PIECES}, sequence_id long, offset long", with_ids, id_col, text_col)
