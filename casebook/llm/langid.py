@@ -9,11 +9,13 @@ The most frequent letters of all samples have a class each.  Where there are mor
 ones is spelled by a leading class and one or more following ones, so that no two letters of the samples are taken for each other.
 Letters in no sample are one class, which matches nowhere.
 
-A model is fitted on a bounded sample of labelled rows: at most ``SAMPLE_DOCS`` documents and
-``SAMPLE_CHARS`` characters of each of the ``MAX_LANGUAGES`` most frequent labels, in the order of a hash of the row's id.
+A model is fitted on a bounded sample of labelled rows: of each label at most ``SAMPLE_DOCS`` distinct documents, of each of
+which at most ``SAMPLE_CHARS`` / 40 characters, and ``SAMPLE_CHARS`` characters in all, or an equal share of
+``MODEL_CHARS`` where there are many labels.  Every label is learnt; more than ``MOST_LABELS`` are an error, as such a column holds no languages.
 
 Cases: null text or text without a letter is ``und`` with score 0; with no labelled row at all, every
-text is; equal costs go to the label that sorts first; repeated rows get equal results; other columns are ignored.
+text is; equal costs go to the label that sorts first; repeated rows get equal results, and count once in the sample; null ids are
+rows like others; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,10 +29,14 @@ from . import words
 
 SAMPLE_CHARS = 40_000
 SAMPLE_DOCS = 200
-MAX_LANGUAGES = 64
+#: Characters of all samples together, which bounds the tables of a model.
+MODEL_CHARS = 640_000
+MOST_LABELS = 4096
 SEGMENT = 512
 #: Bits of advantage that make a label twice as likely.
 SOFTNESS = 4.0
+#: Bits a character beyond which none of the languages accounts for a text of so many letters.
+MOST_BITS, LEAST_LETTERS = 9.0, 64
 _CLASSES = 64
 _PAD = _CLASSES - 1
 _UNSEEN = _CLASSES - 2
@@ -46,19 +52,22 @@ def remainder(id_col: Column, n: int) -> Column:
 
 def sample(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
     """(label, text) of a bounded sample of rows with a label and a text."""
-    rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(id_col).alias("h")).where("lang is not null and length(trim(text)) > 0")
-    share = F.pmod("h", F.lit(1 << 30)) / float(1 << 30)
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    each = SAMPLE_CHARS // 40
+    rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h")).where("lang is not null and length(trim(text)) > 0")
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).limit(MOST_LABELS + 1).collect()
     if not counts:
         return []
-    want = F.coalesce(*(F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 2 * SAMPLE_DOCS / r["count"]))) for r in counts), F.lit(0.0))
+    if len(counts) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels: column {lang_col} holds no languages")
     # The first SAMPLE_DOCS by hash lie below twice their share, but for chances that don't matter: fewer rows do as well.
-    few = rows.where(share < want).select("lang", "h", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    best = few.groupBy("lang").agg(F.slice(F.array_sort(F.collect_list(F.struct("h", "text"))), 1, SAMPLE_DOCS).alias("rows"))
-    out = []
-    for r in sorted(best.collect(), key=lambda r: r["lang"]):  # at most MAX_LANGUAGES x SAMPLE_DOCS rows
-        out.append((r["lang"], "\n".join(x["text"] for x in r["rows"])[:SAMPLE_CHARS]))
-    return out
+    shares = labelled.sparkSession.createDataFrame([(r["lang"], min(1.0, 2 * SAMPLE_DOCS / max(r["n"], 1))) for r in counts], "_lang string, want double")
+    share = F.pmod("h", F.lit(1 << 30)) / float(1 << 30)
+    few = rows.join(F.broadcast(shares), F.col("lang") == F.col("_lang")).where(share < F.col("want")).select("lang", "h", F.substring("text", 1, each).alias("text"))
+    first = F.slice(F.array_sort(F.collect_list(F.struct("h", "text"))), 1, SAMPLE_DOCS)
+    chars = min(SAMPLE_CHARS, MODEL_CHARS // len(counts))
+    # copies of a row are one before they meet
+    best = few.dropDuplicates(["lang", "h"]).groupBy("lang").agg(F.substring(F.array_join(F.transform(first, lambda r: r["text"]), "\n"), 1, chars).alias("text"))
+    return sorted((r["lang"], r["text"]) for r in best.collect())  # at most MODEL_CHARS characters
 
 
 def _automaton(text: np.ndarray) -> tuple[list[dict[int, int]], np.ndarray]:
@@ -200,6 +209,13 @@ class Parser:
                 total[k] += np.bincount(doc[a : a + lanes], cost[k], len(texts))
         return total, size
 
+    def told(self, texts: list[str]) -> np.ndarray:
+        """Whether any of the languages accounts for each text."""
+        total, size = self.costs(texts)
+        if not self.labels:
+            return size > 0
+        return (size > 0) & ((size < LEAST_LETTERS) | (total.min(axis=0) <= MOST_BITS * size))
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Label, score and bits per character of each text."""
         total, size = self.costs([t or "" for t in texts])
@@ -226,19 +242,21 @@ def identify(docs: DataFrame, samples: list[tuple[str, str]], id_col: str = "doc
     def predicted(batches):
         for pdf in words.chunks(batches):
             labels, score, bits = _parser(shipped.value).predict([t.decode() for t in pdf["text"]])
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "lang_pred": labels, "score": score, "bits_per_char": bits})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang_pred": labels, "score": score, "bits_per_char": bits})
 
-    return kept.mapInPandas(predicted, f"doc_id {kind}, lang_pred string, score double, bits_per_char double")
+    return words.mapped(kept, predicted, f"doc_id {kind}, lang_pred string, score double, bits_per_char double")
 
 
 def keep_identified(docs: DataFrame, samples: list[tuple[str, str]], text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents in which no language can be told: null text, or text without a letter; no others, with or without labels."""
-    shipped = docs.sparkSession.sparkContext.broadcast(samples)
+    """``docs`` without the documents in which no language can be told.
+
+    These are null texts, texts without a letter, and texts of ``LEAST_LETTERS`` or more that every language
+    parses at more than ``MOST_BITS`` a character, which is into matches of hardly more than a letter: other scripts, or no language.  With no
+    label to learn from, all texts with a letter stay.
+    """
+    shipped = docs.sparkSession.sparkContext.broadcast(samples)  # bounded by the sample's parameters
 
-    def letters(texts: list[str | None]) -> list[bool]:
-        parser = _parser(shipped.value)
-        if not parser.labels:  # nothing to predict by, but a letter can be told
-            return [bool(n) for n in parser.costs([t or "" for t in texts])[1]]
-        return [label != "und" for label in parser.predict(texts)[0]]
+    def told(texts: list[str | None]) -> list[bool]:
+        return _parser(shipped.value).told([t or "" for t in texts]).tolist()
 
-    return words.keep_where(docs, text_col, letters)
+    return words.keep_where(docs, text_col, told)

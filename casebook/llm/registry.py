@@ -23,7 +23,7 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    held_out = langid.remainder(F.col("doc_id"), 4) == 2
+    held_out = F.coalesce(langid.remainder(F.col("doc_id"), 4) == 2, F.lit(False))
     samples = langid.sample(docs.where(~held_out))
     found = langid.identify(docs, samples)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "bits_per_char")
