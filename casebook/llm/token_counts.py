@@ -7,7 +7,8 @@ tokenizer: a later candidate must be strictly better, and candidates come by the
 that no entry covers alone cost ten below the lowest score, neighbours among them fuse, and then count as their bytes where the
 vocabulary has all of them, or as one unknown piece.
 
-Each distinct word is counted once and its count kept under the word's 64-bit hash.
+Each distinct word is counted once and its count kept under the word's 64-bit hash.  Of a word, no more is held than the
+longest entry needs, so a text without any space takes no more memory than others.
 
 Cases: null and empty texts have no tokens; repeated rows are counted alike; other columns are ignored.
 """
@@ -15,6 +16,7 @@ Cases: null and empty texts have no tokens; repeated rows are counted alike; oth
 from __future__ import annotations
 
 import math
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -26,6 +28,8 @@ from . import words
 Vocabulary = list[tuple[str, float]]
 MARK = "▁"
 CACHE_WORDS = 3_000_000
+#: Places of a word that are forgotten at a time.
+_FORGET = 4096
 
 
 def vocabulary(model_path: str) -> Vocabulary:
@@ -52,39 +56,45 @@ class Counter:
             if piece:
                 self.find.add_word(piece, (len(piece), s))
         self.find.make_automaton()
+        self.longest = max(map(len, score))
         self.single = {p for p in score if len(p) == 1}
         self.unknown = min(score.values()) - 10.0
         self.bytes = {b for b in range(256) if f"<0x{b:02X}>" in score}
         self.known, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
     def word(self, text: str) -> int:
-        """Pieces of ``text``, which starts with the mark."""
-        n = len(text)
-        by_start: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for last, (size, s) in self.find.iter(text):
-            by_start[last - size + 1].append((last + 1, s))
-        best, back = [0.0] * (n + 1), [-1] * (n + 1)
-        odd = [False] * (n + 1)
-        for at, found in enumerate(by_start):
-            here = best[at]
-            for end, s in found:
-                if back[end] < 0 or here + s > best[end]:
-                    best[end], back[end], odd[end] = here + s, at, False
-            if text[at] not in self.single:
-                s = here + self.unknown
-                if back[at + 1] < 0 or s > best[at + 1]:
-                    best[at + 1], back[at + 1], odd[at + 1] = s, at, True
-        count, at = 0, n
-        while at > 0:
-            if odd[at]:
-                end = at
-                while at > 0 and odd[at]:
-                    at = back[at]
-                raw = text[at:end].encode()
-                count += len(raw) if self.bytes.issuperset(raw) else 1
-            else:
-                at, count = back[at], count + 1
-        return count
+        """Pieces of ``text``, which starts with the mark.
+
+        By place in the text: the best score up to there, the pieces of that way, and of unknown characters at its end, which are
+        still fusing, how many bytes they are and whether the vocabulary has all of those.  Entries that end at one place
+        come longest first, which is by their start.  Places further back than any entry reaches are forgotten.
+        """
+        score, pieces, fusing, spelled = [0.0], [0], [0], [True]
+        done, end, top, start = 0, 1, None, 0  # done: how many places are forgotten
+        for last, (size, s) in chain(self.find.iter(text), [(len(text), (0, 0.0))]):
+            while end <= last:  # no other entry ends there
+                k = end - 1 - done
+                if text[end - 1] not in self.single and (top is None or score[k] + self.unknown > top):
+                    raw = text[end - 1].encode()
+                    spelled.append(spelled[k] and self.bytes.issuperset(raw))
+                    score.append(score[k] + self.unknown)
+                    pieces.append(pieces[k])
+                    fusing.append(fusing[k] + len(raw))
+                else:
+                    k = start - done
+                    score.append(top)
+                    pieces.append(pieces[k] + 1 + (fusing[k] if spelled[k] else 1))
+                    fusing.append(0)
+                    spelled.append(True)
+                end, top = end + 1, None
+                if len(score) > self.longest + _FORGET:
+                    for held in (score, pieces, fusing, spelled):
+                        del held[:_FORGET]
+                    done += _FORGET
+            here = score[end - size - done] + s if size else None
+            if size and (top is None or here > top):
+                top, start = here, end - size
+        return pieces[-1] + (fusing[-1] if spelled[-1] else 1)
 
     def count(self, texts: list[bytes]) -> np.ndarray:
         """Pieces of each text."""
@@ -127,6 +137,6 @@ def count_tokens(docs: DataFrame, vocab: Vocabulary, unknown: int = 0, id_col: s
     def counted(batches):
         counter = words.kept(("counter", hash(tuple(shipped.value)), unknown), lambda: Counter(shipped.value, unknown))
         for pdf in words.chunks(batches, 10_000_000):
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "n_tokens": counter.count(list(pdf["text"]))})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": counter.count(list(pdf["text"]))})
 
-    return kept.mapInPandas(counted, f"doc_id {kind}, n_tokens long")
+    return words.mapped(kept, counted, f"doc_id {kind}, n_tokens long")
