@@ -1,4 +1,4 @@
-"""Queries of the readers and sinks: tables of the driver are written by a sink and read back by a reader.
+"""Queries of the readers and sinks: tables of the driver are written by a sink and read back by a reader (S1-S12, K1-K9, T7-T9, T13, T15), and of what lies around them.
 
 Each has DuckDB SQL for what was written, so a difference is the fault of either side.
 """
@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from casebook import schemas
 from casebook.functions import text
 from casebook.operators import compare, extraction
+from casebook.plans import linking
 from casebook.plans.catalogue import table
 from casebook.sources import readers, sinks, work
 
@@ -183,3 +184,41 @@ def extraction_run(spark, d):
     reports = table(spark, d, "events").select(F.col("event_id").alias("report_index"), F.col("event_id").alias("case_id"), answer.alias("text"))
     extraction.run(reports, "{input_text}", extraction.backend(" Echo "), work.new_folder(spark, "run"), on_success=lambda df: seen.update(good=df.count()), on_error=lambda df: seen.update(broken=df.count()))
     return spark.createDataFrame(list(seen.items()), "kind string, n long")
+
+
+@query("SELECT unnest(['region_r_regionkey', 'region_r_name']) AS slug, unnest(['r_regionkey', 'r_name']) AS found")
+def metric_names(spark, d):
+    """Names of columns out of display names, and the columns that display names mean."""
+    columns = table(spark, d, "region").columns
+    rows = [(text.slug("Region ", c.upper(), None), text.header(columns, f" {c.upper()} ")) for c in columns if c in ("r_regionkey", "r_name")]
+    return spark.createDataFrame(rows, "slug string, found string")
+
+
+@query("""WITH last AS (SELECT p_type AS name, arg_max(p_brand, p_partkey) AS brand, arg_max(p_size, p_partkey)::BIGINT AS code FROM part GROUP BY 1),
+first AS (SELECT p_size::BIGINT AS code, arg_min(p_brand, p_partkey) AS group_1 FROM part GROUP BY 1)
+SELECT o.o_orderkey AS key, l.code, f.group_1, CASE WHEN l.code IS NULL THEN 0 ELSE 1 END AS n_primary, 2 AS n_containers FROM orders o
+LEFT JOIN (SELECT p_partkey, p_type FROM part) p ON p.p_partkey = o.o_custkey LEFT JOIN last l ON l.name = p.p_type LEFT JOIN first f USING (code)""")
+def link_records_exact(spark, d):
+    """Records with a primary text and two containers, linked by equal names, each distinct text once."""
+    p = table(spark, d, "part").select("p_partkey", "p_type", "p_brand", "p_size")
+    entries = p.select(F.col("p_size").cast("long").alias("code"), F.col("p_type").alias("name"), F.col("p_brand").alias("group_1"), F.col("p_partkey").alias("row_num"))
+    own = table(spark, d, "orders").join(p, F.col("o_custkey") == F.col("p_partkey"), "left")
+    nested = F.array(*(F.struct(F.col(c).alias("diagnosis")) for c in ("p_type", "o_orderstatus")))
+    records = own.select(F.col("o_orderkey").alias("key"), F.col("p_type").alias("primary_diagnosis"), nested.alias("containers"))
+    out = linking.link_records(records, "key", entries, exact=True)
+    first = F.get("ranked", 0)
+    return out.select("key", first["code"].alias("code"), first["group_1"].alias("group_1"), F.size("ranked").alias("n_primary"), F.size("container_ranked").alias("n_containers"))
+
+
+@query("SELECT 'v5' AS version, 2 AS k, 'Text: ' || r_name AS prompt FROM region")
+def configured_prompt(spark, d):
+    """Settings over defaults from a file, and the template of a version.  Both are small files of the driver's."""
+    import tempfile
+    from pathlib import Path
+
+    with tempfile.TemporaryDirectory() as folder:
+        Path(folder, "config.yaml").write_text('{"version": "v5", "k": 2}', encoding="utf-8")
+        Path(folder, "extraction_v5.txt").write_text("Text: {input_text}", encoding="utf-8")
+        settings = readers.config(f"{folder}/config.yaml", {"version": "v2", "k": 1}, {"version": set(schemas.VERSIONS)})
+        template = readers.prompt_template(folder, settings["version"])
+    return extraction.prompts(table(spark, d, "region"), template, "r_name").select(F.lit(settings["version"]).alias("version"), F.lit(settings["k"]).alias("k"), "prompt")
