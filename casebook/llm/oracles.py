@@ -74,6 +74,59 @@ string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k, b) FILTER (k < 3) AS
 SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (doc_id)"""
 )
 
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+LEXICAL = f"""WITH d AS (SELECT row_number() OVER () AS doc, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_TERM}') AS w FROM documents),
+l AS (SELECT doc, doc_id, len(w)::BIGINT AS n FROM d WHERE len(w) > 0), c AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM l),
+i AS (SELECT row_number() OVER () AS item, item_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_TERM}') AS w FROM benchmark),
+q AS (SELECT item, term, count(*) AS times FROM (SELECT item, unnest(w) AS term FROM i) GROUP BY 1, 2),
+p AS (SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY 1, 2),
+f AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, c GROUP BY 1),
+s AS (SELECT item, doc, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms))))::BIGINT AS score FROM q JOIN p USING (term) JOIN f USING (term) JOIN l USING (doc), c GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS FIRST, doc) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM r JOIN i USING (item) WHERE rank <= 20"""
+
+#: Levels that the SQL of the manifest has: 16^6 rows a source, and as many sources.
+_DEPTH = 6
+_FIELD = "coalesce(strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR, '-')"
+
+
+def _leaf(text: str) -> str:
+    return f"sha256({' || '.join(_FIELD.format(c) for c in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+
+def _tree(name: str, group: str) -> str:
+    """Tables ``name``_1 up: nodes with the run that they are in, hashed to the next table until one node is left of a group."""
+    out = []
+    for k in range(_DEPTH):
+        out.append(f"{name}_r{k} AS (SELECT {group}, p // 16 AS p, max(n) AS n, string_agg(h, '' ORDER BY p) AS run FROM {name}_{k} GROUP BY {group}, p // 16)")
+        out.append(f"{name}_{k + 1} AS (SELECT {group}, p, (n + 15) // 16 AS n, CASE WHEN n = 1 THEN run ELSE sha256(run) END AS h FROM {name}_r{k})")
+    return ",\n".join(out)
+
+
+def _path(name: str, group: str, key: str, table: str, p: str, fold: str) -> str:
+    """Rows of ``table`` with the siblings of each level added to ``proof``, and ``fold`` folded over them."""
+    out = []
+    for k in range(_DEPTH):
+        left, right = f"substr(r.run, 1, 64 * (t.{p} % 16))", f"substr(r.run, 64 * (t.{p} % 16) + 65)"
+        out.append(
+            f"{name}{k} AS (SELECT t.* REPLACE (t.{p} // 16 AS {p}, CASE WHEN r.n = 1 THEN t.{fold} ELSE sha256({left} || t.{fold} || {right}) END AS {fold}, "
+            f"CASE WHEN r.n = 1 THEN t.proof ELSE t.proof || {left} || {right} END AS proof) FROM {table} t JOIN {key}_r{k} r ON r.{group} IS NOT DISTINCT FROM t.{group} AND r.p = t.{p} // 16)"
+        )
+        table = f"{name}{k}"
+    return ",\n".join(out)
+
+
+_CRC = "xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT), lambda a, b: list_reduce([xor(a, b)] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+MERKLE = f"""WITH a_0 AS (SELECT source, row_number() OVER w - 1 AS p, count(*) OVER (PARTITION BY source) AS n, leaf AS h, doc_id, claimed
+  FROM (SELECT doc_id, source, {_leaf("text")} AS leaf, CASE WHEN {_CRC} % 5 = 0 THEN {_leaf(_LOWER.format("text"))} ELSE {_leaf("text")} END AS claimed FROM documents) WINDOW w AS (PARTITION BY source ORDER BY doc_id, leaf)),
+{_tree("a", "source")},
+b_0 AS (SELECT 0 AS one, source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS p, count(*) OVER () AS n, h FROM a_{_DEPTH}),
+{_tree("b", "one")},
+t AS (SELECT a.doc_id, a.source, a.p AS p, b.p AS q, 0 AS one, a.h AS leaf, b.h AS subroot, a.claimed AS fold, '' AS proof FROM a_0 a JOIN b_0 b ON a.source IS NOT DISTINCT FROM b.source),
+{_path("t", "source", "a", "t", "p", "fold")},
+{_path("u", "one", "b", f"t{_DEPTH - 1}", "q", "fold")}
+SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = h AS verified FROM u{_DEPTH - 1}, b_{_DEPTH}"""
+
 ORACLE_SQL = {
     "op5_embedding_dedup": EMBEDDINGS,
     "op6_minhash_dedup": NEAR_DUPLICATES,
@@ -81,4 +134,6 @@ ORACLE_SQL = {
     "op8_decontamination": CONTAMINATION,
     "op9_warc": WARC,
     "op10_secret_scan": SECRETS,
+    "op12_lexical_search": LEXICAL,
+    "op13_merkle_manifest": MERKLE,
 }

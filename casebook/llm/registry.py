@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embed_dedup, langid, lm_scoring, minhash, oracles, packing, secrets, store, substring, token_counts, warc
+from . import decontaminate, embed_dedup, langid, lexical, lm_scoring, merkle, minhash, oracles, packing, secrets, store, substring, token_counts, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,6 +64,15 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents")))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lexical.index(_table(spark, sf_dir, "documents"), store.new_path(spark, "postings"))
+    return lexical.search(found, _table(spark, sf_dir, "benchmark"), k=20)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(merkle.prove(_table(spark, sf_dir, "documents"), claimed=merkle.tampered_leaf()))
+
+
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_language_id": op2_language_id,
@@ -75,6 +84,8 @@ QUERIES: dict[str, Query] = {
     "op8_decontamination": op8_decontamination,
     "op9_warc": op9_warc,
     "op10_secret_scan": op10_secret_scan,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = dict(oracles.ORACLE_SQL)
