@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embed_dedup, langid, lexical, lm_scoring, merkle, minhash, oracles, packing, secrets, store, substring, token_counts, warc
+from . import decontaminate, embed_dedup, langid, lexical, lm_scoring, merkle, minhash, oracles, packing, personal, secrets, store, substring, token_counts, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,6 +64,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents")))
 
 
+def op11_pii_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.digest(personal.scan(_table(spark, sf_dir, "documents")))
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lexical.index(_table(spark, sf_dir, "documents"), store.new_path(spark, "postings"))
     return lexical.search(found, _table(spark, sf_dir, "benchmark"), k=20)
@@ -84,6 +88,7 @@ QUERIES: dict[str, Query] = {
     "op8_decontamination": op8_decontamination,
     "op9_warc": op9_warc,
     "op10_secret_scan": op10_secret_scan,
+    "op11_pii_scan": op11_pii_scan,
     "op12_lexical_search": op12_lexical_search,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
