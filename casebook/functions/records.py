@@ -66,10 +66,34 @@ def first_filled(containers: Column, field: str) -> Column:
     return F.get(F.filter(F.transform(containers, lambda c: F.trim(c[field].cast("string"))), lambda v: v != ""), 0)
 
 
+def _is(value: Column, kind: str) -> Column:
+    return F.schema_of_variant(value).startswith(kind)
+
+
+def _scalar(value: Column) -> Column:
+    """A variant as text: strings without their quotes, all else as JSON."""
+    return F.when(_is(value, "STRING"), value.cast("string")).otherwise(F.to_json(value))
+
+
 def normalized_containers(json_text: Column) -> Column:
-    """JSON of containers as an array of JSON objects: null is empty, a scalar becomes a label, null items go."""
-    text = F.trim(json_text)
-    many = F.from_json(text, "array<string>")
-    label = F.to_json(F.struct(F.regexp_replace(text, '^"|"$', "").alias("label")))
-    some = F.when(text.startswith("["), many).when(text.startswith("{"), F.array(text)).when(text.isNotNull() & ~text.isin("", "null"), F.array(label))
-    return F.filter(F.coalesce(some, F.array().cast("array<string>")), lambda c: c.isNotNull() & (c != "null"))
+    """JSON of containers as an array of JSON objects: null is empty, anything else than an object becomes a label, null items go.
+
+    Text that is no JSON is a label as it stands.
+    """
+    value = F.try_parse_json(json_text)
+    one = F.array(value)
+    items = F.when(F.is_variant_null(value), F.slice(one, 1, 0)).when(_is(value, "ARRAY"), value.cast("array<variant>")).otherwise(one)
+    some = F.filter(items, lambda x: x.isNotNull() & ~F.is_variant_null(x))
+    objects = F.transform(some, lambda x: F.when(_is(x, "OBJECT"), F.to_json(x)).otherwise(F.to_json(F.struct(_scalar(x).alias("label")))))
+    raw = F.array(F.to_json(F.struct(F.trim(json_text).alias("label"))))
+    none = F.array().cast("array<string>")
+    return F.when(F.coalesce(F.trim(json_text), F.lit("")) == "", none).when(value.isNull(), raw).otherwise(objects)
+
+
+def picked_container(record_json: Column) -> Column:
+    """J10 on a record's JSON: ``container`` where the key is there, null unless it is an object; else the first of ``containers``, as JSON."""
+    value = F.try_parse_json(record_json)
+    own = F.try_variant_get(value, "$.container", "variant")  # null only where the key is absent
+    many = F.try_variant_get(value, "$.containers", "array<variant>")
+    first = F.get(many, 0)
+    return F.when(own.isNotNull(), F.when(_is(own, "OBJECT"), F.to_json(own))).otherwise(F.when(~F.is_variant_null(first), F.to_json(first)))

@@ -105,6 +105,12 @@ def slug(*parts: str | None) -> str:
     return "_".join(p for p in made if p)
 
 
+def slugged(*parts: Column) -> Column:
+    """T8 over rows: names out of the display names that a table holds; null and blank parts go."""
+    made = (F.regexp_replace(F.lower(F.trim(p)), r"[ /\\]", "_") for p in parts)
+    return F.concat_ws("_", *(F.nullif(m, F.lit("")) for m in made))
+
+
 def header(columns: list[str], name: str) -> str | None:
     """The column that a display name means, without regard to case and outer spaces."""
     return next((c for c in columns if c.strip().casefold() == name.strip().casefold()), None)

@@ -108,6 +108,16 @@ def paired(long: DataFrame, suffixes: tuple[str, str] = ("-om", "-cd")) -> DataF
     return long.select(F.regexp_replace("run", f"({either})$", "").alias("base"), F.regexp_extract("run", f"({either})$", 1).alias("variant"), "metric", "value")
 
 
+def mcc_bars(long: DataFrame) -> DataFrame:
+    """Bars of correlations, (run, flag, value); flags that a run lacks are blank."""
+    return long.where(F.col("metric").endswith("_mcc")).select("run", F.regexp_replace("metric", "_mcc$", "").alias("flag"), "value")
+
+
+def given_bars(long: DataFrame) -> DataFrame:
+    """Bars of the accuracy where a group is right, (run, group, value)."""
+    return long.where(F.col("metric").startswith("top1_given_")).select("run", F.regexp_replace("metric", "^top1_given_", "").alias("group"), "value")
+
+
 def table(wide: DataFrame, digits: int = 4) -> DataFrame:
     """Numbers as text with fixed digits, nulls blank."""
     return wide.select("run", *(F.when(F.col(c).isNotNull(), F.format_string(f"%.{digits}f", F.col(c).cast("double"))).otherwise("").alias(c) for c in wide.columns if c != "run"))
@@ -126,7 +136,7 @@ def tradeoff(sweep: DataFrame) -> DataFrame:
     return sweep.select("coverage", F.explode(pairs).alias("p")).select("coverage", "p.series", "p.value").where("value is not null")
 
 
-FIGURES = {"curves": curves, "tradeoff": tradeoff, "table": table, "paired": paired, "error_stack": error_stack, "group_matrix": group_matrix}
+FIGURES = {"curves": curves, "tradeoff": tradeoff, "table": table, "paired": paired, "mcc": mcc_bars, "given": given_bars, "error_stack": error_stack, "group_matrix": group_matrix}
 
 
 def figure(kind: str, df: DataFrame, **options) -> DataFrame:

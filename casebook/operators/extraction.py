@@ -8,24 +8,55 @@ built once in each worker; a failing prompt costs that record only.
 from __future__ import annotations
 
 import json
+import time
+import urllib.error
 import urllib.request
-from collections.abc import Callable, Iterator
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from itertools import islice
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from casebook import schemas
 from casebook.functions import payload, text
 
 
+class Truncated(Exception):
+    """An answer that ends at the limit of tokens instead of its own end; ``raw`` is what there is of it."""
+
+    def __init__(self, raw: str):
+        super().__init__("the answer ends at the limit of tokens")
+        self.raw = raw
+
+
+#: An answer, and why there is none or only a part.
+Answer = tuple[str | None, str | None]
+
+
 class Backend:
     """Answers prompts."""
 
     def generate(self, prompt: str, schema: dict | None = None) -> str:
         raise NotImplementedError
 
+    def answer(self, prompt: str, schema: dict | None = None) -> Answer:
+        """The answer to one prompt; a failure costs no other prompt."""
+        try:
+            return self.generate(prompt, schema), None
+        except Truncated as e:
+            return e.raw, f"Truncated: {e}"
+        except Exception as e:  # the record goes to the broken ones with its reason
+            return None, f"{type(e).__name__}: {e}"
+
+    def answer_all(self, prompts: Iterable[str], schema: dict | None = None) -> Iterator[Answer]:
+        """Answers in the order of their prompts."""
+        for prompt in prompts:
+            yield self.answer(prompt, schema)
+
 
 @dataclass
 class Echo(Backend):
@@ -45,15 +76,27 @@ class Replay(Backend):
         return self.answers[prompt]
 
 
+#: Statuses of an endpoint that is busy or failing for now, so that the same request may succeed later.
+PASSING = (408, 425, 429, 500, 502, 503, 504)
+
+
 @dataclass
 class Http(Backend):
-    """U4: a chat completion endpoint."""
+    """U4: a chat completion endpoint.
+
+    ``concurrency`` requests of a partition are under way at a time, so an endpoint gets at most that many from each running task.  What fails
+    for now is tried again up to ``retries`` times, after pauses that double from ``pause`` seconds, or as long as the endpoint asks, at most ``longest_pause``.
+    """
 
     url: str = "http://localhost:8000/v1/chat/completions"
     model: str = ""
     max_tokens: int = 2048
     timeout: float = 300.0
     temperature: float = 0.0
+    concurrency: int = 8
+    retries: int = 4
+    pause: float = 0.5
+    longest_pause: float = 30.0
 
     def request(self, prompt: str, schema: dict | None) -> dict:
         body = {"model": self.model, "messages": [{"role": "user", "content": prompt}], "max_tokens": self.max_tokens, "temperature": self.temperature}
@@ -62,9 +105,36 @@ class Http(Backend):
         return body
 
     def generate(self, prompt: str, schema: dict | None = None) -> str:
-        call = urllib.request.Request(self.url, json.dumps(self.request(prompt, schema)).encode(), {"Content-Type": "application/json"})
-        with urllib.request.urlopen(call, timeout=self.timeout) as answer:
-            return json.load(answer)["choices"][0]["message"]["content"] or ""
+        choice = self._sent(json.dumps(self.request(prompt, schema)).encode())["choices"][0]
+        content = choice["message"]["content"] or ""
+        if choice.get("finish_reason") == "length":
+            raise Truncated(content)
+        return content
+
+    def _sent(self, body: bytes) -> dict:
+        for k in range(self.retries + 1):
+            pause = self.pause * 2**k
+            try:
+                with urllib.request.urlopen(urllib.request.Request(self.url, body, {"Content-Type": "application/json"}), timeout=self.timeout) as answer:
+                    return json.load(answer)
+            except urllib.error.HTTPError as e:
+                if e.code not in PASSING or k == self.retries:
+                    raise
+                asked = e.headers.get("Retry-After", "")
+                pause = float(asked) if asked.isdigit() else pause
+            except (urllib.error.URLError, TimeoutError, ConnectionError):
+                if k == self.retries:
+                    raise
+            time.sleep(min(pause, self.longest_pause))
+        raise AssertionError("unreachable")
+
+    def answer_all(self, prompts: Iterable[str], schema: dict | None = None) -> Iterator[Answer]:
+        waiting = iter(prompts)
+        with ThreadPoolExecutor(self.concurrency) as pool:
+            sent = deque(pool.submit(self.answer, p, schema) for p in islice(waiting, self.concurrency))
+            while sent:
+                yield sent.popleft().result()
+                sent.extend(pool.submit(self.answer, p, schema) for p in islice(waiting, 1))
 
 
 @dataclass
@@ -131,18 +201,12 @@ def prompts(reports: DataFrame, template: str, text_col: str = "text", vocabular
 
 
 def generate(prompted: DataFrame, model: Backend, schema: dict | None = None) -> DataFrame:
-    """Prompts with ``raw`` answers, or ``generation_error`` where the backend failed."""
+    """Prompts with ``raw`` answers, and ``generation_error`` where the backend failed or cut an answer off."""
 
     @F.pandas_udf("struct<raw:string,error:string>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows = []
-            for prompt in part:
-                try:
-                    rows.append((model.generate(prompt, schema), None))
-                except Exception as e:  # the record goes to the broken ones with its reason
-                    rows.append((None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["raw", "error"])
+            yield pd.DataFrame(list(model.answer_all(part, schema)), columns=["raw", "error"])
 
     # an answer is wanted once: a model's answers may differ from call to call
     out = prompted.withColumn("_run", run.asNondeterministic()("prompt"))
@@ -178,10 +242,15 @@ def outcomes(validated: DataFrame) -> DataFrame:
     return validated.select("report_index", F.when(broken, "broken").otherwise("good").alias("outcome"), F.when(broken, F.array_join("errors", "; ")).alias("error"))
 
 
-def stored(validated: DataFrame, path: str) -> DataFrame:
-    """``validated`` written as Parquet and read back, so that no model answers twice whatever is made of it."""
-    validated.write.mode("overwrite").parquet(path)
-    return validated.sparkSession.read.schema(validated.schema).parquet(path)
+def stored(validated: DataFrame, path: str) -> tuple[DataFrame, dict[str, int]]:
+    """``validated`` written as Parquet and read back, so that no model answers twice whatever is made of it.
+
+    Good and broken records are counted as they are written, in the same job.
+    """
+    seen = Observation("records")
+    counts = (F.count_if(F.size("errors") == 0).alias("n_good"), F.count_if(F.size("errors") > 0).alias("n_broken"))
+    validated.observe(seen, *counts).write.mode("overwrite").parquet(path)
+    return validated.sparkSession.read.schema(validated.schema).parquet(path), dict(seen.get)
 
 
 def split(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -202,15 +271,13 @@ def run(reports: DataFrame, template: str, model: Backend, path: str, version: s
 
     A handler is called once with all rows it is for, and not at all where there are none.  A run without any good record is an error, after the handlers.
     """
-    done = stored(validate(generate(prompts(reports, template), model), version, vocabulary), path)
+    done, counts = stored(validate(generate(prompts(reports, template), model), version, vocabulary), path)
     good, broken = split(done)
-    counts = tally(done)
-    row = counts.first()
-    if on_success and row["n_good"]:
+    if on_success and counts["n_good"]:
         on_success(good)
-    if on_error and row["n_broken"]:
+    if on_error and counts["n_broken"]:
         on_error(broken)
-    require_success(counts)
+    _some_good(**counts)
     return good, broken
 
 
@@ -221,6 +288,9 @@ def tally(validated: DataFrame) -> DataFrame:
 
 def require_success(counts: DataFrame) -> None:
     """A run with no good record is an error."""
-    row = counts.first()
-    if not row["n_good"]:
-        raise RuntimeError(f"no report gave a record; {row['n_broken']} failed")
+    _some_good(**counts.first().asDict())
+
+
+def _some_good(n_good: int, n_broken: int) -> None:
+    if not n_good:
+        raise RuntimeError(f"no report gave a record; {n_broken} failed")

@@ -29,53 +29,106 @@ def cosine(a: Column, b: Column) -> Column:
     return total(lambda p: p["x"] * p["y"]) / F.nullif(norms, F.lit(0.0))
 
 
+def _packed(rows: DataFrame, group: str, names: list[str]) -> DataFrame:
+    """One row for each value of ``group``: its ``names`` (numbers) and its vectors, by the first name, as bytes.
+
+    Groups are of bounded size; as bytes they are copied and read without a look at their elements.
+    """
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(names[0])
+        packed = {n: [pdf[n].to_numpy(np.int64).tobytes()] for n in names}
+        return pd.DataFrame({group: [pdf[group].iloc[0]], **packed, "vectors": [np.stack(pdf["vector"].to_numpy()).astype(np.float64).tobytes()]})
+
+    return rows.groupBy(group).applyInPandas(pack, f"{group} long, " + ", ".join(f"{n} binary" for n in names) + ", vectors binary")
+
+
+def matrix(raw: bytes, rows: int) -> np.ndarray:
+    return np.frombuffer(raw, np.float64).reshape(rows, -1)
+
+
+def nearest(sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the ``k`` highest values of each row, equal ones by column; values of -2 are none."""
+    if k < sim.shape[1]:  # what ties with the k-th best is ordered with it
+        least = -np.partition(-sim, k - 1, axis=1)[:, k - 1]
+        rows, flat = np.nonzero(sim >= least[:, None])
+        order = np.lexsort((flat, -sim[rows, flat], rows))
+        rows, flat = rows[order], flat[order]
+        first = np.searchsorted(rows, np.arange(len(sim)))
+        keep = np.arange(len(rows)) - first[rows] < k
+        rows, flat = rows[keep], flat[keep]
+    else:
+        rows, flat = np.repeat(np.arange(len(sim)), sim.shape[1]), np.tile(np.arange(sim.shape[1]), len(sim))
+    real = sim[rows, flat] > -2.0
+    return rows[real], flat[real]
+
+
+def similarities(q: np.ndarray, e: np.ndarray, digits: int) -> np.ndarray:
+    """Cosines of all rows, rounded; -2 where a vector is zero or not finite."""
+    with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+        sim = np.round((q @ e.T) / (np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((e * e).sum(axis=1))), digits)
+    return np.where(np.isfinite(sim), sim, -2.0)
+
+
+FOUND = "query_id long, entry_id long, code long, similarity double"
+
+
+def tiles(k: int, digits: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Rows of packed queries (query_id, vectors) and packed entries (entry_id, code, entries) as each query's ``k`` best."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                yield tile(r, r, k, digits)
+
+    return run
+
+
+def tile(asked, side, k: int, digits: int) -> pd.DataFrame:
+    """The ``k`` best of the packed entries ``side`` for each of the packed queries ``asked``."""
+    ids, entries, codes = (np.frombuffer(x, np.int64) for x in (asked.query_id, side.entry_id, side.code))
+    sim = similarities(matrix(asked.vectors, len(ids)), matrix(side.entries, len(entries)), digits)
+    rows, flat = nearest(sim, k)
+    return pd.DataFrame({"query_id": ids[rows], "entry_id": entries[flat], "code": codes[flat], "similarity": sim[rows, flat]})
+
+
+def best_of(found: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best rows of each query, ties by entry."""
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "entry_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
+
+
+def plain_queries(queries: DataFrame) -> DataFrame:
+    return queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("vector")).where("vector is not null")
+
+
+def plain_entries(dictionary: DataFrame) -> DataFrame:
+    return dictionary.select(F.col("entry_id").cast("long").alias("entry_id"), F.col("code").cast("long").alias("code"), F.col("vector").cast("array<double>").alias("vector")).where("vector is not null")
+
+
 def retrieve(queries: DataFrame, dictionary: DataFrame, k: int = RETRIEVAL_K, digits: int = 6) -> DataFrame:
     """L9 and the first half of A10: the ``k`` entries most similar to each query.
 
     ``queries`` is (query_id, vector), ``dictionary`` (entry_id, code, vector).  Result: query_id, entry_id, code and similarity,
-    rounded before ranking, ties by entry_id.  Entries are dealt to blocks of bounded size, and
-    batches of queries meet one block at a time in matrix products; of each block, only its k best
-    travel to the final ranking.  No pair of rows is formed by a join.
+    rounded before ranking, ties by entry_id.  Both are packed to blocks of bounded size, as bytes, and each block of queries meets each block of
+    entries in one matrix product; of each, only a query's k best travel to the final ranking.  No pair of rows is formed by a join.
+    ``vector_index`` looks at a part of the entries instead.
     """
-    side = dictionary.select(F.col("entry_id").cast("long").alias("entry_id"), F.col("code").cast("long").alias("code"), F.col("vector").cast("array<double>").alias("vector")).where("vector is not null")
-    blocks = max(1, -(-side.count() // DICTIONARY_BLOCK))
-    packed = side.withColumn("block", F.pmod(F.xxhash64("entry_id"), F.lit(blocks)))
-    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("vector")).where("vector is not null")
-    groups = max(1, -(-asked.count() // DICTIONARY_BLOCK))
+    side, asked = plain_entries(dictionary), plain_queries(queries)
+    blocks, groups = (max(1, -(-df.count() // DICTIONARY_BLOCK)) for df in (side, asked))
+    entries = _packed(side.withColumn("block", F.pmod(F.xxhash64("entry_id"), F.lit(blocks))), "block", ["entry_id", "code"]).withColumnRenamed("vectors", "entries")
+    asked = _packed(asked.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(groups))), "part", ["query_id"])
     # every block of queries meets every block of entries
-    spread = asked.withColumns({"part": F.pmod(F.xxhash64("query_id"), F.lit(groups)), "block": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))})
-    parts = packed.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
-
-    def unit(v: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-        x = np.stack(v.to_numpy())
-        norm = np.sqrt((x * x).sum(axis=1))
-        return x, norm
+    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    entries = entries.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        columns = ["query_id", "entry_id", "code", "similarity"]
         if not len(left) or not len(right):
-            return pd.DataFrame(columns=columns)
-        right = right.sort_values("entry_id", ignore_index=True)
-        (q, nq), (e, ne) = unit(left["vector"]), unit(right["vector"])
-        with np.errstate(invalid="ignore", divide="ignore"):
-            sim = np.round((q @ e.T) / (nq[:, None] * ne), digits)
-        sim = np.where(np.isfinite(sim), sim, -2.0)
-        if k < sim.shape[1]:  # what ties with the k-th best is ordered with it, so that ties go by entry
-            least = -np.partition(-sim, k - 1, axis=1)[:, k - 1]
-            rows, flat = np.nonzero(sim >= least[:, None])
-            order = np.lexsort((flat, -sim[rows, flat], rows))
-            rows, flat = rows[order], flat[order]
-            first = np.searchsorted(rows, np.arange(len(sim)))
-            keep = np.arange(len(rows)) - first[rows] < k
-            rows, flat = rows[keep], flat[keep]
-        else:
-            rows, flat = np.repeat(np.arange(len(sim)), sim.shape[1]), np.tile(np.arange(sim.shape[1]), len(sim))
-        out = pd.DataFrame({"query_id": left["query_id"].to_numpy()[rows], "entry_id": right["entry_id"].to_numpy()[flat], "code": right["code"].to_numpy()[flat], "similarity": sim[rows, flat]})
-        return out[out["similarity"] > -2.0]
-
-    found = spread.groupBy("block", "part").cogroup(parts.groupBy("block", "part")).applyInPandas(best, "query_id long, entry_id long, code long, similarity double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "entry_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
+            return pd.DataFrame(columns=["query_id", "entry_id", "code", "similarity"])
+        return tile(left.iloc[0], right.iloc[0], k, digits)
+
+    found = asked.groupBy("block", "part").cogroup(entries.groupBy("block", "part")).applyInPandas(best, FOUND)
+    return best_of(found, k)
 
 
 def best_by_code(candidates: DataFrame, first_synonym: bool | Column = False) -> DataFrame:
@@ -92,25 +145,47 @@ def best_by_code(candidates: DataFrame, first_synonym: bool | Column = False) ->
 Scorer = Callable[[pd.Series, pd.Series], pd.Series]
 
 
-def lexical_score(text: pd.Series, candidate: pd.Series) -> pd.Series:
-    """The built-in reranker: the share of distinct words that a text and a candidate's synonyms have in common."""
+def word_weights(synonyms: Column | str, entries: DataFrame) -> DataFrame:
+    """(word, weight): how rare a word is among the entries' synonyms, as ln(1 + (N - df + 0.5) / (df + 0.5))."""
+    words = entries.select(F.explode(F.array_distinct(_words(F.array_join(synonyms, " ")))).alias("word"))
+    df, n = words.groupBy("word").agg(F.count(F.lit(1)).alias("df")), entries.count()
+    return df.select("word", F.log1p((n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("weight"))
 
-    def one(a: str | None, b: str | None) -> float:
-        x, y = set((a or "").lower().split()), set((b or "").lower().replace(";", " ").split())
-        return len(x & y) / len(x | y) if x | y else 0.0
 
-    return pd.Series([one(a, b) for a, b in zip(text, candidate, strict=True)], dtype="float64")
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), r"(?U)[\s;]+"), lambda w: w != "")
 
 
-def rerank(candidates: DataFrame, text: str, synonyms: str, scorer: Scorer = lexical_score, score: str = "score") -> DataFrame:
-    """A score of each pair of a text and its candidate's synonyms, by a vectorised function."""
+def rerank(candidates: DataFrame, text: str, synonyms: str, weights: DataFrame | None = None, scorer: Scorer | None = None, score: str = "score") -> DataFrame:
+    """A score of each pair of a text and its candidate's synonyms.
 
-    @F.pandas_udf("double")
-    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for a, b in parts:
-            yield scorer(a, b)
-
-    return candidates.withColumn(score, run(F.col(text), F.array_join(synonyms, " ; ")))
+    The built-in one is in expressions: the weight of the distinct words that both have in common, over that of all words of either, so that long
+    synonyms count for no more than short ones.  Words weigh 1, or what ``weights`` (word, weight) says; a word that it lacks weighs the most of all.
+    ``scorer`` is a vectorised function in its place.
+    """
+    if scorer is not None:
+
+        @F.pandas_udf("double")
+        def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            for a, b in parts:
+                yield scorer(a, b)
+
+        return candidates.withColumn(score, run(F.col(text), F.array_join(synonyms, " ; ")))
+    one, other = F.array_distinct(_words(F.coalesce(F.col(text), F.lit("")))), F.array_distinct(_words(F.array_join(F.coalesce(F.col(synonyms), F.array().cast("array<string>")), " ")))
+    if weights is None:
+        union = F.size(F.array_union(one, other))
+        return candidates.withColumn(score, F.when(union > 0, F.size(F.array_intersect(one, other)) / union).otherwise(F.lit(0.0)))
+    # each distinct pair of texts is scored once, and its words meet their weights by a join
+    pairs = candidates.select(F.col(text).alias("_text"), F.col(synonyms).alias("_synonyms")).distinct().withColumn("_pair", F.xxhash64("_text", "_synonyms"))
+    one, other = (F.array_distinct(_words(c)) for c in (F.coalesce("_text", F.lit("")), F.coalesce(F.array_join("_synonyms", " "), F.lit(""))))
+    words = pairs.select("_text", "_synonyms", F.array_intersect(one, other).alias("_both"), F.explode_outer(F.array_union(one, other)).alias("word"))
+    most = weights.agg(F.max("weight")).first()[0]
+    words = words.join(weights, "word", "left").withColumn("_w", F.coalesce("weight", F.lit(1.0 if most is None else most)))
+    total = F.sum(F.when(F.col("word").isNotNull(), F.col("_w")))
+    common = F.sum(F.when(F.array_contains("_both", F.col("word")), F.col("_w")).otherwise(0.0))
+    scores = words.groupBy("_text", "_synonyms").agg((common / total).alias("_score"))
+    same = candidates[text].eqNullSafe(scores["_text"]) & candidates[synonyms].eqNullSafe(scores["_synonyms"])
+    return candidates.join(scores, same).withColumn(score, F.coalesce("_score", F.lit(0.0))).drop("_text", "_synonyms", "_score")
 
 
 def lacking(text: Column, other: Column) -> Column:

@@ -405,10 +405,38 @@ def compare_runs(spark, d):
 
 @query(f"WITH {_RUNS} SELECT split_part(run, '-', 1) AS base, '-' || split_part(run, '-', 2) AS variant, metric, value FROM (" + " UNION ALL ".join([*(f"SELECT run, '{m}' AS metric, {m} AS value FROM runs" for m in _SIMPLE), "SELECT run, 'absent', NULL FROM runs"]) + ")")
 def compare_paired(spark, d):
-    """P5, P6-P8 data; T19 keeps runs by prefix."""
+    """P5, P8 data; T19 keeps runs by prefix."""
     return compare.paired(compare.of_runs(_two_runs(spark, d), ["base", "first"]))
 
 
+_BARS = f"WITH {_DOCS} SELECT lang AS run, {_mcc_sql('gt_quality', 'pred_quality')} AS quality, {_mcc_sql('gt_toxic', 'pred_toxic')} AS toxic, avg(CASE WHEN source <> 'src0' THEN (gt_quality = pred_quality)::INT END) AS source, avg(CASE WHEN gt_toxic THEN (gt_quality = pred_quality)::INT END) AS toxicity FROM f GROUP BY 1"
+
+
+def _bars(spark: SparkSession, d: str) -> DataFrame:
+    """Runs are languages; long metrics with correlations, accuracies, and accuracies given a group."""
+    f = _flags(spark, d)
+    right = F.col("gt_quality") == F.col("pred_quality")
+    wide = f.groupBy(F.col("lang").alias("run")).agg(
+        metrics.accuracy(right).alias("quality_accuracy"),
+        *(F.round(metrics.mcc(F.col(f"gt_{x}"), F.col(f"pred_{x}")), 9).alias(f"{x}_mcc") for x in ("quality", "toxic")),
+        metrics.conditional(right, F.col("source") != "src0").alias("top1_given_source"),
+        metrics.conditional(right, F.col("gt_toxic")).alias("top1_given_toxicity"),
+    )
+    return compare.melted(wide, [c for c in wide.columns if c != "run"])
+
+
+@query(f"SELECT run, flag, value FROM ({_BARS}) UNPIVOT INCLUDE NULLS (value FOR flag IN (quality, toxic))")
+def compare_mcc(spark, d):
+    """P6 data."""
+    return compare.figure("mcc", _bars(spark, d))
+
+
+@query(f'SELECT run, "group", value FROM ({_BARS}) UNPIVOT INCLUDE NULLS (value FOR "group" IN (source, toxicity))')
+def compare_given(spark, d):
+    """P7 data."""
+    return compare.figure("given", _bars(spark, d))
+
+
 @query("""WITH r AS (SELECT 'run_' || l_returnflag AS run, l_linestatus || (l_linenumber % 3) AS "group", count(*) AS n, avg((l_quantity > 25)::INT) AS accuracy FROM lineitem GROUP BY 1, 2)
 SELECT "group", coalesce(max(n) FILTER (run = 'run_N'), max(n) FILTER (run = 'run_R'), max(n) FILTER (run = 'run_A')) AS n, max(accuracy) FILTER (run = 'run_N') AS "run_N", max(accuracy) FILTER (run = 'run_R') AS "run_R", max(accuracy) FILTER (run = 'run_A') AS "run_A" FROM r GROUP BY 1""")
 def compare_group_matrix(spark, d):
@@ -438,16 +466,21 @@ def compare_table(spark, d):
     return compare.figure("table", compare.select_columns(compare.matrix(_two_runs(spark, d), [*_SIMPLE, "absent"]), [*_SIMPLE, "absent", "unheard_of"]))
 
 
+def _wide(column: str) -> Column:
+    """Names with some letters in their wide form, which compatibility composition makes plain again."""
+    return F.translate(column, "AEIOUaeiou", "ＡＥＩＯＵａｅｉｏｕ")
+
+
 @query("SELECT trim(regexp_replace(lower(p_type), '[^a-z0-9]+', ' ', 'g')) AS name, p_brand AS code, count(*) AS n FROM part GROUP BY 1, 2")
 def label_distribution(spark, d):
-    """A17, P11 data."""
-    return compare.label_frequencies(table(spark, d, "part"), text.alphanumeric(F.col("p_type"), False), "p_brand")
+    """A17, P11 data, T2 over names with wide letters."""
+    return compare.label_frequencies(table(spark, d, "part"), text.alphanumeric(_wide("p_type")), "p_brand")
 
 
 @query("SELECT count(DISTINCT p_partkey) AS n_cases, count(DISTINCT trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g'))) AS n_names, count(DISTINCT p_brand) AS n_codes FROM part WHERE p_type <> 'PROMO'")
 def label_counts(spark, d):
-    """A17 totals, T20."""
-    return compare.label_counts(compare.without_label(table(spark, d, "part"), "p_type", "PROMO"), "p_partkey", text.alphanumeric(F.col("p_name"), False), "p_brand")
+    """A17 totals, T20, over names with wide letters."""
+    return compare.label_counts(compare.without_label(table(spark, d, "part"), "p_type", "PROMO"), "p_partkey", text.alphanumeric(_wide("p_name")), "p_brand")
 
 
 # --- sheets and containers ----------------------------------------------------------------------
@@ -503,7 +536,7 @@ def last_row(spark, d):
 @query("""WITH c AS (SELECT l_orderkey AS id, list({'label': l_linenumber::VARCHAR, 'diagnosis': l_returnflag} ORDER BY l_linenumber, l_returnflag) AS containers FROM lineitem GROUP BY 1)
 SELECT id, len(containers) AS n, containers[1].label AS first_label, containers[1].diagnosis AS first_diagnosis, list_filter(containers, lambda x: x.label = '2')[1].diagnosis AS second_diagnosis, list_filter(containers, lambda x: trim(x.diagnosis) <> '')[1].diagnosis AS first_filled FROM c""")
 def containers_first(spark, d):
-    """J10, J11, J14, T10."""
+    """J10, J11, J14."""
     l = table(spark, d, "lineitem")
     items = F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_linenumber").cast("string").alias("label"), F.col("l_returnflag").alias("diagnosis"))))
     c = l.groupBy(F.col("l_orderkey").alias("id")).agg(F.transform(items, lambda x: F.struct(x["label"].alias("label"), x["diagnosis"].alias("diagnosis"))).alias("containers"))
@@ -512,6 +545,23 @@ def containers_first(spark, d):
     return c.select("id", F.size("containers").cast("long").alias("n"), first["label"].alias("first_label"), first["diagnosis"].alias("first_diagnosis"), records.by_label(F.col("containers"), F.lit("2"))["diagnosis"].alias("second_diagnosis"), records.first_filled(F.col("containers"), "diagnosis").alias("first_filled"))
 
 
+@query("""SELECT event_id, [0, 0, 1, 1, 2, 2, 1, 1, 0][1 + event_id % 9] AS n,
+CASE event_id % 9 WHEN 2 THEN event_type WHEN 3 THEN event_id::VARCHAR WHEN 4 THEN event_type WHEN 5 THEN event_type WHEN 6 THEN 'true' WHEN 7 THEN event_type END AS first_label,
+CASE event_id % 9 WHEN 4 THEN '2.5' END AS second_label,
+CASE event_id % 4 WHEN 0 THEN event_type WHEN 2 THEN 'first' END AS picked FROM events""")
+def containers_normalized(spark, d):
+    """Containers as null, scalars, arrays of scalars and objects with nulls among them; a container key that is there but null hides the others."""
+    e, name = table(spark, d, "events"), F.to_json(F.struct(F.col("event_type").alias("label")))
+    quoted = F.concat(F.lit('"'), "event_type", F.lit('"'))
+    kinds = [F.lit(None).cast("string"), F.lit("null"), quoted, F.col("event_id").cast("string"), F.concat(F.lit("["), quoted, F.lit(", null, 2.5]")), F.concat(F.lit("[null, "), name, F.lit(', {"label": null, "deep": {"x": [null]}}]')), F.lit("true"), F.col("event_type"), F.lit(" [null] ")]
+    made = F.get(F.array(*kinds), (F.col("event_id") % 9).cast("int"))
+    records_ = [F.concat(F.lit('{"container": '), name, F.lit(', "containers": [{"label": "first"}]}')), F.lit('{"container": null, "containers": [{"label": "first"}]}'), F.lit('{"containers": [{"label": "first"}, {"label": "second"}]}'), F.lit('{"container": "text", "containers": null}')]
+    picked = records.picked_container(F.get(F.array(*records_), (F.col("event_id") % 4).cast("int")))
+    many = e.select("event_id", records.normalized_containers(made).alias("many"), picked.alias("own"))
+    label = lambda c: F.get_json_object(c, "$.label")
+    return many.select("event_id", F.size("many").alias("n"), label(F.get("many", 0)).alias("first_label"), label(F.get("many", 1)).alias("second_label"), label(F.col("own")).alias("picked"))
+
+
 @query(f"""WITH {_SIMILAR} SELECT query_id, to_json({{'valid_code': code, 'valid_score': similarity}}) AS best, n FROM top JOIN (SELECT query_id, count(*) AS n FROM top GROUP BY 1) USING (query_id) WHERE rank = 1""")
 def ranked_map(spark, d):
     """The map for JSON."""

@@ -41,18 +41,22 @@ def embedded(df: DataFrame, text: str, embedder: Embedder, vector: str = "vector
     return df.withColumn(vector, run(text))
 
 
-def link_texts(texts: DataFrame, entries: DataFrame, embedder: Embedder = hashed_trigrams, scorer: link.Scorer = link.lexical_score, k: int = link.RETRIEVAL_K, n: int = link.TOP_N, accept: float | None = None) -> DataFrame:
+def link_texts(texts: DataFrame, entries: DataFrame, embedder: Embedder = hashed_trigrams, scorer: link.Scorer | None = None, weighted: bool = True, retrieve: Callable[..., DataFrame] = link.retrieve, k: int = link.RETRIEVAL_K, n: int = link.TOP_N, accept: float | None = None) -> DataFrame:
     """(text, ranked) of distinct texts.
 
-    ``entries`` has code, name, groups and ``row_num``. Retrieval is over synonyms, ranking over codes; groups and the
-    name shown are those of a code's first row.
+    ``entries`` has code, name, groups and ``row_num``. Retrieval is over synonyms, by ``retrieve`` (queries, dictionary, k), such as a search in
+    a vector index; ranking is over codes, with words ``weighted`` by how few codes have them; groups and the name shown are those of a code's first row.
     """
     synonyms = dictionary.entries(entries)
     named = embedded(synonyms.withColumn("entry_id", F.xxhash64("code", "description")), "description", embedder)
     asked = embedded(texts.select("text").withColumn("query_id", F.xxhash64("text")), "text", embedder)
-    found = link.best_by_code(link.retrieve(asked, named.select("entry_id", "code", "vector"), k))
-    pairs = found.join(dictionary.synonyms(entries), "code").join(texts.select("text", F.xxhash64("text").alias("query_id")), "query_id")
-    scored = link.rerank(pairs, "text", "synonyms").withColumn("score", link.adjusted(F.col("score"), F.col("text"), F.col("synonyms")))
+    names = dictionary.synonyms(entries)
+    found = link.best_by_code(retrieve(asked, named.select("entry_id", "code", "vector"), k))
+    pairs = found.join(names, "code").join(texts.select("text", F.xxhash64("text").alias("query_id")), "query_id")
+    scored = link.rerank(pairs, "text", "synonyms", link.word_weights("synonyms", names) if weighted and scorer is None else None, scorer)
+    if scorer is None:  # words say nothing of misspelt ones, vectors do
+        scored = scored.withColumn("score", F.col("score") + F.col("similarity"))
+    scored = scored.withColumn("score", link.adjusted(F.col("score"), F.col("text"), F.col("synonyms")))
     best = link.top(scored, "text", "score", n, accept)
     values = {"name": "name"} | {f"group_{g}": f"group_{g}" for g in records.GROUPS if f"group_{g}" in entries.columns}
     return link.ranked(dictionary.lookup(best, F.col("code"), entries, F.col("code"), values), "text")

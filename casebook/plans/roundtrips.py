@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from casebook import schemas
 from casebook.functions import text
-from casebook.operators import compare, extraction
+from casebook.operators import compare, dictionary, extraction, runs
 from casebook.plans import linking
 from casebook.plans.catalogue import table
 from casebook.sources import readers, sinks, work
@@ -91,12 +91,12 @@ def scan_keyed(spark, d):
 def scan_metrics(spark, d):
     """A summary of each run as JSON in its folder, and metrics by the folder's name."""
     folder = work.new_folder(spark, "runs")
-    wide = table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"), F.avg("l_quantity").alias("mean"))
-    wide = wide.select(F.concat(F.lit("run_"), "l_returnflag").alias("run"), F.to_json(F.struct("n", "mean"), {"ignoreNullFields": "false"}).alias("value"))
-    # a folder for each run, as runs leave them
-    wide.repartition("run").write.partitionBy("run").text(folder)
-    found = readers.metrics(spark, [f"{folder}/*"], ["n", "mean", "absent"])
-    return found.withColumn("run", F.replace("run", F.lit("run="), F.lit("")))
+    wide = table(spark, d, "lineitem").groupBy(F.concat(F.lit("run_"), "l_returnflag").alias("run")).agg(F.count("*").alias("n"), F.avg("l_quantity").alias("mean"))
+    sinks.csvs({"summaries": wide}, folder)
+    wide = readers.csv(spark, f"{folder}/summaries", wide.schema)
+    for run in [r["run"] for r in wide.select("run").collect()]:  # a folder for each run, as runs leave them
+        sinks.summary_json(wide.where(F.col("run") == run).select("n", "mean"), f"{folder}/{run}")
+    return readers.metrics(spark, [f"{folder}/run_*"], ["n", "mean", "absent"])
 
 
 @query("SELECT c_custkey, c_name, c_acctbal, c_custkey % 2 = 0 AS flag, '[\"' || c_mktsegment || '\"]' AS parts FROM customer")
@@ -109,17 +109,16 @@ def scan_csv(spark, d):
     return readers.csv(spark, f"{folder}/wanted", schema)
 
 
-@query("SELECT CASE WHEN event_id % 2 = 0 THEN event_id::VARCHAR ELSE 'report_' || event_id END AS case_id, event_type AS diagnosis, true AS has_prompt, 'Text: ' || event_type AS prompt FROM events WHERE event_id % 500 = 0 OR event_id % 500 = 1")
+@query("SELECT CASE WHEN event_id % 2 = 0 THEN event_id::VARCHAR ELSE 'report_' || event_id END AS case_id, event_type AS diagnosis, true AS indented, 'Text: ' || event_type AS prompt FROM events")
 def case_files(spark, d):
-    """K2, K3: an indented JSON file and a prompt file of each case; rows without a case go by their report.  A case is a file, so few are written."""
-    e = table(spark, d, "events").where("event_id % 500 in (0, 1)")
+    """K2, K3: an indented JSON file and a prompt file of each case; rows without a case go by their report."""
+    e = table(spark, d, "events")
     record = F.struct(F.when(F.col("event_id") % 2 == 0, F.col("event_id")).alias("case_id"), F.col("event_type").alias("primary_diagnosis"), F.lit(None).cast("string").alias("nothing"))
     folder = work.new_folder(spark, "cases")
-    sinks.case_files(e.select(record.alias("record"), F.col("event_id").alias("report_index"), F.concat(F.lit("Text: "), "event_type").alias("prompt")), folder)
-    read = lambda kind: spark.read.text(f"{folder}/{kind}", wholetext=True).select("value", F.col("case_id").cast("string").alias("case_id"))
-    made = read("cases").select("case_id", F.get_json_object("value", "$.primary_diagnosis").alias("diagnosis"), F.contains("value", F.lit("\n")).alias("indented"))
-    prompt = read("prompts").select(F.col("case_id").alias("_case"), F.trim(F.regexp_replace("value", "\n$", "")).alias("prompt"))
-    return made.join(prompt, F.col("case_id") == F.col("_case")).select("case_id", "diagnosis", F.col("indented").alias("has_prompt"), "prompt")
+    sinks.case_archives(e.select(record.alias("record"), F.col("event_id").alias("report_index"), F.concat(F.lit("Text: "), "event_type").alias("prompt")), folder)
+    named = readers.archives(spark, folder).select(F.regexp_extract("name", r"^case_(.*)\.(json|txt)$", 1).alias("case_id"), F.regexp_extract("name", r"[^.]*$", 0).alias("kind"), "content")
+    files = named.groupBy("case_id").agg(F.max(F.when(F.col("kind") == "json", F.col("content"))).alias("json"), F.max(F.when(F.col("kind") == "txt", F.col("content"))).alias("prompt"))
+    return files.select("case_id", F.get_json_object("json", "$.primary_diagnosis").alias("diagnosis"), F.contains("json", F.lit("\n")).alias("indented"), "prompt")
 
 
 @query("SELECT event_id AS report_index, 'generation: ' || event_type AS error, NULL::VARCHAR AS raw_output FROM events")
@@ -167,36 +166,69 @@ def first_rows(spark, d):
     return compare.first_rows(merge.first_occurrence(rows, "l_orderkey", "row_num"), "is_first").select("l_orderkey", "l_linenumber", "l_partkey")
 
 
-@query("SELECT unnest(['primary_diagnosis', 'is_definitive', 'containers', 'has_differential_diagnosis', 'has_prior_malignancy', 'has_concurrent_malignancy']) AS required, 3 AS n_terms")
+@query("""WITH t AS (SELECT count(DISTINCT p_type) AS n, min(p_type) AS first_term, max(p_type) AS last_term FROM part),
+f AS (SELECT * FROM (VALUES ('primary_diagnosis', true), ('is_definitive', false), ('containers', false), ('containers.label', false), ('containers.is_lymph_node', false), ('containers.diagnosis', true),
+  ('has_differential_diagnosis', false), ('has_prior_malignancy', false), ('has_concurrent_malignancy', false)) v(field, held))
+SELECT field, CASE WHEN held THEN n ELSE 0 END AS n_terms, CASE WHEN held THEN first_term END AS first_term, CASE WHEN held THEN last_term END AS last_term FROM f, t""")
 def decoder_schema(spark, d):
-    """The schema sent to an endpoint: no hidden field, everything required, terms of a vocabulary as choices."""
-    made = extraction.decoder("schema", "http", schemas.DEFAULT, ["b", "a", "c"])
-    choices = made["properties"]["primary_diagnosis"]["anyOf"][0]["enum"]
-    names = [n for n in made["required"] if n != "schema_version"]
-    return spark.createDataFrame([(n, len(choices)) for n in names], "required string, n_terms int")
+    """The schema sent to an endpoint: no hidden field, everything required, the terms of a table's vocabulary as choices."""
+    terms = [r[0] for r in dictionary.terms(table(spark, d, "part"), "p_type").collect()]  # a vocabulary is a constant of the decoder
+    made = extraction.decoder("schema", "http", "v7", terms)
 
+    def fields(schema: dict, path: str = ""):
+        for name in schema["required"]:
+            kind = schema["properties"][name].get("anyOf", [schema["properties"][name]])[0]
+            yield path + name, kind.get("enum", [])
+            yield from fields(kind.get("items", {"required": []}), f"{path}{name}.")
 
-@query("SELECT 'good' AS kind, count(*) FILTER (event_id % 3 <> 0) AS n FROM events UNION ALL SELECT 'broken', count(*) FILTER (event_id % 3 = 0) FROM events")
-def extraction_run(spark, d):
-    """A run over an adapter made by name, with handlers of good and broken records."""
-    seen: dict[str, int] = {}
+    rows = [(n, len(c), min(c, default=None), max(c, default=None)) for n, c in fields(made) if n != "schema_version"]
+    return spark.createDataFrame(rows, "field string, n_terms int, first_term string, last_term string")
+
+
+def _answered(spark, d) -> DataFrame:
+    """Events as reports whose text is an answer: every third gives no record."""
     answer = F.when(F.col("event_id") % 3 == 0, "no record").otherwise(F.to_json(F.struct(F.col("event_type").alias("primary_diagnosis"))))
-    reports = table(spark, d, "events").select(F.col("event_id").alias("report_index"), F.col("event_id").alias("case_id"), answer.alias("text"))
-    extraction.run(reports, "{input_text}", extraction.backend(" Echo "), work.new_folder(spark, "run"), on_success=lambda df: seen.update(good=df.count()), on_error=lambda df: seen.update(broken=df.count()))
-    return spark.createDataFrame(list(seen.items()), "kind string, n long")
+    return table(spark, d, "events").select(F.col("event_id").alias("report_index"), F.col("event_id").alias("case_id"), answer.alias("text"))
 
 
-@query("SELECT unnest(['region_r_regionkey', 'region_r_name']) AS slug, unnest(['r_regionkey', 'r_name']) AS found")
+@query("SELECT outcome, count(*) AS n, count(*) AS n_handled, min(event_id) AS first FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'broken' ELSE 'good' END AS outcome FROM events) GROUP BY 1")
+def extraction_run(spark, d):
+    """A run over an adapter made by name; its handlers write good and broken records, which are counted as they are read back."""
+    folder = work.new_folder(spark, "run")
+    good, broken = extraction.run(
+        _answered(spark, d), "{input_text}", extraction.backend(" Echo "), f"{folder}/answers",
+        on_success=lambda df: sinks.records(df, folder), on_error=lambda df: sinks.broken(df, folder),
+    )
+    handled = spark.read.text(f"{folder}/predictions").select(F.lit("good").alias("outcome")).union(spark.read.text(f"{folder}/broken").select(F.lit("broken")))
+    made = good.select("report_index", F.lit("good").alias("outcome")).union(broken.select("report_index", F.lit("broken")))
+    return made.groupBy("outcome").agg(F.count("*").alias("n"), F.min("report_index").alias("first")).join(handled.groupBy("outcome").agg(F.count("*").alias("n_handled")), "outcome")
+
+
+@query("SELECT event_id AS report_index, CASE WHEN event_id % 3 = 0 THEN 'broken' ELSE 'good' END AS outcome, CASE WHEN event_id % 3 <> 0 THEN event_type END AS diagnosis, 1 AS n_answers FROM events")
+def resumed_run(spark, d):
+    """A run that stops after two of its batches and goes on in another; each report is answered once."""
+    folder, reports = work.new_folder(spark, "resumed"), _answered(spark, d)
+    size = max(1, reports.count() // 5)
+    for most in (2, None):  # stopped, and resumed
+        runs.resume(reports, "{input_text}", extraction.backend("echo"), folder, size=size, most=most)
+    done = runs.answers(spark, folder)
+    every = spark.read.parquet(f"{folder}/answers").groupBy("report_index").agg(F.count("*").cast("int").alias("n_answers"))
+    broken = F.size("errors") > 0
+    return done.select("report_index", F.when(broken, "broken").otherwise("good").alias("outcome"), F.col("record.primary_diagnosis").alias("diagnosis")).join(every, "report_index")
+
+
+@query("SELECT p_partkey, replace(lower(p_type), ' ', '_') || CASE WHEN p_size % 3 = 0 THEN '' ELSE '_' || replace(replace(lower(p_brand), ' ', '_'), '/', '_') || '_of_' || p_size END AS slug, p_retailprice AS price FROM part")
 def metric_names(spark, d):
-    """Names of columns out of display names, and the columns that display names mean."""
-    columns = table(spark, d, "region").columns
-    rows = [(text.slug("Region ", c.upper(), None), text.header(columns, f" {c.upper()} ")) for c in columns if c in ("r_regionkey", "r_name")]
-    return spark.createDataFrame(rows, "slug string, found string")
+    """Names out of display names of rows, and a column by its display name, in a sheet with odd headers."""
+    sheet = table(spark, d, "part").withColumnRenamed("p_retailprice", " Retail Price ").withColumnRenamed("p_type", "TYPE")
+    price, kind = (text.header(sheet.columns, n) for n in ("retail price", " type "))
+    brand = F.when(F.col("p_size") % 3 != 0, F.concat(F.lit(" "), "p_brand", F.lit("/of "), "p_size"))
+    return sheet.select("p_partkey", text.slugged(F.col(kind), brand, F.lit(" ")).alias("slug"), F.col(f"`{price}`").alias("price"))
 
 
 @query("""WITH last AS (SELECT p_type AS name, arg_max(p_brand, p_partkey) AS brand, arg_max(p_size, p_partkey)::BIGINT AS code FROM part GROUP BY 1),
 first AS (SELECT p_size::BIGINT AS code, arg_min(p_brand, p_partkey) AS group_1 FROM part GROUP BY 1)
-SELECT o.o_orderkey AS key, l.code, f.group_1, CASE WHEN l.code IS NULL THEN 0 ELSE 1 END AS n_primary, 2 AS n_containers FROM orders o
+SELECT o.o_orderkey AS key, l.code, f.group_1, CASE WHEN l.code IS NULL THEN 0 ELSE 1 END AS n_primary, 2 AS n_containers, l.code AS container_code, f.group_1 AS container_group, 0 AS n_second FROM orders o
 LEFT JOIN (SELECT p_partkey, p_type FROM part) p ON p.p_partkey = o.o_custkey LEFT JOIN last l ON l.name = p.p_type LEFT JOIN first f USING (code)""")
 def link_records_exact(spark, d):
     """Records with a primary text and two containers, linked by equal names, each distinct text once."""
@@ -206,8 +238,9 @@ def link_records_exact(spark, d):
     nested = F.array(*(F.struct(F.col(c).alias("diagnosis")) for c in ("p_type", "o_orderstatus")))
     records = own.select(F.col("o_orderkey").alias("key"), F.col("p_type").alias("primary_diagnosis"), nested.alias("containers"))
     out = linking.link_records(records, "key", entries, exact=True)
-    first = F.get("ranked", 0)
-    return out.select("key", first["code"].alias("code"), first["group_1"].alias("group_1"), F.size("ranked").alias("n_primary"), F.size("container_ranked").alias("n_containers"))
+    first, own = F.get("ranked", 0), F.get(F.get("container_ranked", 0), 0)
+    return out.select("key", first["code"].alias("code"), first["group_1"].alias("group_1"), F.size("ranked").alias("n_primary"), F.size("container_ranked").alias("n_containers"),
+                      own["code"].alias("container_code"), own["group_1"].alias("container_group"), F.size(F.get("container_ranked", 1)).alias("n_second"))
 
 
 @query("SELECT 'v5' AS version, 2 AS k, 'Text: ' || r_name AS prompt FROM region")

@@ -122,6 +122,25 @@ def records(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", suffix == ".json").option("mode", "FAILFAST").json(path)
 
 
+def _files(batches):
+    import io
+    import tarfile
+
+    import pandas as pd
+
+    for pdf in batches:
+        for raw in pdf["content"]:
+            with tarfile.open(fileobj=io.BytesIO(raw)) as archive:
+                files = [(m.name, archive.extractfile(m).read().decode()) for m in archive if m.isfile()]
+            yield pd.DataFrame(files, columns=["name", "content"])
+
+
+def archives(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, content) of the files in the tar archives that ``sinks.case_archives`` wrote."""
+    found = spark.read.format("binaryFile").load(f"{folder}/archives/part-*").select("content")
+    return found.mapInPandas(_files, "name string, content string")
+
+
 def metrics(spark: SparkSession, paths: list[str], names: list[str]) -> DataFrame:
     """(run, metric, value) of summary files; metrics that a file lacks are null."""
     whole = spark.read.text(paths, wholetext=True).select(run_name(F.col("_metadata.file_path")).alias("run"), "value")

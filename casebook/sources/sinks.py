@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casebook.functions.text import cell
@@ -26,13 +26,57 @@ def records(good: DataFrame, folder: str, mode: str = "append", with_prompts: bo
         good.select("report_index", "prompt").write.mode(mode).parquet(f"{folder}/prompts")
 
 
+def _case(case: str) -> Column:
+    return F.coalesce(F.col("record")[case].cast("string"), F.concat(F.lit("report_"), F.col("report_index").cast("string")))
+
+
+def _pretty() -> Column:
+    return F.to_json("record", {"pretty": "true", "ignoreNullFields": "false"})
+
+
+def _members(batches: Iterator) -> Iterator:
+    """Rows (name, content) as members of a tar archive, without the last byte, which the line separator gives."""
+    import tarfile
+
+    import pyarrow as pa
+
+    filler = tarfile.TarInfo("./")
+    filler.type = tarfile.DIRTYPE
+    for batch in batches:
+        out = []
+        for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist(), strict=True):
+            raw = content.encode()
+            info = tarfile.TarInfo(name)
+            info.size = len(raw)
+            member = info.tobuf(tarfile.PAX_FORMAT) + raw
+            # a member whose content fills its last block is followed by an entry for the folder, so that each row ends in a zero byte
+            member += bytes(-len(member) % 512) if raw and len(raw) % 512 else filler.tobuf(tarfile.PAX_FORMAT)
+            out.append(member[:-1].decode())
+        yield pa.RecordBatch.from_pydict({"value": pa.array(out, pa.string())})
+
+
+def case_archives(good: DataFrame, folder: str, case: str = "case_id", mode: str = "overwrite", each: int = 20_000) -> None:
+    """K2, K3: ``case_<id>.json`` and ``case_<id>.txt`` of every case, record and prompt, as members of tar archives of up to ``each`` files.
+
+    A task writes its cases one after another into few files, so as many cases as there are make no more commits than tasks.  Any tar reads them;
+    ``readers.archives`` does.  Rows without a case go by ``case_report_<index>``.
+    """
+    files = [F.struct(F.lit("json").alias("kind"), _pretty().alias("content"))]
+    if "prompt" in good.columns:
+        files.append(F.struct(F.lit("txt").alias("kind"), F.col("prompt").alias("content")))
+    rows = good.select(_case(case).alias("id"), F.explode(F.array(*files)).alias("f")).where("f.content is not null")
+    named = rows.select(F.concat(F.lit("case_"), "id", F.lit("."), "f.kind").alias("name"), F.col("f.content").alias("content"))
+    made = named.mapInArrow(_members, "value string")
+    made.write.mode(mode).option("lineSep", "\0").option("maxRecordsPerFile", each).text(f"{folder}/archives")
+
+
 def case_files(good: DataFrame, folder: str, case: str = "case_id", mode: str = "overwrite") -> None:
     """K2, K3: of each case one text file with its record as indented JSON, nulls kept, and one with its prompt, where there is one.
 
     They lie in ``cases/<case>=<id>`` and ``prompts/<case>=<id>``; rows without a case are under their report's index.
+    Each case is a folder that its task commits, so this is for some thousand cases; ``case_archives`` has no such limit.
     """
-    key = F.coalesce(F.col("record")[case].cast("string"), F.concat(F.lit("report_"), F.col("report_index").cast("string")))
-    pretty = F.to_json("record", {"pretty": "true", "ignoreNullFields": "false"})
+    key, pretty = _case(case), _pretty()
     good.select(key.alias(case), pretty.alias("value")).repartition(case).write.mode(mode).partitionBy(case).text(f"{folder}/cases")
     if "prompt" in good.columns:
         good.select(key.alias(case), F.col("prompt").alias("value")).repartition(case).write.mode(mode).partitionBy(case).option("lineSep", "\n").text(f"{folder}/prompts")
@@ -66,7 +110,11 @@ def one_row_json(df: DataFrame, path: str) -> dict:
     if len(rows) != 1:
         raise ValueError("one row is wanted")
     out = rows[0].asDict(recursive=True)
-    Path(path).write_text(json.dumps(out, indent=2, ensure_ascii=False), encoding="utf-8")
+    spark = df.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)  # in whatever store the path is
+    file = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    file.write(bytearray(json.dumps(out, indent=2, ensure_ascii=False).encode()))
+    file.close()
     return out
 
 

@@ -17,13 +17,12 @@ def start(spark: SparkSession, source: str, target: str, checkpoint: str, templa
     """Start the stream: JSON report files of ``source`` to ``target``; a restart goes on after what ``checkpoint`` has."""
 
     def handle(batch: DataFrame, number: int) -> None:
-        done = extraction.validate(extraction.generate(extraction.prompts(batch, template), model), version, vocabulary)
-        done.persist()  # answers feed two sinks
+        made = extraction.validate(extraction.generate(extraction.prompts(batch, template), model), version, vocabulary)
+        # answers feed two sinks, from a table that the loss of an executor leaves; a batch that runs again overwrites what it wrote
+        done, _ = extraction.stored(made, f"{target}/answers/batch={number}")
         good, broken = extraction.split(done)
-        # a batch that runs again overwrites what it wrote
         sinks.records(good, f"{target}/batch={number}", mode="overwrite")
         sinks.broken(broken, f"{target}/batch={number}", mode="overwrite")
-        done.unpersist()
 
     writer = spark.readStream.schema(REPORT).json(source).writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept.  All but the last return
 the columns of ``docs``; the last returns the pieces of packed sequences with their ids.
+
+Cases: a null or wordless text goes in the first stage.  Of rows that repeat an id, each is judged by its own text; as near duplicates,
+those of one id and text are one document.  Rows with a null id are rows like others, but are linked with nothing.  Of near copies, the smallest id stays.
+Extra columns stay up to the last stage, whatever their names; an empty table passes all stages as one.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from casebook.llm import decontaminate, langid, minhash, packing, secrets, store
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told, by a model of their labelled ones; those without a letter go."""
+    """Documents whose language can be told, by a model of their labelled ones; those without a letter go, and those that parse worse than any labelled one."""
     return langid.keep_identified(docs, langid.sample(docs))
 
 
@@ -24,8 +28,8 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of ten words of a benchmark item."""
-    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """Documents without a window of ten words of a benchmark item; items without an id count like others."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), nameless=True)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
