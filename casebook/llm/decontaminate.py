@@ -182,13 +182,13 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, n: int = 10, whole: bool = True, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, n: int = 10, whole: bool = True, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", nameless: bool = False) -> DataFrame:
     """``docs`` without the documents that hold a window (``whole``), or without the spans hit.
 
-    All columns stay.  With spans cut, what is cut goes from the first hit word to the last,
+    Items with a null id are searched too if ``nameless``.  All columns stay.  With spans cut, what is cut goes from the first hit word to the last,
     and texts without hits stay as they are.
     """
-    for last, shipped in _blocks(benchmark, item_col, item_text_col):
+    for last, shipped in _blocks(benchmark, item_col, item_text_col, nameless):
 
         def scan(texts, shipped=shipped):
             return _windows(shipped, n).scan([b"" if t is None else t.encode() for t in texts])

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import words
+from . import store, words
 
 SAMPLE_CHARS = 40_000
 SAMPLE_DOCS = 200
@@ -35,8 +35,10 @@ MOST_LABELS = 4096
 SEGMENT = 512
 #: Bits of advantage that make a label twice as likely.
 SOFTNESS = 4.0
-#: Bits a character beyond which none of the languages accounts for a text of so many letters.
-MOST_BITS, LEAST_LETTERS = 9.0, 64
+#: Letters below which no text is rejected, and bits a character beyond which any other is, whatever labelled documents take.
+LEAST_LETTERS, MOST_BITS = 64, 9.0
+#: Labelled documents that a bound needs, and what a text may take beyond the worst of them.
+BOUND_DOCS, MARGIN = 30, 1.1
 _CLASSES = 64
 _PAD = _CLASSES - 1
 _UNSEEN = _CLASSES - 2
@@ -209,12 +211,10 @@ class Parser:
                 total[k] += np.bincount(doc[a : a + lanes], cost[k], len(texts))
         return total, size
 
-    def told(self, texts: list[str]) -> np.ndarray:
-        """Whether any of the languages accounts for each text."""
+    def measured(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Bits a character of each text under the label that takes fewest, and how many classes it has (0: no letter)."""
         total, size = self.costs(texts)
-        if not self.labels:
-            return size > 0
-        return (size > 0) & ((size < LEAST_LETTERS) | (total.min(axis=0) <= MOST_BITS * size))
+        return (total.min(axis=0) if self.labels else np.zeros(len(texts))) / np.maximum(size, 1), size
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Label, score and bits per character of each text."""
@@ -247,16 +247,45 @@ def identify(docs: DataFrame, samples: list[tuple[str, str]], id_col: str = "doc
     return words.mapped(kept, predicted, f"doc_id {kind}, lang_pred string, score double, bits_per_char double")
 
 
-def keep_identified(docs: DataFrame, samples: list[tuple[str, str]], text_col: str = "text") -> DataFrame:
+def bounds(found: DataFrame, lang_col: str, bits_col: str, letters_col: str) -> dict[int, float]:
+    """Bits a character that a text may take, by the power of two of its letters, from all rows with a label.
+
+    Longer texts vary less, so a bound is the worst of the labelled documents of that length and beyond, and a margin; where these are fewer than
+    ``BOUND_DOCS``, the bound of the next shorter length holds, and at last ``MOST_BITS``.
+    """
+    power = F.floor(F.log2(letters_col)).cast("int")
+    known = found.where(F.col(lang_col).isNotNull() & (F.col(letters_col) >= LEAST_LETTERS))
+    rows = known.groupBy(power.alias("power")).agg(F.max(bits_col).alias("worst"), F.count(F.lit(1)).alias("n")).collect()  # a row for each power of two
+    least = int(np.log2(LEAST_LETTERS))
+    out, now = {}, MOST_BITS
+    for p in range(least, 64):
+        beyond = [r for r in rows if r["power"] >= p]
+        if sum(r["n"] for r in beyond) >= BOUND_DOCS:
+            now = min(MOST_BITS, MARGIN * max(r["worst"] for r in beyond))
+        out[p] = now
+    return out
+
+
+def keep_identified(docs: DataFrame, samples: list[tuple[str, str]], text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``docs`` without the documents in which no language can be told.
 
-    These are null texts, texts without a letter, and texts of ``LEAST_LETTERS`` or more that every language
-    parses at more than ``MOST_BITS`` a character, which is into matches of hardly more than a letter: other scripts, or no language.  With no
-    label to learn from, all texts with a letter stay.
+    These are null texts, texts without a letter, and texts of ``LEAST_LETTERS`` or more that every language parses at more bits a character than
+    any labelled document of their length takes (``bounds``): other languages and scripts, or no language, such as random letters.  Texts are parsed
+    once, and stored with what they take.  With no label to learn from, all texts with a letter stay.  Repeated rows and null ids are rows like
+    others; no rows give none.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(samples)  # bounded by the sample's parameters
-
-    def told(texts: list[str | None]) -> list[bool]:
-        return _parser(shipped.value).told([t or "" for t in texts]).tolist()
-
-    return words.keep_where(docs, text_col, told)
+    bits, letters = store.free_name(docs, "lang_bits"), store.free_name(docs, "lang_letters")
+
+    def measure(texts: list[str | None]):
+        return _parser(shipped.value).measured([t or "" for t in texts])
+
+    found = words.with_numbers(docs, text_col, measure, [bits, letters])
+    if not samples:
+        return found.where(F.col(letters) > 0).drop(bits, letters)
+    found = store.materialize(found, "measured")
+    most = bounds(found, lang_col, bits, letters)
+    bound = F.lit(MOST_BITS)
+    for power, value in reversed(sorted(most.items())):
+        bound = F.when(F.col(letters) < 2.0 ** (power + 1), value).otherwise(bound)
+    return found.where((F.col(letters) > 0) & ((F.col(letters) < LEAST_LETTERS) | (F.col(bits) <= bound))).drop(bits, letters)

@@ -212,3 +212,20 @@ def replace_text(docs, text_col: str, change, size: int = 3_000_000):
         release()
 
     return docs.mapInArrow(changed, docs.schema)
+
+
+def with_numbers(docs, text_col: str, measure, names, size: int = 3_000_000):
+    """``docs`` with columns ``names`` of doubles, which ``measure`` makes (a list of texts to an array for each name); nothing else changes."""
+    from pyspark.sql.types import DoubleType, StructField, StructType
+
+    def measured(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for begin, count, _ in _cuts(batch, text_col, size, size):
+                part = batch.slice(begin, count)
+                found = measure(part.column(text_col).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(np.asarray(f, np.float64)) for f in found)], names=[*part.schema.names, *names])
+        release()
+
+    return docs.mapInArrow(measured, StructType([*docs.schema.fields, *(StructField(n, DoubleType()) for n in names)]))
