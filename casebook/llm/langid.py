@@ -37,8 +37,8 @@ SEGMENT = 512
 SOFTNESS = 4.0
 #: Letters below which no text is rejected, and bits a character beyond which any other is, whatever labelled documents take.
 LEAST_LETTERS, MOST_BITS = 64, 9.0
-#: Labelled documents that a bound needs, and what a text may take beyond the worst of them.
-BOUND_DOCS, MARGIN = 30, 1.1
+#: Labelled documents that a bound needs, what a text may take beyond the worst of them, and the characters by which sampled documents are told.
+BOUND_DOCS, MARGIN, BEGINNING = 30, 1.1, 48
 _CLASSES = 64
 _PAD = _CLASSES - 1
 _UNSEEN = _CLASSES - 2
@@ -113,6 +113,8 @@ class Parser:
 
     def __init__(self, samples: list[tuple[str, str]]):
         self.labels = [lang for lang, _ in samples]
+        #: How the sampled documents begin; each is a line's start.
+        self.begun = {text[k : k + BEGINNING] for _, text in samples for k in (0, *(m + 1 for m, c in enumerate(text) if c == "\n"))}
         letters = np.zeros(0x110000, np.int32)
         seen = pd.Series(list("".join(t for _, t in samples).lower())).value_counts(sort=True)
         own = [c for c in seen.index if c.isalpha()]
@@ -211,10 +213,11 @@ class Parser:
                 total[k] += np.bincount(doc[a : a + lanes], cost[k], len(texts))
         return total, size
 
-    def measured(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Bits a character of each text under the label that takes fewest, and how many classes it has (0: no letter)."""
+    def measured(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bits a character of each text under the label that takes fewest, how many classes it has (0: no letter), and whether it begins like a sampled one."""
         total, size = self.costs(texts)
-        return (total.min(axis=0) if self.labels else np.zeros(len(texts))) / np.maximum(size, 1), size
+        bits = (total.min(axis=0) if self.labels else np.zeros(len(texts))) / np.maximum(size, 1)
+        return bits, size, np.array([t[:BEGINNING] in self.begun for t in texts])
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Label, score and bits per character of each text."""
@@ -247,14 +250,14 @@ def identify(docs: DataFrame, samples: list[tuple[str, str]], id_col: str = "doc
     return words.mapped(kept, predicted, f"doc_id {kind}, lang_pred string, score double, bits_per_char double")
 
 
-def bounds(found: DataFrame, lang_col: str, bits_col: str, letters_col: str) -> dict[int, float]:
-    """Bits a character that a text may take, by the power of two of its letters, from all rows with a label.
+def bounds(found: DataFrame, lang_col: str, bits_col: str, letters_col: str, sampled_col: str) -> dict[int, float]:
+    """Bits a character that a text may take, by the power of two of its letters, from all rows with a label that the model was not learnt from.
 
     Longer texts vary less, so a bound is the worst of the labelled documents of that length and beyond, and a margin; where these are fewer than
     ``BOUND_DOCS``, the bound of the next shorter length holds, and at last ``MOST_BITS``.
     """
     power = F.floor(F.log2(letters_col)).cast("int")
-    known = found.where(F.col(lang_col).isNotNull() & (F.col(letters_col) >= LEAST_LETTERS))
+    known = found.where(F.col(lang_col).isNotNull() & (F.col(letters_col) >= LEAST_LETTERS) & (F.col(sampled_col) == 0))
     rows = known.groupBy(power.alias("power")).agg(F.max(bits_col).alias("worst"), F.count(F.lit(1)).alias("n")).collect()  # a row for each power of two
     least = int(np.log2(LEAST_LETTERS))
     out, now = {}, MOST_BITS
@@ -271,21 +274,21 @@ def keep_identified(docs: DataFrame, samples: list[tuple[str, str]], text_col: s
 
     These are null texts, texts without a letter, and texts of ``LEAST_LETTERS`` or more that every language parses at more bits a character than
     any labelled document of their length takes (``bounds``): other languages and scripts, or no language, such as random letters.  Texts are parsed
-    once, and stored with what they take.  With no label to learn from, all texts with a letter stay.  Repeated rows and null ids are rows like
-    others; no rows give none.
+    once, and stored with what they take.  With no label to learn from, all texts with a letter stay; with few, those of at most ``MOST_BITS``.
+    Repeated rows and null ids are rows like others; no rows give none.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(samples)  # bounded by the sample's parameters
-    bits, letters = store.free_name(docs, "lang_bits"), store.free_name(docs, "lang_letters")
+    names = bits, letters, sampled = [store.free_name(docs, n) for n in ("lang_bits", "lang_letters", "lang_sampled")]
 
     def measure(texts: list[str | None]):
         return _parser(shipped.value).measured([t or "" for t in texts])
 
-    found = words.with_numbers(docs, text_col, measure, [bits, letters])
+    found = words.with_numbers(docs, text_col, measure, names)
     if not samples:
-        return found.where(F.col(letters) > 0).drop(bits, letters)
+        return found.where(F.col(letters) > 0).drop(*names)
     found = store.materialize(found, "measured")
-    most = bounds(found, lang_col, bits, letters)
     bound = F.lit(MOST_BITS)
-    for power, value in reversed(sorted(most.items())):
+    for power, value in sorted(bounds(found, lang_col, *names).items(), reverse=True):
         bound = F.when(F.col(letters) < 2.0 ** (power + 1), value).otherwise(bound)
-    return found.where((F.col(letters) > 0) & ((F.col(letters) < LEAST_LETTERS) | (F.col(bits) <= bound))).drop(bits, letters)
+    told = (F.col(letters) < LEAST_LETTERS) | (F.col(bits) <= bound) | (F.col(sampled) == 1)
+    return found.where((F.col(letters) > 0) & told).drop(*names)

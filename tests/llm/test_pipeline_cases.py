@@ -40,22 +40,22 @@ def noise(seed: int):
 
 
 def test_texts_that_are_no_language_go_and_labelled_documents_stay(spark):
-    known = prose(1, 120)
-    other = [(1000 + k, t, None) for k, t in enumerate(noise(2).values())]
+    known = prose(1, 700)  # more of each label than are sampled
+    other = [(5000 + k, t, None) for k, t in enumerate(noise(2).values())]
     short = [(2000, "qx zv", None), (2001, "12 34", None), (2002, None, "aa"), (None, known[0][1], None)]
     docs = frame(spark, known + other + short)
     kept = corpus_pipeline.identify_language(spark, docs, "")
     assert kept.columns == docs.columns
     found = [r["doc_id"] for r in kept.collect()]
-    assert sorted(d for d in found if d is not None) == [*range(120), 2000] and found.count(None) == 1
+    assert sorted(d for d in found if d is not None) == [*range(700), 2000] and found.count(None) == 1
 
 
 def test_bounds_fall_with_length_and_need_enough_documents(spark):
-    rows = [(2.0 + 0.01 * k, 100.0, "aa") for k in range(40)] + [(1.0, 5000.0, "aa")] * 30 + [(8.0, 90.0, None), (0.5, 1e6, "aa")]
-    found = spark.createDataFrame(rows, "bits double, letters double, lang string")
-    most = langid.bounds(found, "lang", "bits", "letters")
+    rows = [(2.0 + 0.01 * k, 100.0, "aa", 0.0) for k in range(40)] + [(1.0, 5000.0, "aa", 0.0)] * 30 + [(8.0, 90.0, None, 0.0), (8.5, 90.0, "aa", 1.0), (0.5, 1e6, "aa", 0.0)]
+    found = spark.createDataFrame(rows, "bits double, letters double, lang string, sampled double")
+    most = langid.bounds(found, "lang", "bits", "letters", "sampled")
     assert most[6] == pytest.approx(2.39 * 1.1) and most[7] == most[12] == pytest.approx(1.1) and most[19] == pytest.approx(1.1)
-    assert set(langid.bounds(found.limit(20), "lang", "bits", "letters").values()) == {langid.MOST_BITS}
+    assert set(langid.bounds(found.limit(20), "lang", "bits", "letters", "sampled").values()) == {langid.MOST_BITS}
 
 
 @pytest.mark.parametrize("block", [1 << 23, 60])
