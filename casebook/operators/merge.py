@@ -39,15 +39,22 @@ def sheet_order(case: str, row: str) -> list[Column]:
     return [first, F.col("ordinal")]
 
 
+#: Parts that rows without a key are dealt to.
+PARTS = 64
+
+
 def first_occurrence(df: DataFrame, key: str, row: str, flag: str = "is_first") -> DataFrame:
     """Whether a row, of which ``row`` is the number, is its key's first; true for a null key only where it is the first null.
 
-    First rows are found by an aggregation, so that a key with very many rows is reduced before it is shuffled, and joined back.
+    First rows are found by an aggregation, so that a key with very many rows is reduced before it is shuffled, and joined back; rows
+    without a key meet theirs in several parts.
     """
-    first = df.groupBy(F.col(key).alias("_key")).agg(F.min(row).alias("_first"))
-    known = df.where(F.col(key).isNotNull()).join(first.where("_key is not null"), F.col(key) == F.col("_key"))
-    nulls = df.where(F.col(key).isNull()).join(F.broadcast(first.where("_key is null")))  # one row
-    return known.select(*df.columns, (F.col(row) == F.col("_first")).alias(flag)).union(nulls.select(*df.columns, F.col(row) == F.col("_first")))
+    part = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(row), F.lit(PARTS))).otherwise(F.lit(0))
+    each = F.when(F.col(key).isNull(), F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))
+    first = df.groupBy(key).agg(F.min(row).alias("_first")).select(F.col(key).alias("_key"), "_first", F.explode(each.cast("array<long>")).alias("_of"))
+    out = df.withColumn("_part", part.cast("long"))
+    out = out.join(first, out[key].eqNullSafe(first["_key"]) & (F.col("_part") == F.col("_of")))
+    return out.select(*df.columns, (F.col(row) == F.col("_first")).alias(flag))
 
 
 def match_markers(df: DataFrame, triples: list[tuple[str, str, str]]) -> DataFrame:

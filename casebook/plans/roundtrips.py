@@ -43,6 +43,17 @@ def scan_reports(spark, d):
     return readers.load_reports(spark, f"{folder}/sheet.csv").select("case_id", "text")
 
 
+@query("SELECT CASE WHEN p_partkey % 7 <> 0 THEN p_partkey END AS case_id, trim(p_name) AS text FROM part WHERE p_partkey % 5 <> 0")
+def scan_workbook(spark, d):
+    """A sheet as a workbook, written and read by tasks, with blank texts, gaps in its ids and headers in odd case."""
+    p = table(spark, d, "part")
+    made = p.select(F.when(F.col("p_partkey") % 7 != 0, F.col("p_partkey").cast("double")).alias(" number "), F.when(F.col("p_partkey") % 5 != 0, F.concat(F.lit("  "), "p_name", F.lit(" "))).alias("FINAL Diagnosis"), (F.col("p_size") > 10).alias("large"))
+    path = work.new_folder(spark, "workbook") + ".xlsx"
+    sinks.reset(spark, path.rpartition("/")[0])
+    sinks.workbook(made, path)
+    return readers.load_reports(spark, path).select("case_id", "text")
+
+
 @query("SELECT row_number() OVER () AS report_index, p_name AS text FROM (SELECT DISTINCT p_name FROM part ORDER BY 1)")
 def scan_lines(spark, d):
     """A text file with blank lines, one report a line, numbered in order."""

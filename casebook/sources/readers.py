@@ -1,4 +1,4 @@
-"""Scans (S1-S13).  Schemas are explicit; workbooks are read on the driver where a reader for them is installed."""
+"""Scans (S1-S13).  Schemas are explicit."""
 
 from __future__ import annotations
 
@@ -10,25 +10,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from casebook.functions.text import case_id, header, run_name
+from casebook.sources import sheets
 
 
 def workbook(spark: SparkSession, path: str, sheet: str | int = 0) -> DataFrame:
-    """A sheet with every cell as text and ``row_num`` from 1.  A workbook is one person's work, so it is small."""
-    import pandas as pd
-
-    try:
-        pdf = pd.read_excel(path, sheet_name=sheet, dtype=str)
-    except ImportError as e:
-        raise RuntimeError("reading workbooks needs a spreadsheet library; give CSV or Parquet instead") from e
-    pdf.insert(0, "row_num", range(1, len(pdf) + 1))
-    kinds = T.StructType([T.StructField("row_num", T.LongType()), *(T.StructField(str(c).strip(), T.StringType()) for c in pdf.columns[1:])])
-    return spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), kinds)
+    """A sheet with every cell as text and ``row_num`` from 1, parsed by tasks."""
+    spark.dataSource.register(sheets.SheetSource)
+    return spark.read.format(sheets.FORMAT).option("sheet", str(sheet)).load(path)
 
 
 def sheet(spark: SparkSession, path: str, sheet_name: str | int = 0) -> DataFrame:
     """A workbook, or CSV with a header, or Parquet, by suffix."""
     suffix = Path(path).suffix.lower()
-    if suffix in (".xlsx", ".xls"):
+    if suffix == ".xlsx":
         return workbook(spark, path, sheet_name)
     if suffix == ".csv":
         return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
@@ -105,11 +99,11 @@ def jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 def keyed_jsonl(spark: SparkSession, path: str, id_field: str = "case_id") -> DataFrame:
     """(case_id, first_line, value) of JSON lines: each id's last object, in the order in which ids came first.
 
-    Blank lines are skipped, lines that are no JSON object are an error with their text, and objects without an id go.
+    Blank lines are skipped, lines that are no JSON object are an error with their number and text, and objects without an id go.
     """
-    raw = numbered_lines(spark, path).where("trim(value) <> ''")
+    raw = numbered(spark.read.text(path), "line").where("trim(value) <> ''")
     good = F.expr("try_parse_json(value)").isNotNull() & F.trim("value").startswith("{")
-    checked = raw.withColumn("value", F.when(good, F.col("value")).otherwise(F.raise_error(F.concat(F.lit("not a JSON object: "), F.substring("value", 1, 200))).cast("string")))
+    checked = raw.withColumn("value", F.when(good, F.col("value")).otherwise(F.raise_error(F.concat(F.lit("line "), F.col("line"), F.lit(" is not a JSON object: "), F.substring("value", 1, 200))).cast("string")))
     keyed = checked.withColumn("case_id", case_id(F.get_json_object("value", f"$.{id_field}"))).where("case_id is not null")
     return keyed.groupBy("case_id").agg(F.min("line").alias("first_line"), F.max(F.struct("line", "value"))["value"].alias("value"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casebook.functions.text import cell
+from casebook.sources import sheets
 
 
 def reset(spark, folder: str) -> None:
@@ -118,15 +119,10 @@ def one_row_json(df: DataFrame, path: str) -> dict:
     return out
 
 
-def workbook(df: DataFrame, path: str, most_rows: int = 100_000) -> None:
-    """K7: a sheet of bounded size; more rows are an error."""
-    pdf = df.limit(most_rows + 1).transform(flat).toPandas()
-    if len(pdf) > most_rows:
-        raise ValueError(f"more than {most_rows} rows do not make a workbook")
-    try:
-        pdf.to_excel(path, index=False)
-    except ImportError as e:
-        raise RuntimeError("writing workbooks needs a spreadsheet library") from e
+def workbook(df: DataFrame, path: str, title: str = "Sheet1") -> None:
+    """K7: a workbook of one sheet, streamed by one task; more rows than a sheet has are an error."""
+    df.sparkSession.dataSource.register(sheets.SheetSource)
+    df.transform(flat).coalesce(1).write.format(sheets.FORMAT).mode("append").option("sheet", title).save(path)
 
 
 def vectors(df: DataFrame, path: str, vector: str, width: int) -> None:
