@@ -7,6 +7,7 @@ Every window has a minimiser: the least-hashed run of ``RUN`` words in it.  Cons
 as one packed string to the bucket of its hash, so equal windows meet there.  A bucket sorts
 its windows and finds the smallest document of each.
 
+A task holds what it has for each bucket until that is worth a row, so that rows are no shorter where buckets are many.
 Before anything travels, windows that repeat within a batch are settled there: those outside
 the batch's smallest document go at once, so a passage in a third of all rows
 reaches its bucket once for each batch.  What a bucket and a batch found goes back to the documents by
@@ -40,6 +41,10 @@ PART_BYTES = 8 << 20
 #: One document in this many tells the frequent minimisers.
 SAMPLED = 64
 BATCH_BYTES = 3_000_000
+#: What a task holds before it sends a row for each bucket: so much a bucket, as short rows compress worse, but no more than fits beside its work.
+ROW_BYTES, HELD_BYTES = 32 << 10, 64 << 20
+#: Frequent runs that rank late, 8 bytes each in every task.
+MOST_LATE = 1 << 16
 _M1, _M2 = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 _PLACE = np.uint64((1 << 24) - 1)
 _LATE = np.uint64(1 << 63)
@@ -82,7 +87,7 @@ def _minimisers(found: words.Words, at: np.ndarray, n: int, late: np.ndarray) ->
 
 
 def _frequent(plain: DataFrame, n: int, buckets: int) -> np.ndarray:
-    """Runs that would be minimisers of more than an eighth of a bucket's mean share of windows; their number is bounded by that."""
+    """Runs that would be minimisers of more than an eighth of a bucket's mean share of windows, at most the ``MOST_LATE`` most frequent of them."""
 
     def counted(batches):
         for pdf in words.chunks(batches, BATCH_BYTES):
@@ -95,7 +100,7 @@ def _frequent(plain: DataFrame, n: int, buckets: int) -> np.ndarray:
             yield pd.DataFrame({"run": np.append(run[often].astype(np.int64), -1), "n": np.append(times[often], times.sum())})
 
     sample = plain.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0).select("text")
-    sums = words.mapped(sample, counted, "run long, n long").groupBy("run").agg(F.sum("n").alias("n")).orderBy(F.desc("n")).limit(8 * buckets + 1).collect()
+    sums = words.mapped(sample, counted, "run long, n long").groupBy("run").agg(F.sum("n").alias("n")).orderBy(F.desc("n")).limit(min(8 * buckets, MOST_LATE) + 1).collect()
     total = max((r["n"] for r in sums if r["run"] == -1), default=0)
     return np.array(sorted(r["run"] for r in sums if r["run"] >= 0 and r["n"] * 8 * buckets > total), np.uint64)
 
@@ -129,7 +134,7 @@ def _unpack(raw: bytes, kind) -> np.ndarray:
 
 
 class _Flags:
-    """Windows found elsewhere: document, hash of its text and first word, dealt to groups of documents."""
+    """Windows found elsewhere: document, hash of its text and first word, dealt to groups of documents as arrays of three rows."""
 
     def __init__(self, groups: int):
         self.groups = groups
@@ -142,13 +147,41 @@ class _Flags:
         cut = np.flatnonzero(np.diff(group[order], prepend=-1)).tolist()
         for a, b in zip(cut, [*cut[1:], len(order)], strict=True):
             o = order[a:b]
-            yield int(group[o[0]]), _pack(np.stack([doc[o], text[o], start[o]]))
+            yield int(group[o[0]]), np.stack([doc[o], text[o], start[o]])
 
 
-def _travel(pdf: pd.DataFrame, n: int, buckets: int, flags: _Flags, late: np.ndarray):
-    """Rows (bucket, group, packed, runs) of a batch of documents: its super-k-mers and what it settled itself."""
-    import zstandard
+class _Held:
+    """What a task has for each bucket and group of documents, until it is worth a row each."""
+
+    def __init__(self, buckets: int):
+        self.buckets, self.size = buckets, 0
+        self.texts: dict[int, list[bytes]] = {}
+        self.runs: dict[int, list[np.ndarray]] = {}
+        self.flags: dict[int, list[np.ndarray]] = {}
+
+    def run(self, bucket: int, text: bytes, about: np.ndarray) -> None:
+        self.texts.setdefault(bucket, []).append(text)
+        self.runs.setdefault(bucket, []).append(about)
+        self.size += len(text) + about.nbytes
+
+    def flag(self, group: int, found: np.ndarray) -> None:
+        self.flags.setdefault(group, []).append(found)
+        self.size += found.nbytes
+
+    def rows(self):
+        """Rows (bucket, group, packed, runs), and nothing held any more."""
+        import zstandard
 
+        pack = zstandard.ZstdCompressor(level=3)
+        for bucket in sorted(self.texts):
+            yield bucket, None, pack.compress(b"\n".join(self.texts.pop(bucket))), _pack(np.concatenate(self.runs.pop(bucket), axis=1))
+        for group in sorted(self.flags):
+            yield group % self.buckets, group, _pack(np.concatenate(self.flags.pop(group), axis=1)), None
+        self.size = 0
+
+
+def _travel(pdf: pd.DataFrame, n: int, flags: _Flags, late: np.ndarray, held: _Held) -> None:
+    """Hold a batch of documents' super-k-mers, and what it settled itself."""
     pdf = pdf.sort_values("doc_id", kind="stable")
     found = words.split(list(pdf["text"]))
     if len(found.hash) < n:
@@ -163,8 +196,8 @@ def _travel(pdf: pd.DataFrame, n: int, buckets: int, flags: _Flags, late: np.nda
     gone = own != own[_groups(key, h, at, n)]
     if gone.any():
         w = at[gone]
-        for group, packed in flags.rows(own[gone], texts[doc[w]], w - found.first[doc[w]]):
-            yield int(own[gone][0]) % buckets, group, packed, None
+        for group, flagged in flags.rows(own[gone], texts[doc[w]], w - found.first[doc[w]]):
+            held.flag(group, flagged)
     at = at[~gone]
     if not len(at):
         return
@@ -174,16 +207,14 @@ def _travel(pdf: pd.DataFrame, n: int, buckets: int, flags: _Flags, late: np.nda
     first = np.flatnonzero(new)
     size = np.diff(np.append(first, len(at)))
     begin = at[first]
-    bucket = (words.mix(least[first] >> np.uint64(24)) % np.uint64(buckets)).astype(np.int64)
+    bucket = (words.mix(least[first] >> np.uint64(24)) % np.uint64(held.buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     a, b = found.start[begin[order]].tolist(), found.end[begin[order] + size[order] + n - 2].tolist()
     owner = doc[begin]
     about = np.stack([ids[owner], texts[owner], begin - found.first[owner], size])[:, order]
     cut = np.flatnonzero(np.diff(bucket[order], prepend=-1)).tolist()
-    pack = zstandard.ZstdCompressor(level=3)
     for i, j in zip(cut, [*cut[1:], len(order)], strict=True):
-        text = b"\n".join([found.raw[x:y] for x, y in zip(a[i:j], b[i:j], strict=True)])
-        yield int(bucket[order[i]]), None, pack.compress(text), _pack(about[:, i:j])
+        held.run(int(bucket[order[i]]), b"\n".join([found.raw[x:y] for x, y in zip(a[i:j], b[i:j], strict=True)]), about[:, i:j].copy())
 
 
 def _meet(pdf: pd.DataFrame, n: int, flags: _Flags):
@@ -210,7 +241,7 @@ def _meet(pdf: pd.DataFrame, n: int, flags: _Flags):
         order = np.argsort(own[0], kind="stable")
         at, own = at[order], own[:, order]
         gone = own[0] != own[0][_groups(words.rolling(h, n, _M1)[at], h, at, n)]
-        out += flags.rows(own[0][gone], own[1][gone], own[2][gone])
+        out += [(g, _pack(f)) for g, f in flags.rows(own[0][gone], own[1][gone], own[2][gone])]
     del hashes, places, owners
     words.release()
     return pd.DataFrame(out, columns=["group", "flags"])
@@ -244,6 +275,10 @@ def _kept(left: pd.DataFrame, right: pd.DataFrame, n: int, with_text: bool):
     return pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"]).astype({"doc_id": "Int64"})
 
 
+def _frame(held: _Held) -> pd.DataFrame:
+    return pd.DataFrame(list(held.rows()), columns=["bucket", "group", "packed", "runs"]).astype({"group": "Int64"})
+
+
 def deduplicate(docs: DataFrame, n: int = 13, with_text: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text: kept words joined by one space."""
     if n < RUN:
@@ -255,10 +290,16 @@ def deduplicate(docs: DataFrame, n: int = 13, with_text: bool = True, id_col: st
     buckets, flags = deal, _Flags(deal)
     late = _frequent(plain.where("known"), n, buckets)
 
+    enough = min(max(BATCH_BYTES, ROW_BYTES * buckets), HELD_BYTES)
+
     def travel(batches):
+        held = _Held(buckets)
         for pdf in words.chunks(batches, BATCH_BYTES):
-            rows = list(_travel(pdf, n, buckets, flags, late))
-            yield pd.DataFrame(rows, columns=["bucket", "group", "packed", "runs"]).astype({"group": "Int64"})
+            _travel(pdf, n, flags, late, held)
+            if held.size >= enough:
+                yield _frame(held)
+        if held.size:
+            yield _frame(held)
 
     def meet(pdf):
         return _meet(pdf, n, flags)
