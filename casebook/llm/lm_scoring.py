@@ -38,7 +38,7 @@ NOISE, STEPS = 25, 300
 PRIOR = 0.2
 BATCH_BYTES = 3_000_000
 #: Bytes of text whose words, of all blocks, make a range; and predicted words for each in the cube root of the distinct ones.
-RANGE_BYTES, GROWTH = 16 << 20, 17
+RANGE_BYTES, GROWTH = 64 << 20, 17
 _END = np.uint64(0x1D8E4E27C47D124F)
 _U64 = np.uint64
 
