@@ -31,6 +31,8 @@ CACHE_UNITS = 600_000
 BATCH_BYTES = 3_000_000
 #: Bins that a packer holds open, and pieces that it orders at a time: a look-ahead beyond the open bins closes bins too early.
 OPEN_BINS = LOOKAHEAD = 1024
+#: Bytes of text that are enough for a packer.
+PACKER_BYTES = 8 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 #: The white space of Unicode beyond ASCII.
 _WIDE_SPACES = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
@@ -274,8 +276,8 @@ def pack(pieces: DataFrame, capacity: int = 2048, open_bins: int = OPEN_BINS) ->
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, open_bins: int = OPEN_BINS, packer_rows: int = 1000, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every text of ``docs`` tokenized, cut and packed in one pass; ``with_ids`` keeps the ids themselves.
 
-    Nothing is stored or shuffled between; partitions of few documents are read together until a packer has ``packer_rows``, for
-    which ``docs`` is counted, so it should be a stored table.
+    Nothing is stored or shuffled between; partitions of few documents are read together until a packer has ``packer_rows`` or ``PACKER_BYTES`` of
+    text, for which ``docs`` is counted, so it should be a stored table.
     """
 
     def run(batches, file: str):
@@ -284,5 +286,6 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
             bins, offsets = _placed(packer, frame["length"].to_numpy())
             yield frame.assign(sequence_id=bins + base, offset=offsets)
 
-    near = docs.coalesce(store.parts(docs.count(), packer_rows))
+    size = docs.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0)).alias("bytes")).first()
+    near = docs.coalesce(max(store.parts(size["rows"], packer_rows), store.parts(size["bytes"], PACKER_BYTES)))
     return _mapped(near, tokenizer_path, run, f"{PIECES}, sequence_id long, offset long", with_ids, id_col, text_col)
