@@ -6,9 +6,10 @@ where each worker makes of them a sorted table of window hashes with where each
 Every window of every document is looked up by hash; each hit is verified on all of its words' hashes and, once for each window
 and batch, on the words themselves.
 
-What is broadcast has a bound: items are dealt to blocks of at most about ``BLOCK_BYTES`` of text, and documents are
-scanned once for each block, from a stored table; a block is collected when its turn comes, and let go afterwards.  One block is
-the usual case.
+What is broadcast has a bound: items are dealt to blocks of at most about ``BLOCK_BYTES`` of text; a block is collected when its turn comes, and
+let go afterwards.  One block is the usual case.  Where there are more, a filter of the windows of all items goes first: it passes documents that
+may hold one, few beside those that do, and only these are stored and looked up block by block.  Its size has a bound too (``SIEVE_BYTES``, at which it
+holds some twenty million windows well); beyond, it passes more.
 
 Cases: null text has no words; null item texts are ignored, and so are null item ids unless ``nameless`` asks for
 their windows, which then hit under a null item, one for all of them, as in the query's SQL; an item with an id seen
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from . import store, words
 
 BLOCK_BYTES = 8 << 20
+#: The filter of all windows, where there are several blocks: bytes at most (three a window up to there), bits set for each window, and bytes of a piece.
+SIEVE_BYTES, PROBES, PIECE_BYTES = 64 << 20, 8, 1 << 20
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _MULTIPLIER = 0xA0761D6478BD642F
 FOUND = "n_words long, spans array<struct<start:int,end:int>>, items array<string>"
@@ -132,14 +135,88 @@ class Windows:
         return out
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, nameless: bool = False):
-    """Broadcasts of the items, each of bounded size, made one at a time, and whether each is the last."""
+def _items(benchmark: DataFrame, id_col: str, text_col: str, nameless: bool = False) -> tuple[DataFrame, int]:
+    """Distinct items (id, text), and how many blocks they make."""
     items = benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).na.drop(subset=["text"] if nameless else ["id", "text"]).distinct()
-    count = store.parts(items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0, BLOCK_BYTES)
+    return items, store.parts(items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0, BLOCK_BYTES)
+
 
+def _blocks(items: DataFrame, count: int):
+    """Broadcasts of the items, each of bounded size, made one at a time, and whether each is the last."""
     for k in range(count):
         rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(count)) == k).collect()  # at most about BLOCK_BYTES
-        yield k + 1 == count, benchmark.sparkSession.sparkContext.broadcast([tuple(r) for r in rows])
+        yield k + 1 == count, items.sparkSession.sparkContext.broadcast([tuple(r) for r in rows])
+
+
+def _item_windows(texts: list[bytes], n: int):
+    """Width and hashes of the windows of items, by width."""
+    found = _folded(texts)
+    size = np.minimum(np.diff(found.first), n)
+    for width in np.unique(size[size > 0]).tolist():
+        hashes = words.rolling(found.hash, width, _MULTIPLIER)
+        first, count = found.first[:-1][size == width], np.diff(found.first)[size == width] - width + 1
+        at = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        yield width, hashes[at]
+
+
+class Sieve:
+    """A filter of the windows of all items: ``PROBES`` bits for each, in ``bits``, and the windows' ``widths``."""
+
+    def __init__(self, bits: np.ndarray, widths: list[int]):
+        self.bits, self.widths = bits, widths
+
+    @staticmethod
+    def places(hashes: np.ndarray, probe: int, size: int) -> np.ndarray:
+        return words.mix(hashes + np.uint64(probe) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(8 * size)
+
+    def add(self, hashes: np.ndarray) -> None:
+        for probe in range(PROBES):
+            at = self.places(hashes, probe, len(self.bits))
+            np.bitwise_or.at(self.bits, at >> np.uint64(3), np.left_shift(np.uint8(1), (at & np.uint64(7)).astype(np.uint8)))
+
+    def suspects(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """How many words each text has, and whether any of its windows may be an item's."""
+        found = _folded(texts)
+        out = np.zeros(len(texts), bool)
+        doc = found.doc
+        for width in self.widths:
+            hashes = words.rolling(found.hash, width, _MULTIPLIER)
+            at = np.flatnonzero(doc[: len(hashes)] == doc[width - 1 :]) if len(hashes) else np.zeros(0, np.int64)
+            for probe in range(PROBES):
+                place = self.places(hashes[at], probe, len(self.bits))
+                at = at[(self.bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+            out[doc[at]] = True
+        return np.diff(found.first), out
+
+
+def _sieve(items: DataFrame, n: int) -> Sieve:
+    """One filter of all windows of all items: each task makes its own, and these are united piece by piece."""
+
+    def counted(batches):
+        for pdf in words.chunks(batches):
+            yield pd.DataFrame([(w, len(h)) for w, h in _item_windows(list(pdf["text"]), n)], columns=["width", "n"])
+
+    sizes = words.mapped(items.select("text"), counted, "width long, n long").groupBy("width").agg(F.sum("n").alias("n")).collect()  # a row for each width up to n
+    size = min(SIEVE_BYTES, max(1024, 3 * sum(r["n"] for r in sizes)))
+
+    def made(batches):
+        own = Sieve(np.zeros(size, np.uint8), [])
+        for pdf in words.chunks(batches):
+            for _, hashes in _item_windows(list(pdf["text"]), n):
+                own.add(hashes)
+        for k in range(0, size, PIECE_BYTES):
+            if own.bits[k : k + PIECE_BYTES].any():
+                yield pd.DataFrame({"piece": [k], "bits": [own.bits[k : k + PIECE_BYTES].tobytes()]})
+
+    def united(pdf: pd.DataFrame) -> pd.DataFrame:
+        bits = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in pdf["bits"]])
+        return pd.DataFrame({"piece": pdf["piece"].iloc[:1], "bits": [bits.tobytes()]})
+
+    pieces = words.mapped(items.select("text"), made, "piece long, bits binary").groupBy("piece").applyInPandas(united, "piece long, bits binary")
+    bits = np.zeros(size, np.uint8)
+    for r in pieces.collect():  # at most SIEVE_BYTES
+        bits[r["piece"] : r["piece"] + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
+    return Sieve(bits, sorted(r["width"] for r in sizes))
 
 
 def _windows(shipped, n: int) -> Windows:
@@ -151,7 +228,20 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_
     """One row per document: doc_id, n_words, spans (word ranges hit, merged) and items, sorted as strings, a null one last."""
     out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = out.schema["doc_id"].dataType.simpleString()
-    for last, shipped in _blocks(benchmark, item_col, item_text_col, nameless):
+    items, count = _items(benchmark, item_col, item_text_col, nameless)
+    clear = None
+    if count > 1:  # texts are read once, and only those that may hold a window are looked up block by block
+        sieve = docs.sparkSession.sparkContext.broadcast(_sieve(items, n))
+
+        def sieved(batches):
+            for pdf in words.chunks(batches):
+                size, some = sieve.value.suspects(list(pdf["text"]))
+                yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_words": size, "text": [t.decode() if s else None for t, s in zip(pdf["text"], some, strict=True)]})
+
+        known = store.materialize(words.mapped(out, sieved, f"doc_id {kind}, n_words long, text string"), "sieved")
+        clear = known.where("text is null").select("doc_id", "n_words", F.array().cast("array<struct<start:int,end:int>>").alias("spans"), F.array().cast("array<string>").alias("items"))
+        out = known.where("text is not null").select("doc_id", "text")
+    for last, shipped in _blocks(items, count):
         keep = not last
 
         def scan(batches, shipped=shipped, keep=keep):
@@ -169,7 +259,7 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_
         if keep:
             out = store.materialize(out, "scanned")
             shipped.unpersist()
-    return out
+    return out if clear is None else out.select(*clear.columns).union(clear)
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -188,7 +278,17 @@ def clean(docs: DataFrame, benchmark: DataFrame, n: int = 10, whole: bool = True
     Items with a null id are searched too if ``nameless``.  All columns stay.  With spans cut, what is cut goes from the first hit word to the last,
     and texts without hits stay as they are.
     """
-    for last, shipped in _blocks(benchmark, item_col, item_text_col, nameless):
+    items, count = _items(benchmark, item_col, item_text_col, nameless)
+    safe = None
+    if count > 1:  # only documents that may hold a window are looked up block by block
+        sieve = docs.sparkSession.sparkContext.broadcast(_sieve(items, n))
+
+        def suspects(texts: list[str | None]) -> list[bool]:
+            return sieve.value.suspects([b"" if t is None else t.encode() for t in texts])[1].tolist()
+
+        safe = words.keep_where(docs, text_col, lambda texts: [not s for s in suspects(texts)])
+        docs = store.materialize(words.keep_where(docs, text_col, suspects), "suspects")
+    for last, shipped in _blocks(items, count):
 
         def scan(texts, shipped=shipped):
             return _windows(shipped, n).scan([b"" if t is None else t.encode() for t in texts])
@@ -203,7 +303,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, n: int = 10, whole: bool = True
         if not last:
             docs = store.materialize(docs, "cleaned")
             shipped.unpersist()
-    return docs
+    return docs if safe is None else docs.union(safe)
 
 
 def _without(text: str, places: list[tuple[int, int]]) -> str:

@@ -1,0 +1,84 @@
+"""What is dealt by bytes, held until it is worth a row, and filtered before it is looked up."""
+
+from __future__ import annotations
+
+import random
+
+import numpy as np
+import public_tokenizers
+import pytest
+
+from casebook.llm import decontaminate, packing, registry, substring
+from tests.llm import brute
+
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def test_packers_are_dealt_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PACKER_BYTES", 100_000)
+    docs = spark.createDataFrame([(k, "word " * 10_000) for k in range(24)], "doc_id long, text string").repartition(12)
+    assert packing.pack_documents(docs, TOKENIZER, with_ids=False).rdd.getNumPartitions() == 12
+    monkeypatch.setattr(packing, "PACKER_BYTES", 300_000)
+    assert packing.pack_documents(docs, TOKENIZER, with_ids=False).rdd.getNumPartitions() == 4
+    assert packing.pack_documents(docs.limit(0), TOKENIZER, with_ids=False).count() == 0
+
+
+def texts(n, words, seed=1):
+    draw = random.Random(seed)
+    return [" ".join(f"w{draw.randrange(4000)}" for _ in range(words)) for _ in range(n)]
+
+
+def test_many_buckets_make_no_more_rows_than_are_worth_it():
+    import pandas as pd
+
+    def rows(buckets, batches):
+        held, flags, out = substring._Held(buckets), substring._Flags(buckets), []
+        for k in range(batches):
+            pdf = pd.DataFrame({"doc_id": range(50 * k, 50 * k + 50), "text": [t.encode() for t in texts(50, 200, k)], "_text": range(50)})
+            substring._travel(pdf, 13, flags, np.zeros(0, np.uint64), held)
+        assert held.size > 0
+        out = list(held.rows())
+        assert held.size == 0 and not list(held.rows())
+        return out
+
+    one, many = rows(64, 1), rows(64, 6)
+    assert len(many) == len(one) == 64
+    size = lambda found: sum(len(r[2]) + len(r[3] or b"") for r in found)
+    assert size(many) < 6 * size(one)
+
+
+@pytest.mark.parametrize("held", [1, 1 << 30])
+def test_removed_words_do_not_depend_on_what_is_held(spark, monkeypatch, held):
+    monkeypatch.setattr(substring, "ROW_BYTES", held)
+    monkeypatch.setattr(substring, "BATCH_BYTES", 3_000)
+    shared = texts(3, 40, 9)
+    rows = [(k, f"{t} {shared[k % 3]} {t[:40]}") for k, t in enumerate(texts(60, 60, 2))]
+    got = substring.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), with_text=False)
+    want = brute.repeated_windows(rows)
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got.collect()} == want
+
+
+def test_a_filter_passes_what_may_hold_a_window_and_little_else(spark):
+    items = [(k, t) for k, t in enumerate(texts(300, 25, 4))] + [(1000, "short item"), (1001, "")]
+    docs = texts(400, 120, 5) + [f"x y {items[7][1]} z", "a short item b", "short"]
+    sieve = decontaminate._sieve(spark.createDataFrame(items, "id long, text string").selectExpr("cast(id as string) id", "text").repartition(3), 10)
+    assert sieve.widths == [2, 10]
+    _, some = sieve.suspects([t.encode() for t in docs])
+    assert some[400] and some[401] and not some[402] and some[:400].mean() < 0.05
+
+
+def test_many_blocks_store_few_texts(spark, monkeypatch):
+    """A benchmark of several blocks gives what one block gives."""
+    items = spark.createDataFrame([(k, t) for k, t in enumerate(texts(60, 25, 6))], "item_id long, text string")
+    some = [r["text"] for r in items.collect()]
+    docs = spark.createDataFrame([(k, t if k % 10 else f"{t} {some[k % 60]}") for k, t in enumerate(texts(200, 60, 7))], "doc_id long, text string").repartition(4)
+    once = decontaminate.digest(decontaminate.find(docs, items, nameless=True)).collect()
+    left = decontaminate.clean(docs, items).collect()
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 1_000)
+    assert decontaminate._items(items, "item_id", "text")[1] > 5
+    assert sorted(decontaminate.digest(decontaminate.find(docs, items, nameless=True)).collect()) == sorted(once)
+    assert sorted(decontaminate.clean(docs, items).collect()) == sorted(left) and len(left) == 180
+
+
+def test_registered_queries_have_names_in_order():
+    assert [int(n[2:].split("_")[0]) for n in registry.QUERIES] == list(range(1, 14))
