@@ -9,28 +9,39 @@ from casebook.functions.text import same_key
 from casebook.operators.confusion import literal_match
 
 
+#: Parts that rows without a key are dealt to.
+PARTS = 64
+
+
 def positional(sheet: DataFrame, records: DataFrame, case: str, row: str, containers: str, fields: list[str], case_fields: dict[str, str] | None = None) -> DataFrame:
     """The i-th row of a case gets its i-th container; more containers become new rows, fewer leave nulls.
 
     Rows of cases without a record stay as they are.  Each record is one row with an array of
     containers; ``case_fields`` are record columns to put on the sheet's own rows, not on new ones.  ``ordinal`` is the place in
-    the case, from 1, and ``inserted`` tells new rows.
+    the case, from 1, and ``inserted`` tells new rows.  Sheet and records are read once each.
     """
-    place = F.row_number().over(Window.partitionBy(case).orderBy(row))
-    # rows without a case are apart, or all of them would be one case
-    own = sheet.where(F.col(case).isNotNull()).withColumn("ordinal", place).union(sheet.where(F.col(case).isNull()).withColumn("ordinal", F.lit(1)))
     case_fields = case_fields or {}
-    per_case = records.select(F.col(case).alias("_case"), *(F.col(v).alias(f"_case_{k}") for k, v in case_fields.items()))
-    each = records.select(F.col(case).alias("_key"), F.posexplode(containers).alias("_pos", "_c")).select("_key", (F.col("_pos") + 1).alias("_ordinal"), *(F.col(f"_c.{f}").alias(f"_{f}") for f in fields))
-    cases = own.where(F.col(case).isNotNull()).select(F.col(case).alias("_known")).distinct()
-    each = each.join(cases, F.col("_key") == F.col("_known"), "left_semi")  # containers of cases that the sheet lacks go
-    out = own.join(each, (F.col(case) == F.col("_key")) & (F.col("ordinal") == F.col("_ordinal")), "full_outer")
+    # rows without a case are dealt to parts, or all of them would be one case; they meet no record
+    salt = F.when(F.col(case).isNull(), F.pmod(F.xxhash64(row), F.lit(PARTS)))
+    place = F.row_number().over(Window.partitionBy(case, salt).orderBy(row))
+    own = sheet.withColumn("_salt", salt).withColumn("ordinal", F.when(F.col(case).isNull(), F.lit(1)).otherwise(place))
+    own = own.withColumn("_at", F.coalesce(-1 - F.col("_salt"), F.col("ordinal").cast("long")))
+    # a record without containers still has a row, at 0, for its fields
+    each = records.select(F.col(case).alias("_key"), *(F.col(v).alias(f"_case_{k}") for k, v in case_fields.items()), F.posexplode_outer(containers).alias("_pos", "_c"))
+    each = each.withColumn("_ordinal", F.coalesce(F.col("_pos") + 1, F.lit(0))).select("*", *(F.col(f"_c.{f}").alias(f"_{f}") for f in fields)).drop("_pos", "_c")
+    out = own.join(each, (F.col(case) == F.col("_key")) & (F.col("_at") == F.col("_ordinal")), "full_outer")
+    whole = Window.partitionBy(F.coalesce(F.col(case), F.col("_key")), "_salt")
     inserted = F.col("ordinal").isNull()
-    out = out.select(F.coalesce(F.col(case), F.col("_key")).alias(case), *[c for c in sheet.columns if c != case], F.coalesce("ordinal", "_ordinal").alias("ordinal"), inserted.alias("inserted"), *(F.col(f"_{f}").alias(f) for f in fields))
-    if not case_fields:
-        return out
-    joined = out.join(per_case, F.col(case) == F.col("_case"), "left")
-    return joined.select(*out.columns, *(F.when(~F.col("inserted"), F.col(f"_case_{k}")).alias(k) for k in case_fields))
+    out = out.withColumns({"_known": F.max(~inserted).over(whole), **{f"_case_{k}": F.first(f"_case_{k}", ignorenulls=True).over(whole) for k in case_fields}})
+    out = out.where(~inserted | (F.col("_known") & (F.col("_ordinal") > 0)))  # containers of cases that the sheet lacks go
+    return out.select(
+        F.coalesce(F.col(case), F.col("_key")).alias(case),
+        *[c for c in sheet.columns if c != case],
+        F.coalesce("ordinal", "_ordinal").alias("ordinal"),
+        inserted.alias("inserted"),
+        *(F.col(f"_{f}").alias(f) for f in fields),
+        *(F.when(~inserted, F.col(f"_case_{k}")).alias(k) for k in case_fields),
+    )
 
 
 def sheet_order(case: str, row: str) -> list[Column]:
@@ -39,10 +50,6 @@ def sheet_order(case: str, row: str) -> list[Column]:
     return [first, F.col("ordinal")]
 
 
-#: Parts that rows without a key are dealt to.
-PARTS = 64
-
-
 def first_occurrence(df: DataFrame, key: str, row: str, flag: str = "is_first") -> DataFrame:
     """Whether a row, of which ``row`` is the number, is its key's first; true for a null key only where it is the first null.
 

@@ -648,12 +648,19 @@ def text_alnum(spark, d):
     return table(spark, d, "part").select("p_partkey", text.alphanumeric(F.concat_ws(" ", "p_name", "p_type")).alias("words"))
 
 
-@query()
+@query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(nfc_normalize(lower(text)), '[\x00-\x1F\x7F-\x9F]', ' ', 'g'), '\s+', ' ', 'g')) AS standard FROM documents")
 def text_standardize(spark, d):
-    """T1; compatibility forms are beyond SQL."""
+    """T1 over texts without compatibility forms, which are beyond SQL; ``text_repaired`` has them."""
     return table(spark, d, "documents").select("doc_id", text.standardize(F.col("text")).alias("standard"))
 
 
+@query("SELECT p_partkey, lower(p_name) || ' é of ' || lower(p_type) || ' 12 fi' AS standard FROM part")
+def text_repaired(spark, d):
+    """T1 over names with wide letters, a letter and its accent apart, odd spaces, controls, a ligature, and spaces around."""
+    made = F.concat(F.lit(" \t"), _wide("p_name"), F.lit(" e\u0301 \x07\u00a0of\u2003"), _wide("p_type"), F.lit("\r\n\uff11\uff12\x85\ufb01 "))
+    return table(spark, d, "part").select("p_partkey", text.standardize(made).alias("standard"))
+
+
 @query("SELECT doc_id, CASE WHEN quality = 1 THEN true ELSE false END AS as_number, CASE WHEN toxic = 1 THEN true ELSE false END AS as_word FROM labels")
 def bool_coerce(spark, d):
     """T6."""

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from casebook.operators import spans, subwords, tagging
+from casebook.plans import documents
 
 SF = "/root/testdata/sf0.001"
 GROUPS = ("EMAIL", "PHONE")
@@ -104,3 +105,13 @@ def test_windows_of_model_tokens(spark):
                 own = places[a : a + size]
                 want[d, k] = (own[0][0], t[own[0][0] : own[-1][1]])
         assert got == want
+
+
+def test_queries_over_whole_documents(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet")
+    windows = documents.chunk_subwords(spark, SF)
+    assert windows.select("doc_id").distinct().count() == rows.where("length(text) > 0").count()
+    scores = {r["entity_group"]: r for r in documents.tag_held_out(spark, SF).collect()}
+    assert set(scores) == set(documents.GROUPS)
+    masked = documents.phi_mask_tagged(spark, SF)
+    assert masked.count() == rows.count()
