@@ -11,8 +11,10 @@ connected to components.
 Buckets and clusters larger than ``BLOCK`` are dealt to blocks, so neither a group of copies nor one of near copies ends in one
 task.  Each block first meets about ``PIVOTS`` rows of its bucket, copied to all of its blocks.  Rows of one group of near copies
 are thereby connected, and pairs among them need no comparison any more.  What lies outside a bucket's largest
-component, however much that is, then meets all blocks, so no pair of rows in different components is left out; a
-group of n near copies costs n rows, not n times its blocks.
+component then meets all blocks, so no pair of rows in different components is left out; a
+group of n near copies costs n rows, not n times its blocks.  Where full sets are compared and that is more than ``FEW_GROUPS`` blocks, as
+among pages of one template that are not similar enough, sets meet by their first shingles in an order that has the cluster's common ones last: two
+similar sets share one of these, and pages that differ in more than similar ones may share none.
 
 A similar pair is missed if it shares no band, with probability 6e-11 at similarity 0.85 and
 1e-7 at 0.8, or if its sketches differ by 5.5 standard deviations more than expected.
@@ -36,6 +38,8 @@ from . import components, store, words
 BANDS, ROWS, BITS = 40, 5, 512
 SAMPLES = BANDS * ROWS
 BLOCK, PIVOTS = 256, 8
+#: Blocks outside a cluster's largest component that meet all others; more meet by their first shingles.
+FEW_GROUPS = 4
 #: Members of clusters whose places are broadcast, 32 bytes each.
 FEW_MEMBERS = 1_000_000
 #: Keys of buckets with several rows that are broadcast, 16 bytes each.
@@ -112,10 +116,40 @@ def _runs(batches, column: str):
     words.release()
 
 
-def _links(rows: DataFrame, key: str, column: str, compare, scratch: store.Scratch, values: DataFrame | None = None) -> DataFrame:
+def _template(pdf: pd.DataFrame, key: str) -> pd.DataFrame:
+    """The shingles that at least half of a cluster's pivots hold."""
+    sets = [np.frombuffer(s, _U64) for s in pdf["shingles"]]
+    some, times = np.unique(np.concatenate(sets), return_counts=True)
+    return pd.DataFrame({"_key": [pdf[key].iloc[0]], "_blocks": [pdf["_blocks"].iloc[0]], "_template": [some[2 * times >= len(sets)].tobytes()]})
+
+
+def _prefixes(batches, key: str, percent: int):
+    """Rows (id, token, indexed, rest): the first shingles of each set in an order that is one for its cluster, its template last.
+
+    Of two sets with 100 * intersection >= percent * union, the first common shingle is among the first |x| - ceil(percent * |x| / 100) + 1 of either,
+    and ``indexed``, among the first |y| - ceil(2 * percent * |y| / (100 + percent)) + 1, in the smaller one.
+    """
+    for pdf in batches:
+        ids, tokens, indexed, rest = [], [], [], []
+        for i, k, shingles, template, outside in zip(pdf["id"], pdf[key], pdf["shingles"], pdf["_template"], pdf["_rest"], strict=True):
+            own, common = np.frombuffer(shingles, _U64), np.frombuffer(template, _U64)
+            late = np.isin(own, common, assume_unique=True)
+            size = len(own)
+            first = np.concatenate((own[~late], own[late]))[: size - -(-percent * size // 100) + 1]
+            tokens.append(words.mix(first ^ words.mix(np.array([k], np.int64).astype(_U64))).astype(np.int64))
+            indexed.append(np.arange(len(first)) < size - -(-2 * percent * size // (100 + percent)) + 1)
+            ids.append(np.full(len(first), i))
+            rest.append(np.full(len(first), outside))
+        if ids:
+            yield pd.DataFrame({"id": np.concatenate(ids), "token": np.concatenate(tokens), "indexed": np.concatenate(indexed), "rest": np.concatenate(rest)})
+    words.release()
+
+
+def _links(rows: DataFrame, key: str, column: str, compare, scratch: store.Scratch, values: DataFrame | None = None, percent: int | None = None) -> DataFrame:
     """Links (a, b) that connect all rows (id, ``key``) of a key that ``compare`` finds similar.
 
-    What is compared is ``column`` of ``rows``, or of ``values`` (id, ``column``) where that is given.  ``compare`` maps frames of units,
+    With ``percent``, rows hold sets of shingles, and what lies outside the largest component of a large key meets only rows that it shares
+    a first shingle with (``_prefixes``).  What is compared is ``column`` of ``rows``, or of ``values`` (id, ``column``) where that is given.  ``compare`` maps frames of units,
     sorted by ``unit``, to links: a unit is one list of rows, of which all pairs are compared (side 0 only), or two lists (sides 0 and 1).
     """
     spread, carried = store.partitions(rows.sparkSession), [] if values else [column]
@@ -152,6 +186,22 @@ def _links(rows: DataFrame, key: str, column: str, compare, scratch: store.Scrat
     main = scratch.store(main.where("_rest > 0").withColumn("_groups", F.ceil(F.col("_rest") / F.lit(BLOCK))), "main")
     if main.isEmpty():
         return first
+    if percent is not None:
+        heavy = scratch.store(main.where(F.col("_groups") > FEW_GROUPS).select("_key", "_main"), "heavy")
+        if not heavy.isEmpty():
+            members = scratch.store(told.join(heavy, F.col(key) == F.col("_key")).withColumn("_rest", F.col("_in") != F.col("_main")).drop("_key", "_main", "_in"), "members")
+            lead = members.where(dealt("_n", 17) < 2 * PIVOTS).select(key, "_blocks", "shingles")
+            common = lead.groupBy(key).applyInPandas(lambda pdf: _template(pdf, key), "_key long, _blocks long, _template binary")
+            # a copy of the template for each block of its cluster
+            common = copies(common, "_blocks", "_of").drop("_blocks")
+            met = members.join(common, (F.col(key) == F.col("_key")) & (F.col("_block") == F.col("_of")), "left").withColumn("_template", F.coalesce("_template", F.lit(b"")))
+            made = met.select("id", key, "shingles", "_template", "_rest").mapInPandas(lambda b: _prefixes(b, key, percent), "id long, token long, indexed boolean, rest boolean")
+            made = scratch.store(made, "prefixes")
+            some = made.groupBy("token").agg(F.count("*").alias("_all"), F.count_if("indexed").alias("_firsts"), F.count_if("rest").alias("_rests")).where("_all > 1 and _firsts > 0 and _rests > 0")
+            shared = scratch.store(made.join(some.select(F.col("token").alias("_token")), F.col("token") == F.col("_token")).select("id", "token"), "shared")
+            if not shared.isEmpty():
+                first = first.union(_links(shared, "token", column, compare, scratch, members.select("id", column)))
+            main = main.where(F.col("_groups") <= FEW_GROUPS)
     left = told.join(main, F.col(key) == F.col("_key"))
     rest = copies(left.where("_in <> _main").withColumn("_group", dealt("_groups", 13)).drop("_block"), "_blocks", "_block")
     return first.union(found(unit(rest, 2, 0, "_group", "_block").union(unit(copies(left, "_groups", "_group"), 2, 1, "_group", "_block"))))
@@ -274,7 +324,7 @@ def link(docs: DataFrame, percent: int = 80, size: int = 5, id_col: str = "doc_i
             yield pd.DataFrame({"id": pdf["id"].to_numpy(), "key": pdf["key"].to_numpy(), "shingles": [s.tobytes() for s in shingle_sets(list(pdf["text"]), size)]})
 
     full = scratch.store(words.mapped(members, sets_of, "id long, key long, shingles binary"), "sets")
-    links = scratch.store(_links(full, "key", "shingles", lambda b: _similar_sets(b, percent), scratch), "links")
+    links = scratch.store(_links(full, "key", "shingles", lambda b: _similar_sets(b, percent), scratch, percent=percent), "links")
     # sets of rows that repeat an id are linked through it
     twice = scratch.store(known.groupBy("doc_id").agg(F.min("same").alias("one"), F.max("same").alias("other")).where("one <> other").select(F.col("doc_id").alias("_id")), "twice")
     if not twice.isEmpty():
