@@ -8,7 +8,8 @@ the regexes.
 
 Postings are grouped by trigram and block of documents, so that the most common trigram's
 postings are as many bounded groups as there are blocks.  What they give, ids with their rules, is stored; while it is
-small (``FEW_CANDIDATES``, a checked number) it is broadcast and no text moves, beyond that documents are joined to it by id.
+small (``FEW_CANDIDATES``, a checked number) it is broadcast and no text moves; beyond that a Bloom filter of its ids is broadcast, of bounded size, and
+only documents that pass it are joined to it by id.
 
 Cases: null text counts as empty and has no spans; repeated ids share candidates, yet each
 row is verified on its own text; rows with a null id are in no posting, and candidates of every rule; other columns are ignored by ``scan`` and pass ``redact``.
@@ -29,6 +30,8 @@ from . import store
 BLOCK_DOCS = 4096
 #: Documents with candidate rules that are broadcast, some 100 bytes each.
 FEW_CANDIDATES = 400_000
+#: Bits of a piece of the Bloom filter beyond that, as a bitmap of Spark's has them, pieces at most (64 MB), and bits for each id.
+PIECE_BITS, MOST_PIECES, PROBES = 1 << 15, 1 << 14, 5
 
 
 @dataclass(frozen=True)
@@ -148,6 +151,33 @@ def candidates(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: s
     return found.groupBy("doc_id").agg(F.collect_set("kind").alias("kinds"))
 
 
+def _bits(id_: Column, pieces: int) -> list[Column]:
+    """The piece of an id in a Bloom filter, and its places there."""
+    return [F.pmod(F.xxhash64(id_, F.lit(0)), F.lit(pieces)), *(F.pmod(F.xxhash64(id_, F.lit(k + 1)), F.lit(PIECE_BITS)) for k in range(PROBES))]
+
+
+def _split(docs: DataFrame, id_col: str, found: DataFrame, doc: str) -> tuple[DataFrame, DataFrame]:
+    """``docs`` that may be among ``found`` (ids in ``doc``), and those that are not, by a Bloom filter of the ids.
+
+    The filter is a bitmap for each of its pieces, which is broadcast: ten bits an id, so that one in a hundred others passes, and
+    at most ``MOST_PIECES`` pieces, beyond which more do.
+    """
+    pieces = min(MOST_PIECES, store.parts(10 * found.count(), PIECE_BITS))
+    piece, place, held, free = (store.free_name(docs, n) for n in ("bloom_piece", "bloom_place", "bloom_bits", "bloom_of"))
+    own, *places = _bits(F.col(doc), pieces)
+    set_ = found.select(own.alias(piece), F.explode(F.array(*places)).alias(place))
+    bitmaps = set_.groupBy(F.col(piece).alias(free)).agg(F.bitmap_construct_agg(place).alias(held))
+    at, *places = _bits(F.col(id_col), pieces)
+    met = docs.withColumn(piece, at).join(F.broadcast(bitmaps), F.col(piece) == F.col(free), "left")
+
+    def is_set(p: Column) -> Column:
+        byte = F.conv(F.hex(F.substring(F.col(held), (p / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        return F.getbit(byte, (p % 8).cast("int")) == 1
+
+    may = F.coalesce(reduce(lambda a, b: a & b, [is_set(p) for p in places]), F.lit(False))
+    return met.where(may).select(*docs.columns), met.where(~may).select(*docs.columns)
+
+
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -188,9 +218,11 @@ def _with_spans(docs: DataFrame, rules, id_col: str, text_col: str, spans: str)
     every = F.array(*(F.lit(k) for k in range(len(rules)))).cast("array<int>")
     if found.count() <= FEW_CANDIDATES:
         out = docs.join(F.broadcast(found), F.col(id_col) == F.col(doc), "left").withColumn(kinds, F.when(F.col(id_col).isNull(), every).otherwise(F.col(kinds)))
-    else:  # rows with a null id don't take part in the join, where all of them would be one key
-        out = docs.where(F.col(id_col).isNotNull()).join(found, F.col(id_col) == F.col(doc), "left")
-        out = out.union(docs.where(F.col(id_col).isNull()).withColumns({doc: F.lit(None).cast(found.schema[doc].dataType), kinds: every}))
+    else:  # rows that are no candidates stay where they are, and so do those with a null id, which would be one key of a join
+        likely, rest = _split(docs.where(F.col(id_col).isNotNull()), id_col, found, doc)
+        none = {doc: F.lit(None).cast(found.schema[doc].dataType), kinds: F.lit(None).cast("array<int>")}
+        out = likely.join(found, F.col(id_col) == F.col(doc), "left").union(rest.withColumns(none))
+        out = out.union(docs.where(F.col(id_col).isNull()).withColumns({**none, kinds: every}))
     out = out.withColumn(text, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     strings = F.array().cast("array<string>")
     hits, gaps, each = {}, {}, []
