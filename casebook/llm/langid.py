@@ -142,16 +142,18 @@ class Parser:
             plain = self.classes(text)[0]
             sequence = self.spell(plain)
             step, count = _automaton(sequence)
-            table = np.full((len(step), _CLASSES), -1, np.int64)
+            table = np.full((len(step), _CLASSES), -1, np.int32)
             for s, to in enumerate(step):
                 if to:
                     table[s, list(to)] = list(to.values())
             first = np.where(table[0] < 0, 0, table[0])  # after a miss the character starts the next phrase
             missed = table < 0
-            table = (np.where(missed, first, table) + at) * _CLASSES
-            table[missed] |= 1 << _FLAG
+            np.copyto(table, first, where=missed)
+            table += np.int32(at)  # all in place: a worker builds this while its task holds a batch
+            table *= np.int32(_CLASSES)
+            table[missed] |= np.int32(1 << _FLAG)
             table[:, _PAD] = (np.arange(len(step)) + at) * _CLASSES
-            tables.append(table.astype(np.int32))
+            tables.append(table)
             counts.append(count)
             roots.append(at * _CLASSES)
             bits.append(np.log2(len(plain) + 2))
