@@ -276,7 +276,7 @@ def keep_identified(docs: DataFrame, samples: list[tuple[str, str]], text_col: s
 
     These are null texts, texts without a letter, and texts of ``LEAST_LETTERS`` or more that every language parses at more bits a character than
     any labelled document of their length takes (``bounds``): other languages and scripts, or no language, such as random letters.  Texts are parsed
-    once, and stored with what they take.  With no label to learn from, all texts with a letter stay; with few, those of at most ``MOST_BITS``.
+    once, and stored with what they take.  With no label to learn from, all texts with a letter stay; with few, or no such column, those of at most ``MOST_BITS``.
     Repeated rows and null ids are rows like others; no rows give none.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(samples)  # bounded by the sample's parameters
@@ -288,9 +288,10 @@ def keep_identified(docs: DataFrame, samples: list[tuple[str, str]], text_col: s
     found = words.with_numbers(docs, text_col, measure, names)
     if not samples:
         return found.where(F.col(letters) > 0).drop(*names)
-    found = store.materialize(found, "measured")
     bound = F.lit(MOST_BITS)
-    for power, value in sorted(bounds(found, lang_col, *names).items(), reverse=True):
-        bound = F.when(F.col(letters) < 2.0 ** (power + 1), value).otherwise(bound)
+    if lang_col in docs.columns:
+        found = store.materialize(found, "measured")
+        for power, value in sorted(bounds(found, lang_col, *names).items(), reverse=True):
+            bound = F.when(F.col(letters) < 2.0 ** (power + 1), value).otherwise(bound)
     told = (F.col(letters) < LEAST_LETTERS) | (F.col(bits) <= bound) | (F.col(sampled) == 1)
     return found.where((F.col(letters) > 0) & told).drop(*names)
