@@ -18,7 +18,7 @@ def positional(sheet: DataFrame, records: DataFrame, case: str, row: str, contai
 
     Rows of cases without a record stay as they are.  Each record is one row with an array of
     containers; ``case_fields`` are record columns to put on the sheet's own rows, not on new ones.  ``ordinal`` is the place in
-    the case, from 1, and ``inserted`` tells new rows.  Sheet and records are read once each.
+    the case, from 1, and ``inserted`` tells new rows.  ``row`` tells the order, as a number or a struct.  Sheet and records are read once each.
     """
     case_fields = case_fields or {}
     # rows without a case are dealt to parts, or all of them would be one case; they meet no record
@@ -51,17 +51,17 @@ def sheet_order(case: str, row: str) -> list[Column]:
 
 
 def first_occurrence(df: DataFrame, key: str, row: str, flag: str = "is_first") -> DataFrame:
-    """Whether a row, of which ``row`` is the number, is its key's first; true for a null key only where it is the first null.
+    """Whether a row, of which ``row`` is the number, or a struct to order by, is its key's first; true for a null key only where it is the first null.
 
     First rows are found by an aggregation, so that a key with very many rows is reduced before it is shuffled, and joined back; rows
-    without a key meet theirs in several parts.
+    without a key meet theirs in several parts.  Of rows of a key that are equal in ``row`` one is the first.
     """
     part = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(row), F.lit(PARTS))).otherwise(F.lit(0))
     each = F.when(F.col(key).isNull(), F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))
     first = df.groupBy(key).agg(F.min(row).alias("_first")).select(F.col(key).alias("_key"), "_first", F.explode(each.cast("array<long>")).alias("_of"))
-    out = df.withColumn("_part", part.cast("long"))
+    out = df.withColumns({"_part": part.cast("long"), "_place": F.row_number().over(Window.partitionBy(key, row).orderBy(row))})
     out = out.join(first, out[key].eqNullSafe(first["_key"]) & (F.col("_part") == F.col("_of")))
-    return out.select(*df.columns, (F.col(row) == F.col("_first")).alias(flag))
+    return out.select(*df.columns, ((F.col(row) == F.col("_first")) & (F.col("_place") == 1)).alias(flag))
 
 
 def match_markers(df: DataFrame, triples: list[tuple[str, str, str]]) -> DataFrame:
