@@ -173,8 +173,8 @@ def first_rows(spark, d):
     from casebook.operators import merge
     from casebook.plans import catalogue
 
-    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", catalogue._row_num().alias("row_num"))
-    return compare.first_rows(merge.first_occurrence(rows, "l_orderkey", "row_num"), "is_first").select("l_orderkey", "l_linenumber", "l_partkey")
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", catalogue._row_order().alias("place"))
+    return compare.first_rows(merge.first_occurrence(rows, "l_orderkey", "place"), "is_first").select("l_orderkey", "l_linenumber", "l_partkey")
 
 
 @query("""WITH t AS (SELECT count(DISTINCT p_type) AS n, min(p_type) AS first_term, max(p_type) AS last_term FROM part),
