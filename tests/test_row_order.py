@@ -32,7 +32,7 @@ def tables(tmp_path):
     return str(tmp_path)
 
 
-@pytest.mark.parametrize("name", ["first_occurrence", "first_rows"])
+@pytest.mark.parametrize("name", ["first_occurrence", "first_rows", "merge_positional"])
 def test_large_keys(spark, tables, name):
     plans = roundtrips if name == "first_rows" else catalogue
     assert difference(plans.QUERIES[name](spark, tables), plans.ORACLE_SQL[name], tables) == ""
