@@ -94,7 +94,7 @@ def scan_keyed(spark, d):
     lines = e.select("event_id", F.explode(F.array(line, F.lit(" "))).alias("value")).orderBy("event_id", F.desc("value"))
     folder = work.new_folder(spark, "keyed") + ".jsonl"
     lines.select("value").coalesce(1).write.text(folder)
-    keyed = readers.numbered(readers.keyed_jsonl(spark, folder).orderBy("first_line"), "place")
+    keyed = readers.placed(readers.keyed_jsonl(spark, folder), "first_line", "place")
     return keyed.select("case_id", F.get_json_object("value", "$.event_type").alias("last_type"), "place")
 
 

@@ -47,7 +47,8 @@ def not_empty(df: DataFrame, what: str) -> DataFrame:
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """Rows with their place in the scan, from 1.
 
-    Places within partitions are known where the rows are; what is counted and broadcast is one row for each partition.
+    Places within partitions are known where the rows are; what is counted and broadcast is one row for each partition.  Both passes must find
+    the same rows in the same partitions, as they do in files; what a sort or another shuffle has dealt is for ``placed``.
     """
     here = df.withColumn("_id", F.monotonically_increasing_id()).withColumns({"_part": F.shiftright("_id", 33), "_at": F.col("_id").bitwiseAND((1 << 33) - 1)})
     sizes = here.groupBy("_part").agg((F.max("_at") + 1).alias("_n"))
@@ -57,6 +58,18 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     return out.withColumn(name, F.col("_offset") + F.col("_at") + 1).drop("_id", "_part", "_at", "_offset")
 
 
+def placed(df: DataFrame, by: str, name: str, each: int = 1 << 16) -> DataFrame:
+    """Rows with their place, from 1, in the order of ``by``, whole numbers that no two rows share, such as those of lines.
+
+    Ranges of ``each`` numbers are counted, one row for each is broadcast, and rows are numbered within their range.
+    """
+    cut = df.withColumn("_range", F.floor(F.col(by) / F.lit(each)))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cut.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    out = cut.join(F.broadcast(offsets), "_range").withColumn("_at", F.row_number().over(Window.partitionBy("_range").orderBy(by)))
+    return out.withColumn(name, F.col("_offset") + F.col("_at")).drop("_range", "_offset", "_at")
+
+
 def reports(df: DataFrame, id_column: str = "Number", text_column: str = "Final Diagnosis") -> DataFrame:
     """(case_id, report_index, text) of a sheet: rows without text go, ids are whole numbers or an error, texts trimmed."""
     id_col, text_col = require(df, id_column, text_column)
