@@ -195,7 +195,9 @@ def _found(index: Index, queries: DataFrame, k: int, digits: int, wanted) -> Dat
             units = _units(batch, width)
             ids = batch.column("query_id").to_numpy(zero_copy_only=False).astype(np.int64)
             floor = batch.column("least").to_numpy(zero_copy_only=False) if least else None
-            asked = wanted(np.arccos(np.clip(units @ centroids.T, -1.0, 1.0)), floor) & (sizes > 0)
+            each = max(1, link.CELLS // len(centroids))
+            cuts = [slice(a, a + each) for a in range(0, len(units), each)]
+            asked = np.concatenate([wanted(np.arccos(np.clip(units[c] @ centroids.T, -1.0, 1.0)), None if floor is None else floor[c]) & (sizes > 0) for c in cuts])
             raw = batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(np.float64)
             for k_ in np.flatnonzero(asked.any(axis=0)):
                 own = np.flatnonzero(asked[:, k_])
