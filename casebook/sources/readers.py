@@ -87,9 +87,9 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return numbered(raw, "report_index").select(F.lit(None).cast("bigint").alias("case_id"), "report_index", "text")
 
 
-def load_reports(spark: SparkSession, path: str) -> DataFrame:
-    """Reports of a workbook, CSV or Parquet sheet, or of a text file, by suffix; none at all is an error."""
-    found = lines(spark, path) if Path(path).suffix.lower() in (".txt", "") else reports(sheet(spark, path))
+def load_reports(spark: SparkSession, path: str, sheet_name: str | int = 0) -> DataFrame:
+    """Reports of a workbook, CSV or Parquet sheet, or of a text file, by suffix; none at all is an error.  The ``sheet_name`` ``*`` is all sheets of a workbook."""
+    found = lines(spark, path) if Path(path).suffix.lower() in (".txt", "") else reports(sheet(spark, path, sheet_name))
     return not_empty(found, "reports")
 
 

@@ -2,9 +2,10 @@
 
 A workbook is a zip of XML parts.  Reading pulls rows out of the sheet's part one after another, so a task holds a batch of rows and the shared
 strings; a sheet that tells its size is read in ranges of ``rows`` rows, a partition each.  Every cell is text, as it is stored, or null.  The first
-row names the columns: blank names become ``column_<k>``, repeated ones get a number, as readers of sheets do.  ``row_num`` counts rows from 1.
+row names the columns: blank names become ``column_<k>``, repeated ones get a number, as readers of sheets do.  ``row_num`` counts a sheet's rows from 1.
 
-Writing streams one workbook from one task into a file beside the target, which takes its place when the job commits.  Paths may be those of any store that Arrow opens.
+Writing streams one workbook from one task into a file beside the target, which takes its place when the job commits.  Rows beyond what a sheet holds go
+on in further sheets with the same header; ``sheet`` ``*`` reads all sheets as one table.  Paths may be those of any store that Arrow opens.
 """
 
 from __future__ import annotations
@@ -19,7 +20,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from pyspark.sql.types import BooleanType, LongType, NumericType, StringType, StructField, StructType
 
 FORMAT = "casebook_sheet"
-#: Rows of a partition and of a batch, and rows that a sheet may have beside its header.
+#: What stands for all sheets; no sheet can have this name.
+ALL = "*"
+#: Rows of a partition and of a batch, and rows that a sheet holds beside its header.
 ROWS, BATCH, MOST_ROWS = 50_000, 5_000, 1_048_575
 _MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 _PACKAGE = "http://schemas.openxmlformats.org/package/2006"
@@ -67,6 +70,10 @@ class Book:
                     if path:
                         path[-1].remove(element)
 
+    def parts(self, sheet: str | int) -> list[str]:
+        """The parts of all sheets for ``*``, or else of the one that is meant."""
+        return [self.part(k) for k in range(sum(1 for _ in self._elements("xl/workbook.xml", "sheet")) or 1)] if sheet == ALL else [self.part(sheet)]
+
     def part(self, sheet: str | int) -> str:
         """The part of a sheet, by its name or its place from 0."""
         found = [(e.get("name"), e.get(f"{{{_OFFICE}}}id") or next(v for k, v in e.attrib.items() if k.endswith("}id"))) for e in self._elements("xl/workbook.xml", "sheet")]
@@ -151,6 +158,7 @@ class Rows(InputPartition):
 
     first: int
     last: int | None
+    part: str
 
 
 class SheetReader(DataSourceReader):
@@ -161,11 +169,13 @@ class SheetReader(DataSourceReader):
 
     def partitions(self):
         with Book(self.path) as book:
-            part = book.part(self.sheet)
-            last = book.last(part)
+            lasts = [(part, book.last(part)) for part in book.parts(self.sheet)]
+        return [rows for part, last in lasts for rows in self._ranges(part, last)]
+
+    def _ranges(self, part: str, last: int | None) -> list[Rows]:
         if last is None:
-            return [Rows(1, None)]
-        return [Rows(a, None if a + self.each > last else a + self.each - 1) for a in range(1, last + 1, self.each)]
+            return [Rows(1, None, part)]
+        return [Rows(a, None if a + self.each > last else a + self.each - 1, part) for a in range(1, last + 1, self.each)]
 
     def read(self, partition: Rows):
         import pyarrow as pa
@@ -176,9 +186,11 @@ class SheetReader(DataSourceReader):
             def batch():
                 return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), *(pa.array(c, pa.string()) for c in columns)], names=[f.name for f in self.schema.fields])
 
-            for number, cells in book.rows(book.part(self.sheet), book.strings()):
+            for number, cells in book.rows(partition.part, book.strings()):
                 if header is None:
                     header = number
+                    if self.sheet == ALL and named(cells) != [f.name for f in self.schema.fields[1:]]:
+                        raise ValueError(f"{partition.part} has other columns than the first sheet")
                     continue
                 if partition.last is not None and number > partition.last:
                     break
@@ -204,7 +216,7 @@ class Part(WriterCommitMessage):
 
 class SheetWriter(DataSourceWriter):
     def __init__(self, options, schema: StructType):
-        self.path, self.title = options["path"], options.get("sheet", "Sheet1")
+        self.path, self.title, self.most = options["path"], options.get("sheet", "Sheet1"), int(options.get("most", MOST_ROWS))
         self.names = [f.name for f in schema.fields]
         self.kinds = ["b" if isinstance(f.dataType, BooleanType) else "n" if isinstance(f.dataType, NumericType) else "s" for f in schema.fields]
 
@@ -226,22 +238,27 @@ class SheetWriter(DataSourceWriter):
                 return f"<c><v>{value}</v></c>"
             return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(_ILLEGAL.sub("", str(value)))}</t></is></c>'
 
-        n = 0
+        n, titles = 0, []
+        rows = iter(iterator)
+        row = next(rows, None)
         with files.open_output_stream(place) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
             xml = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
             kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
-            book.writestr("[Content_Types].xml", f'{xml}<Types xmlns="{_PACKAGE}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="{kind}.worksheet+xml"/></Types>')
+            while row is not None or not titles:
+                titles.append(f"{self.title[:24]} ({len(titles) + 1})" if titles else self.title)
+                with book.open(f"xl/worksheets/sheet{len(titles)}.xml", "w", force_zip64=True) as sheet:
+                    sheet.write(f'{xml}<worksheet xmlns="{_MAIN}"><sheetData><row r="1">{"".join(cell("s", c) for c in self.names)}</row>'.encode())
+                    own = 0
+                    while row is not None and own < self.most:
+                        n, own = n + 1, own + 1
+                        sheet.write(f'<row r="{own + 1}">{"".join(map(cell, self.kinds, row))}</row>'.encode())
+                        row = next(rows, None)
+                    sheet.write(b"</sheetData></worksheet>")
+            each = range(1, len(titles) + 1)
+            book.writestr("[Content_Types].xml", f'{xml}<Types xmlns="{_PACKAGE}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/>{"".join(f'<Override PartName="/xl/worksheets/sheet{k}.xml" ContentType="{kind}.worksheet+xml"/>' for k in each)}</Types>')
             book.writestr("_rels/.rels", f'{xml}<Relationships xmlns="{_PACKAGE}/relationships"><Relationship Id="rId1" Type="{_OFFICE}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-            book.writestr("xl/workbook.xml", f'{xml}<workbook xmlns="{_MAIN}" xmlns:r="{_OFFICE}"><sheets><sheet name={quoteattr(self.title)} sheetId="1" r:id="rId1"/></sheets></workbook>')
-            book.writestr("xl/_rels/workbook.xml.rels", f'{xml}<Relationships xmlns="{_PACKAGE}/relationships"><Relationship Id="rId1" Type="{_OFFICE}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>')
-            with book.open("xl/worksheets/sheet1.xml", "w", force_zip64=True) as sheet:
-                sheet.write(f'{xml}<worksheet xmlns="{_MAIN}"><sheetData><row r="1">{"".join(cell("s", c) for c in self.names)}</row>'.encode())
-                for row in iterator:
-                    n += 1
-                    if n > MOST_ROWS:
-                        raise ValueError(f"more than {MOST_ROWS} rows do not make a sheet")
-                    sheet.write(f'<row r="{n + 1}">{"".join(map(cell, self.kinds, row))}</row>'.encode())
-                sheet.write(b"</sheetData></worksheet>")
+            book.writestr("xl/workbook.xml", f'{xml}<workbook xmlns="{_MAIN}" xmlns:r="{_OFFICE}"><sheets>{"".join(f'<sheet name={quoteattr(t)} sheetId="{k}" r:id="rId{k}"/>' for k, t in zip(each, titles, strict=True))}</sheets></workbook>')
+            book.writestr("xl/_rels/workbook.xml.rels", f'{xml}<Relationships xmlns="{_PACKAGE}/relationships">{"".join(f'<Relationship Id="rId{k}" Type="{_OFFICE}/worksheet" Target="worksheets/sheet{k}.xml"/>' for k in each)}</Relationships>')
         return Part(made, n)
 
     def commit(self, messages) -> None:
@@ -268,7 +285,7 @@ class SheetWriter(DataSourceWriter):
 
 
 class SheetSource(DataSource):
-    """``spark.read.format(FORMAT).load(path)``; options: ``sheet`` (name, or place from 0), ``rows`` of a partition."""
+    """``spark.read.format(FORMAT).load(path)``; options: ``sheet`` (name, place from 0, or ``*``), ``rows`` of a partition."""
 
     @classmethod
     def name(cls) -> str:
@@ -276,7 +293,7 @@ class SheetSource(DataSource):
 
     def schema(self) -> StructType:
         with Book(self.options["path"]) as book:
-            first = next(book.rows(book.part(self.options.get("sheet", "0")), book.strings()), (0, []))
+            first = next(book.rows(book.parts(self.options.get("sheet", "0"))[0], book.strings()), (0, []))
         return StructType([StructField("row_num", LongType()), *(StructField(n, StringType()) for n in named(first[1]))])
 
     def reader(self, schema: StructType) -> SheetReader:

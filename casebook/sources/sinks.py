@@ -119,10 +119,10 @@ def one_row_json(df: DataFrame, path: str) -> dict:
     return out
 
 
-def workbook(df: DataFrame, path: str, title: str = "Sheet1") -> None:
-    """K7: a workbook of one sheet, streamed by one task; more rows than a sheet has are an error."""
+def workbook(df: DataFrame, path: str, title: str = "Sheet1", most: int = sheets.MOST_ROWS) -> None:
+    """K7: a workbook, streamed by one task, of a sheet for each ``most`` rows."""
     df.sparkSession.dataSource.register(sheets.SheetSource)
-    df.transform(flat).coalesce(1).write.format(sheets.FORMAT).mode("append").option("sheet", title).save(path)
+    df.transform(flat).coalesce(1).write.format(sheets.FORMAT).mode("append").option("sheet", title).option("most", most).save(path)
 
 
 def vectors(df: DataFrame, path: str, vector: str, width: int) -> None:
