@@ -52,6 +52,7 @@ class Index:
         return self.spark.read.schema(_BLOCKS).parquet(f"{self.path}/blocks")
 
 
+_ASKED = pa.schema([("list", pa.int64()), ("part", pa.int64()), ("query_id", pa.binary()), ("vectors", pa.binary())])
 _BLOCKS = "list long, part long, entry_id binary, code binary, entries binary"
 _LISTS = "list long, centroid array<double>, size long, reach double, probes int, block long"
 
@@ -201,11 +202,14 @@ def _found(index: Index, queries: DataFrame, k: int, digits: int, wanted) -> Dat
             raw = batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(np.float64)
             for k_ in np.flatnonzero(asked.any(axis=0)):
                 own = np.flatnonzero(asked[:, k_])
-                parts = -(-int(sizes[k_]) // block)
-                yield pa.RecordBatch.from_pydict({"list": pa.array([k_] * parts, pa.int64()), "part": pa.array(range(parts), pa.int64()), "query_id": pa.array([ids[own].tobytes()] * parts, pa.binary()), "vectors": pa.array([raw[own].tobytes()] * parts, pa.binary())})
+                for some in (own[a : a + block] for a in range(0, len(own), block)):
+                    row = {"list": int(k_), "query_id": ids[some].tobytes(), "vectors": raw[some].tobytes()}
+                    for part in range(-(-int(sizes[k_]) // block)):
+                        yield pa.RecordBatch.from_pylist([row | {"part": part}], _ASKED)
 
     packed = _usable(queries, width).mapInArrow(probed, "list long, part long, query_id binary, vectors binary")
-    pairs = packed.join(index.blocks(), ["list", "part"]).select(packed["query_id"], "vectors", "entry_id", "code", "entries")
+    # a query is in a row of each list that it asks for, which no estimate of sizes knows of: both sides are shuffled, none is broadcast
+    pairs = packed.join(index.blocks().hint("merge"), ["list", "part"]).select(packed["query_id"], "vectors", "entry_id", "code", "entries")
     return link.best_of(pairs.mapInPandas(link.tiles(k, digits), link.FOUND), k)
 
 
