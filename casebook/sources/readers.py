@@ -129,7 +129,22 @@ def records(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", suffix == ".json").option("mode", "FAILFAST").json(path)
 
 
+def _plain_members(raw: bytes) -> list[tuple[str, str]] | None:
+    """Files of a tar archive with plain headers only, else None."""
+    out, at = [], 0
+    while at < len(raw):
+        kind, size = raw[at + 156 : at + 157], raw[at + 124 : at + 135]
+        if kind not in (b"0", b"5") or raw[at + 257 : at + 262] != b"ustar" or raw[at + 345] or not size.isdigit():
+            return None
+        n = int(size, 8)
+        if kind == b"0":
+            out.append((raw[at : at + 100].rstrip(b"\0").decode(), raw[at + 512 : at + 512 + n].decode()))
+        at += 512 + -(-n // 512) * 512
+    return out
+
+
 def _files(batches):
+    import gzip
     import io
     import tarfile
 
@@ -137,8 +152,11 @@ def _files(batches):
 
     for pdf in batches:
         for raw in pdf["content"]:
-            with tarfile.open(fileobj=io.BytesIO(raw)) as archive:
-                files = [(m.name, archive.extractfile(m).read().decode()) for m in archive if m.isfile()]
+            raw = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
+            files = _plain_members(raw)
+            if files is None:
+                with tarfile.open(fileobj=io.BytesIO(raw)) as archive:
+                    files = [(m.name, archive.extractfile(m).read().decode()) for m in archive if m.isfile()]
             yield pd.DataFrame(files, columns=["name", "content"])
 
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import tarfile
 from collections.abc import Iterator
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,32 +37,49 @@ def _pretty() -> Column:
     return F.to_json("record", {"pretty": "true", "ignoreNullFields": "false"})
 
 
+@lru_cache(10_000)
+def _unnamed(size: int) -> tuple[bytes, bytes, int]:
+    """A header of a file of ``size`` bytes, without a name: what comes before its checksum and what comes after, and the sum of both."""
+    info = tarfile.TarInfo("")
+    info.size = size
+    raw = info.tobuf(tarfile.PAX_FORMAT)
+    return raw[100:148], raw[156:], sum(raw[:148]) + sum(raw[156:]) + 8 * ord(" ")
+
+
+def _header(name: str, size: int) -> bytes:
+    """``TarInfo.tobuf`` of a file; most headers differ by their name only."""
+    if not name.isascii() or not 0 < len(name) < 100 or size >= 8**11:
+        info = tarfile.TarInfo(name)
+        info.size = size
+        return info.tobuf(tarfile.PAX_FORMAT)
+    raw = name.encode()
+    before, after, total = _unnamed(size)
+    return b"%s%s%06o\0 %s" % (raw.ljust(100, b"\0"), before, total + sum(raw), after)
+
+
 def _members(batches: Iterator) -> Iterator:
     """Rows (name, content) as members of a tar archive, without the last byte, which the line separator gives."""
-    import tarfile
-
     import pyarrow as pa
 
     filler = tarfile.TarInfo("./")
     filler.type = tarfile.DIRTYPE
+    filler = filler.tobuf(tarfile.PAX_FORMAT)
     for batch in batches:
         out = []
         for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist(), strict=True):
             raw = content.encode()
-            info = tarfile.TarInfo(name)
-            info.size = len(raw)
-            member = info.tobuf(tarfile.PAX_FORMAT) + raw
+            member = _header(name, len(raw)) + raw
             # a member whose content fills its last block is followed by an entry for the folder, so that each row ends in a zero byte
-            member += bytes(-len(member) % 512) if raw and len(raw) % 512 else filler.tobuf(tarfile.PAX_FORMAT)
+            member += bytes(-len(member) % 512) if raw and len(raw) % 512 else filler
             out.append(member[:-1].decode())
         yield pa.RecordBatch.from_pydict({"value": pa.array(out, pa.string())})
 
 
 def case_archives(good: DataFrame, folder: str, case: str = "case_id", mode: str = "overwrite", each: int = 20_000) -> None:
-    """K2, K3: ``case_<id>.json`` and ``case_<id>.txt`` of every case, record and prompt, as members of tar archives of up to ``each`` files.
+    """K2, K3: ``case_<id>.json`` and ``case_<id>.txt`` of every case, record and prompt, as members of gzipped tar archives of up to ``each`` files.
 
-    A task writes its cases one after another into few files, so as many cases as there are make no more commits than tasks.  Any tar reads them;
-    ``readers.archives`` does.  Rows without a case go by ``case_report_<index>``.
+    A task writes its cases one after another into few files, so as many cases as there are make no more commits than tasks.  A member takes 512 bytes
+    and its content filled up to 512 more, mostly zeros, so archives are gzipped.  Any tar reads them; ``readers.archives`` does.  Rows without a case go by ``case_report_<index>``.
     """
     files = [F.struct(F.lit("json").alias("kind"), _pretty().alias("content"))]
     if "prompt" in good.columns:
@@ -68,7 +87,7 @@ def case_archives(good: DataFrame, folder: str, case: str = "case_id", mode: str
     rows = good.select(_case(case).alias("id"), F.explode(F.array(*files)).alias("f")).where("f.content is not null")
     named = rows.select(F.concat(F.lit("case_"), "id", F.lit("."), "f.kind").alias("name"), F.col("f.content").alias("content"))
     made = named.mapInArrow(_members, "value string")
-    made.write.mode(mode).option("lineSep", "\0").option("maxRecordsPerFile", each).text(f"{folder}/archives")
+    made.write.mode(mode).option("lineSep", "\0").option("maxRecordsPerFile", each).option("compression", "gzip").text(f"{folder}/archives")
 
 
 def case_files(good: DataFrame, folder: str, case: str = "case_id", mode: str = "overwrite") -> None:
